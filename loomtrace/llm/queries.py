@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import toxicity
+from . import mixing, quality_rules, sharding, toxicity
 from .common import fold, read
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -32,3 +32,61 @@ def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score(docs, model).select(
         "doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted")
     )
+
+
+OP8_SQL = """
+WITH RECURSIVE tree(n, node, child, w) AS (VALUES
+{tree}),
+d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(doc_id::VARCHAR, '') AS k,
+             coalesce(text, '') AS t FROM documents),
+s1 AS (SELECT n, r, arg_min(child, -ln((('0x' || substr(md5(k || '/' || child), 1, 13))::BIGINT + 0.5) / 4503599627370496) / w) AS c
+       FROM d, tree WHERE node = '' GROUP BY n, r),
+s2 AS (SELECT s1.n, s1.r, arg_min(child, -ln((('0x' || substr(md5(k || '/' || child), 1, 13))::BIGINT + 0.5) / 4503599627370496) / w) AS c
+       FROM s1 JOIN d USING (r) JOIN tree ON tree.n = s1.n AND node = s1.c GROUP BY s1.n, s1.r),
+s3 AS (SELECT s2.n, s2.r, arg_min(child, -ln((('0x' || substr(md5(k || '/' || child), 1, 13))::BIGINT + 0.5) / 4503599627370496) / w) AS c
+       FROM s2 JOIN d USING (r) JOIN tree ON tree.n = s2.n AND node = s2.c GROUP BY s2.n, s2.r),
+p AS (SELECT d.*, s1.c AS region, s2.c AS rack, s3.c::INT AS shard, g.c::INT AS grown_shard,
+             strlen(t) + 1 AS size,
+             ('0x' || substr(md5('slot/' || k), 1, 13))::BIGINT
+               % greatest(256, ceil((SELECT count(*) FROM documents) / 50000))::BIGINT AS bucket
+      FROM d JOIN s1 ON s1.r = d.r AND s1.n = 16 JOIN s2 ON s2.r = d.r AND s2.n = 16
+             JOIN s3 ON s3.r = d.r AND s3.n = 16 JOIN s3 g ON g.r = d.r AND g.n = 17),
+crc AS (SELECT i, list_reduce(list_concat([i], range(8)), lambda a, b: CASE WHEN a & 1 = 1 THEN xor(a >> 1, 3988292384) ELSE a >> 1 END) AS v
+        FROM (SELECT unnest(range(256)) AS i)),
+crcs AS (SELECT list(v ORDER BY i) AS tab FROM crc),
+q AS (SELECT p.*, CASE WHEN t = '' THEN 0 ELSE xor(list_reduce(list_concat([4294967295::BIGINT],
+        list_transform(range(strlen(t)), lambda j: ('0x' || substr(hex(encode(t)), 2 * j + 1, 2))::BIGINT)),
+        lambda a, b: xor(a >> 8, tab[xor(a & 255, b) + 1])), 4294967295::BIGINT) END AS text_crc32
+      FROM p, crcs)
+SELECT doc_id, size::BIGINT AS size, text_crc32::BIGINT AS text_crc32, 'key' AS law, shard, grown_shard, region, rack,
+       row_number() OVER (PARTITION BY shard ORDER BY bucket, doc_id NULLS LAST, text_crc32, size) - 1 AS slot
+FROM q
+"""
+
+TREE = sharding.Tree.regular(2, 2, 4)
+
+
+def _tree_rows() -> str:
+    rows = [(n, node, child, w) for n, tree in ((16, TREE), (17, TREE.grown())) for level in tree.levels() for node, below in level.items() for child, w in below.items()]
+    return ",\n".join(f"({n}, '{node}', '{child}', {w})" for n, node, child, w in rows)
+
+
+@query("op8_sharding")
+def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents")
+    return sharding.shard(docs, TREE, TREE.grown()).select(
+        "doc_id", "size", "text_crc32", F.lit("key").alias("law"), "shard", "slot", "grown_shard", "region", "rack"
+    )
+
+
+@query("op9_mixing")
+def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.taken(mixing.mix(read(spark, sf_dir, "documents"))).drop("text_hash")
+
+
+@query("op3_quality_rules")
+def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels")
+    return quality_rules.apply_rules(docs, labels).select(
+        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "lang", "failed_rules"
+    )
