@@ -15,6 +15,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 SPACES = r"[\x20\x09-\x0D]+"
 
@@ -84,7 +85,7 @@ class WordIds(dict):
 
 def mapped(df: DataFrame, schema: str, rows: Callable[[Iterator[dict]], Iterator[dict]]) -> DataFrame:
     """``mapInArrow`` over dicts of column lists: ``rows`` gets and yields one dict a batch."""
-    names = [part.split()[0] for part in schema.split(",")]
+    names = T.StructType.fromDDL(schema).names
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for out in rows({n: b.column(i) for i, n in enumerate(b.schema.names)} for b in batches):

@@ -140,3 +140,17 @@ def taken(m: Mix) -> DataFrame:
     )
     columns = ["doc_id", "text_hash", "size", "source_size", "target", "taken"]
     return got.select(columns).unionByName(m.docs.where("size = 0").withColumn("taken", F.lit(0).cast("bigint")).select(columns))
+
+
+def copies(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), cap: int = 3) -> DataFrame:
+    """The mix in whole documents: each row of ``docs`` as often as ``taken / size``, rounded, half up.
+
+    Only documents at the ends of a source's blocks are taken in part. Rows of
+    equal id and text share what is taken of them evenly.
+    """
+    times = F.floor(F.sum("taken") / F.sum("size") + 0.5).cast("int")
+    got = taken(mix(docs, weights, cap)).where("taken > 0").groupBy("doc_id", "text_hash").agg(times.alias("times")).where("times > 0")
+    keyed = docs.withColumn("text_hash", F.xxhash64("text"))
+    on = keyed["doc_id"].eqNullSafe(got["doc_id"]) & (keyed["text_hash"] == got["text_hash"])
+    own = keyed.join(got, on).select(*[keyed[c] for c in docs.columns], F.explode(F.sequence(F.lit(1), got["times"])).alias("_time"))
+    return own.drop("_time")

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontamination, line_dedup, mixing, quality_gam, quality_rules, sharding, simhash, substring_dedup, toxicity
+from . import decontamination, licenses, line_dedup, mixing, quality_gam, quality_rules, sharding, simhash, substring_dedup, toxicity
 from .common import fold, read
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -123,3 +123,15 @@ def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_gam.score(docs, gam).select(
         "doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted")
     )
+
+
+@query("op1_licenses")
+def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents")
+    found = licenses.scan(docs, licenses.train(docs))
+    sure = F.filter("hits", lambda h: h["confirmed"])
+    first = F.get(F.array_sort(F.transform(sure, lambda h: F.struct((-h["probability"]).alias("p"), h["family"].alias("family"), h["similarity"].alias("similarity")))), 0)
+    return found.select(
+        "doc_id", "n_paragraphs", first["family"].alias("license"), (-first["p"]).alias("probability"), first["similarity"].alias("similarity"),
+        F.size(sure).alias("n_confirmed"), (F.size("hits") - F.size(sure)).alias("n_unconfirmed"),
+    )
