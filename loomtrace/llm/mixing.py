@@ -150,7 +150,6 @@ def copies(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), cap: int = 3)
     """
     times = F.floor(F.sum("taken") / F.sum("size") + 0.5).cast("int")
     got = taken(mix(docs, weights, cap)).where("taken > 0").groupBy("doc_id", "text_hash").agg(times.alias("times")).where("times > 0")
-    keyed = docs.withColumn("text_hash", F.xxhash64("text"))
-    on = keyed["doc_id"].eqNullSafe(got["doc_id"]) & (keyed["text_hash"] == got["text_hash"])
-    own = keyed.join(got, on).select(*[keyed[c] for c in docs.columns], F.explode(F.sequence(F.lit(1), got["times"])).alias("_time"))
-    return own.drop("_time")
+    keyed = docs.select(F.struct("*").alias("row"), F.col("doc_id").alias("own_id"), F.xxhash64("text").alias("own_hash"))
+    on = F.col("own_id").eqNullSafe(F.col("doc_id")) & (F.col("own_hash") == F.col("text_hash"))
+    return keyed.join(got, on).select("row", F.explode(F.sequence(F.lit(1), "times"))).select("row.*")

@@ -135,11 +135,11 @@ def cutoffs(labelled: DataFrame, stratum: str, risk: Risk = Risk()) -> DataFrame
 
 def judge(measured: DataFrame, chosen: DataFrame, stratum: str) -> DataFrame:
     """``kept`` for each row: it meets the base rule and, in its stratum, all rules in use."""
-    per = chosen.groupBy("stratum").agg(F.map_from_entries(F.collect_list(F.struct("rule", "level"))).alias("use"))
+    per = chosen.groupBy(F.col("stratum").alias("of")).agg(F.map_from_entries(F.collect_list(F.struct("rule", "level"))).alias("use"))
     fails = lambda r: F.coalesce(_level(r) >= F.try_element_at("use", F.lit(r)), F.lit(False))
     names = F.filter(F.array(*[F.when(fails(r), F.lit(r)) for r in RULES]), lambda x: x.isNotNull())
-    joined = measured.join(per, measured[stratum] == per["stratum"], "left")
-    return joined.withColumn("failed_rules", names).withColumn("kept", ~F.col("base_failed") & (F.size("failed_rules") == 0)).drop("use", "stratum")
+    joined = measured.join(per, measured[stratum] == per["of"], "left")
+    return joined.withColumn("failed_rules", names).withColumn("kept", ~F.col("base_failed") & (F.size("failed_rules") == 0)).drop("use", "of")
 
 
 def apply_rules(docs: DataFrame, labels: DataFrame, stratum: str = "lang", risk: Risk = Risk()) -> DataFrame:
