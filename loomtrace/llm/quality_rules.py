@@ -91,9 +91,9 @@ def _ratio(measure: str) -> Column:
 
 
 def _level(rule: str) -> Column:
-    """How many cutoffs of the rule, from the lenient end, reject the row."""
+    """The first cutoff of the rule, from 1 at the lenient end, that rejects the row; one past the last if none does."""
     measure, sign, cutoffs = RULES[rule]
-    return sum(((_ratio(measure) * sign > c * sign).cast("int") for c in cutoffs[1:]), (_ratio(measure) * sign > cutoffs[0] * sign).cast("int"))
+    return sum(((_ratio(measure) * sign <= c * sign).cast("int") for c in cutoffs), F.lit(1))
 
 
 def _log_tail(n: Column, k: Column, p: float) -> Column:
@@ -109,18 +109,18 @@ def _log_tail(n: Column, k: Column, p: float) -> Column:
 
 
 def cutoffs(labelled: DataFrame, stratum: str, risk: Risk = Risk()) -> DataFrame:
-    """(stratum, rule, level): how many cutoffs of the rule may be used; rows of ``labelled`` carry measures and ``good``."""
+    """(stratum, rule, level): the number of the cutoff in use; rows of ``labelled`` carry measures and ``good``."""
     judged = labelled.where(~F.col("base_failed") & F.col(stratum).isNotNull())
     levels = F.explode(F.array(*[F.struct(F.lit(r).alias("rule"), _level(r).alias("level")) for r in RULES]))
     counts = (
         judged.select(F.col(stratum).alias("stratum"), "good", levels.alias("x")).groupBy("stratum", "x.rule", "x.level")
         .agg(F.count_if("good").alias("n_good"), F.count_if(~F.col("good")).alias("n_bad"))
     )
-    # Rejected at cutoff j: all rows of level j or more. The tables from here on have rows per stratum, rule and level.
+    # Rejected at cutoff j: all rows of level j or less. The tables from here on have rows per stratum, rule and level.
     grid = F.map_from_arrays(F.array(*map(F.lit, RULES)), F.array(*[F.lit(len(c)) for _, _, c in RULES.values()]))
     each = counts.groupBy("stratum", "rule").agg(F.sum("n_good").alias("n"), F.collect_list(F.struct("level", "n_good", "n_bad")).alias("got"))
     each = each.withColumn("j", F.explode(F.sequence(F.lit(1), F.element_at(grid, F.col("rule")))))
-    total = lambda field: F.aggregate(F.filter("got", lambda x: x["level"] >= F.col("j")), F.lit(0).cast("bigint"), lambda a, x: a + x[field])
+    total = lambda field: F.aggregate(F.filter("got", lambda x: x["level"] <= F.col("j")), F.lit(0).cast("bigint"), lambda a, x: a + x[field])
     each = each.select("stratum", "rule", "j", F.col("n").cast("bigint").alias("n"), total("n_good").alias("k"), total("n_bad").alias("bad"))
     strata = counts.agg(F.count_distinct("stratum").alias("strata"))
     p = risk.limit / len(RULES)
@@ -136,7 +136,7 @@ def cutoffs(labelled: DataFrame, stratum: str, risk: Risk = Risk()) -> DataFrame
 def judge(measured: DataFrame, chosen: DataFrame, stratum: str) -> DataFrame:
     """``kept`` for each row: it meets the base rule and, in its stratum, all rules in use."""
     per = chosen.groupBy(F.col("stratum").alias("of")).agg(F.map_from_entries(F.collect_list(F.struct("rule", "level"))).alias("use"))
-    fails = lambda r: F.coalesce(_level(r) >= F.try_element_at("use", F.lit(r)), F.lit(False))
+    fails = lambda r: F.coalesce(_level(r) <= F.try_element_at("use", F.lit(r)), F.lit(False))
     names = F.filter(F.array(*[F.when(fails(r), F.lit(r)) for r in RULES]), lambda x: x.isNotNull())
     joined = measured.join(per, measured[stratum] == per["of"], "left")
     return joined.withColumn("failed_rules", names).withColumn("kept", ~F.col("base_failed") & (F.size("failed_rules") == 0)).drop("use", "of")
