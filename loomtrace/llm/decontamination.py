@@ -9,8 +9,8 @@ within ``budget(length)`` edits of the piece.
 A piece of ``m`` characters and a stretch within ``k`` edits share at least
 ``m - q + 1 - k * q`` q-grams, all on diagonals (position in the document less
 position in the piece) within ``k`` of one another's middle. So: hash all
-q-grams of a document at once (numpy), look them up in the pieces' q-grams,
-count hits per piece in overlapping bands of diagonals, keep the bands that
+q-grams of a document at once (numpy), look them up in the pieces' q-grams, pass
+over stretches with too few hits for any piece, count hits per piece in overlapping bands of diagonals, keep the bands that
 reach the bound, and align only there: a banded alignment, free at both ends of
 the document, gives the exact number of edits. The lemma loses no match.
 
@@ -40,6 +40,7 @@ PIECE = 120
 RATE = 0.08
 BAND = 32
 MAX_BYTES = 32 << 20
+MAYBE_BITS = 20
 BASE = np.uint64(0x9E3779B97F4A7C15)
 #: BASE to the powers 1, 2 and 4, modulo 2 ** 64.
 POWERS = tuple(np.uint64(pow(int(BASE), e, 1 << 64)) for e in (1, 2, 4))
@@ -94,6 +95,7 @@ class Index:
     item: np.ndarray
     at: np.ndarray
     text: list[np.ndarray]
+    plain: list[str]
     hashes: np.ndarray
     first: np.ndarray
     piece: np.ndarray
@@ -115,6 +117,7 @@ class Index:
                 item.append(i)
                 at.append(s)
                 text.append(c[s : s + PIECE])
+        plain = [t.tobytes().decode("utf-32-le", "surrogatepass") for t in text]
         each = [grams(t) for t in text]
         every = np.concatenate(each) if each else np.zeros(0, np.uint64)
         piece = np.repeat(np.arange(len(text)), [len(g) for g in each])
@@ -123,17 +126,31 @@ class Index:
         hashes, first = np.unique(every[order], return_index=True)
         edits = np.array([budget(len(t)) for t in text], np.int64)
         need = np.array([len(t) - Q + 1 - k * Q for t, k in zip(text, edits.tolist(), strict=True)], np.int64)
-        maybe = np.zeros(1 << 22, np.bool_)
-        maybe[(hashes * BASE) >> np.uint64(42)] = True
-        return cls(np.array(item, dtype=object), np.array(at, np.int64), text, hashes, np.append(first, len(every)), piece[order], offset[order], need, edits, maybe)
+        maybe = np.zeros(1 << MAYBE_BITS, np.bool_)
+        maybe[(hashes * BASE) >> np.uint64(64 - MAYBE_BITS)] = True
+        return cls(np.array(item, dtype=object), np.array(at, np.int64), text, plain, hashes, np.append(first, len(every)), piece[order], offset[order], need, edits, maybe)
+
+    def _dense(self, hit: np.ndarray) -> np.ndarray:
+        """Positions that hit, in some stretch as long as a match with as many hits as the least demanding piece needs."""
+        need, width = int(self.need.min()), PIECE + int(self.edits.max())
+        before = np.concatenate([[0], np.cumsum(hit)])
+        if before[-1] < need:
+            return np.zeros(0, np.int64)
+        n = len(hit)
+        starts = np.flatnonzero(before[np.minimum(np.arange(n) + width, n)] - before[:-1] >= need)
+        cover = np.zeros(n + width + 1, np.int32)
+        cover[starts] += 1
+        cover[starts + width] -= 1
+        return np.flatnonzero(hit & (np.cumsum(cover)[:n] > 0))
 
     def search(self, text: str) -> list[tuple[int, int, int, int]]:
         """(item, pieces found, least edits, first position found) for each item that the text holds."""
         if not len(self.hashes):
             return []
-        c = codes(normal(text))
+        plain = normal(text)
+        c = codes(plain)
         h = grams(c)
-        pos = np.flatnonzero(self.maybe[(h * BASE) >> np.uint64(42)])
+        pos = self._dense(self.maybe[(h * BASE) >> np.uint64(64 - MAYBE_BITS)])
         if not len(pos):
             return []
         slot = np.minimum(np.searchsorted(self.hashes, h[pos]), len(self.hashes) - 1)
@@ -158,7 +175,7 @@ class Index:
             e, m = int(self.edits[p]), len(self.text[p])
             lo = max(0, b * BAND - PIECE - e)
             region = c[lo : b * BAND - PIECE + BAND + 2 * e + m + e]
-            got = band_edits(self.text[p], region, e)
+            got = 0 if self.plain[p] in plain[lo : lo + len(region)] else band_edits(self.text[p], region, e)
             if got <= e:
                 best = found.setdefault(p, [got, lo])
                 best[0] = min(best[0], got)
