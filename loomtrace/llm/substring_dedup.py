@@ -17,7 +17,7 @@ size squared. So texts are first routed:
    built of it, and every other document streams the stretches whose anchors
    lead there through it for matching statistics: windows where these reach
    ``SPAN`` are removed. Shards that many documents meet are sent to many tasks,
-   each of which gets at most ``MEET_BYTES`` or so of the documents.
+   each of which gets ``MEET_BYTES`` or ``MEET_ROWS`` of the documents or so.
 3. *The rest.* Stretches that share an anchor with the first document but do not
    match it may still match a third one. Their windows, mostly those that stick
    out at the ends of a repeated passage, are settled by 128-bit hashes: the
@@ -46,7 +46,8 @@ from .common import WordIds, as_bytes, mapped, stored
 
 SPAN = 50
 GRAM = 10
-MEET_BYTES = 2 << 20
+MEET_BYTES = 1 << 20
+MEET_ROWS = 400
 MIX = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F))
 
 
@@ -173,7 +174,10 @@ def spans(docs: DataFrame) -> DataFrame:
     led = led.join(placed.where("leads").select("doc_id", "th"), ["doc_id", "th"])
     found = stored(_stretches(docs.join(led, ["doc_id", "th"])))
 
-    load = found.where("meets").groupBy("first").agg(F.ceil(F.sum(F.length("words")) / MEET_BYTES).alias("salts"))
+    size = lambda own: F.sum(F.when(F.col("meets") != own, F.length("words")).otherwise(0))
+    wanted = F.greatest(size(False) / MEET_BYTES, F.count_if("meets") / MEET_ROWS)
+    # A shard is sent out again only for as many bytes, at least, that meet it.
+    load = found.groupBy("first").agg(F.ceil(F.greatest(F.least(wanted, size(False) / size(True)), F.lit(1.0))).alias("salts"))
     salted = found.join(load, "first").withColumn("salt", F.explode(F.when(F.col("meets"), F.array(F.pmod(F.xxhash64("doc_id", "start"), F.col("salts")))).otherwise(F.sequence(F.lit(0).cast("bigint"), F.col("salts") - 1))))
     dealt = salted.repartition("first", "salt").sortWithinPartitions("first", "salt", "meets").select("first", "salt", "meets", "doc_id", "th", "start", "words")
     met = stored(_matched(dealt))
