@@ -122,10 +122,10 @@ def cutoffs(labelled: DataFrame, stratum: str, risk: Risk = Risk()) -> DataFrame
     each = each.withColumn("j", F.explode(F.sequence(F.lit(1), F.element_at(grid, F.col("rule")))))
     total = lambda field: F.aggregate(F.filter("got", lambda x: x["level"] <= F.col("j")), F.lit(0).cast("bigint"), lambda a, x: a + x[field])
     each = each.select("stratum", "rule", "j", F.col("n").cast("bigint").alias("n"), total("n_good").alias("k"), total("n_bad").alias("bad"))
-    strata = counts.agg(F.count_distinct("stratum").alias("strata"))
+    strata = counts.agg(F.count_distinct("stratum").alias("strata")).scalar()
     p = risk.limit / len(RULES)
     few = F.when(F.col("k") >= F.col("n") * p, F.lit(0.0)).otherwise(_log_tail(F.col("n"), F.col("k"), p))
-    tested = each.join(F.broadcast(strata), F.lit(True)).withColumn("passed", few <= F.ln(F.lit(risk.delta) / (len(RULES) * F.col("strata"))))
+    tested = each.withColumn("passed", few <= F.ln(F.lit(risk.delta) / (len(RULES) * strata)))
     so_far = W.partitionBy("stratum", "rule").orderBy("j")
     certified = tested.withColumn("certified", F.min("passed").over(so_far)).where("certified")
     gain = F.col("bad") - risk.cost * F.col("k")
