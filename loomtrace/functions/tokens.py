@@ -7,6 +7,7 @@ import re
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: Blocks of CJK characters.
 CJK = "一-鿿㐀-䶿぀-ゟ゠-ヿ가-힯豈-﫿"
@@ -35,7 +36,7 @@ def hybrid_tokens(text: str) -> list[str]:
     return out
 
 
-@F.pandas_udf("array<string>")
+@F.pandas_udf(T.ArrayType(T.StringType()))
 def tokenize(text: pd.Series) -> pd.Series:
     """Similarity tokens in order; null text has none."""
     return text.map(lambda t: hybrid_tokens(t) if t is not None else [])
@@ -136,7 +137,7 @@ def search_terms(text: str, stemmed: bool = True) -> list[str]:
     return [Porter.stem(w) for w in words] if stemmed else words
 
 
-@F.pandas_udf("array<string>")
+@F.pandas_udf(T.ArrayType(T.StringType()))
 def terms(text: pd.Series) -> pd.Series:
     """Search terms in order, stemmed; null text has none."""
     known: dict[str, list[str]] = {}

@@ -68,7 +68,7 @@ def longest_streak(sessions: DataFrame) -> DataFrame:
 
     days = active_dates(sessions)
     island = F.date_sub("date", F.row_number().over(W.partitionBy("project_id").orderBy("date")))
-    return days.groupBy("project_id", island.alias("island")).agg(F.count("*").alias("n")).groupBy("project_id").agg(F.max("n").alias("longest_streak"))
+    return days.withColumn("island", island).groupBy("project_id", "island").agg(F.count("*").alias("n")).groupBy("project_id").agg(F.max("n").alias("longest_streak"))
 
 
 def daily_tokens(sessions: DataFrame, messages: DataFrame) -> DataFrame:

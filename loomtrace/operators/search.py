@@ -157,9 +157,12 @@ def _count(leaf: Leaf) -> Column:
         mine = F.filter("hits", lambda h: h["term"].startswith(term) if leaf.prefix and last else h["term"] == term)
         return F.flatten(F.transform(mine, lambda h: h["positions"]))
 
+    def shifted(k: int) -> Column:
+        return F.transform(of(k), lambda p: p - k)
+
     start = of(0)
     for k in range(1, len(leaf.terms)):
-        start = F.array_intersect(start, F.transform(of(k), lambda p, k=k: p - k))
+        start = F.array_intersect(start, shifted(k))
     return F.size(start)
 
 
