@@ -59,7 +59,7 @@ def sizes(docs: DataFrame) -> DataFrame:
     return docs.select(
         "doc_id", "source",
         F.coalesce(F.regexp_count("text", F.lit(r"[^\x20\x09-\x0D]+")), F.lit(0)).cast("bigint").alias("size"),
-        F.xxhash64("text").alias("text_hash"),
+        F.md5(F.coalesce("text", F.lit("")).cast("binary")).alias("text_hash"),
     )
 
 
@@ -118,7 +118,9 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), cap: int = 3, see
     sources = stored(targets(rows, weights, cap))  # a row per source
     buckets = max(LEAST_BUCKETS, -(-n // ROWS_PER_BUCKET))
     known = rows.join(sources.select("source_no", "source", "source_size", "target"), rows["source"].eqNullSafe(sources["source"])).drop(sources["source"])
-    dealt = known.withColumn("draw", F.xxhash64(F.lit(seed), "doc_id", "text_hash")).withColumn("bucket", F.pmod("draw", F.lit(buckets)))
+    name = F.concat(F.lit(f"{seed}/"), F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lit("/"), F.col("text_hash"))
+    draw = F.conv(F.substring(F.md5(name.cast("binary")), 1, 13), 16, 10).cast("bigint")
+    dealt = known.withColumn("draw", draw).withColumn("bucket", F.col("draw") % buckets)
     before = W.partitionBy("source_no").orderBy("bucket").rowsBetween(W.unboundedPreceding, -1)
     first = dealt.groupBy("source_no", "bucket").agg(F.sum("size").alias("n")).select("source_no", "bucket", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("first"))
     order = W.partitionBy("source_no", "bucket").orderBy("draw", F.col("doc_id").asc_nulls_last(), "text_hash", "size")
@@ -150,6 +152,6 @@ def copies(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), cap: int = 3)
     """
     times = F.floor(F.sum("taken") / F.sum("size") + 0.5).cast("int")
     got = taken(mix(docs, weights, cap)).where("taken > 0").groupBy("doc_id", "text_hash").agg(times.alias("times")).where("times > 0")
-    keyed = docs.select(F.struct("*").alias("row"), F.col("doc_id").alias("own_id"), F.xxhash64("text").alias("own_hash"))
+    keyed = docs.select(F.struct("*").alias("row"), F.col("doc_id").alias("own_id"), F.md5(F.coalesce("text", F.lit("")).cast("binary")).alias("own_hash"))
     on = F.col("own_id").eqNullSafe(F.col("doc_id")) & (F.col("own_hash") == F.col("text_hash"))
     return keyed.join(got, on).select("row", F.explode(F.sequence(F.lit(1), "times"))).select("row.*")
