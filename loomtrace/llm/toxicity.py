@@ -2,7 +2,8 @@
 
 Features of a text are the *set* of its hashed single words, word pairs and
 skip pairs (one word left out), taken over lower-cased words with ASCII
-punctuation cut off. FTRL-proximal (McMahan et al. 2013) learns with a rate per
+punctuation cut off; longer words also count by their first bytes, so that few
+labels teach something about all forms of a word. FTRL-proximal (McMahan et al. 2013) learns with a rate per
 coordinate; its L1 term leaves few weights other than zero, so the model that
 scoring tasks receive is a short list of (index, weight), at most ``2**BITS``.
 
@@ -34,14 +35,17 @@ MAX_TRAIN = 16_000
 PLAIN = bytes(c + 32 if 65 <= c <= 90 else c if c > 127 or chr(c).isalnum() else 32 for c in range(256))
 
 #: Odd multipliers (fixed values) that keep the kinds of feature apart.
-ONE, LEFT, RIGHT, SKIP = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5))
+ONE, LEFT, RIGHT, SKIP, HEAD = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5, 0xD6E8FEB86659FD93))
+HEADS = (4, 6)
 
 
 def features(text: bytes, ids: WordIds, bits: int = BITS) -> np.ndarray:
     """Hashed features of a text with repeats, in no order."""
-    h = ids.of(text.translate(PLAIN).split())
+    words = text.translate(PLAIN).split()
+    h = ids.of(words)
+    heads = [ids.of([w[:k] for w in words if len(w) > k]) * HEAD for k in HEADS]
     pairs, skips = h[:-1] * LEFT + h[1:] * RIGHT, h[:-2] * SKIP + h[2:] * RIGHT
-    every = np.concatenate([h * ONE, pairs * ONE, skips * ONE])
+    every = np.concatenate([h * ONE, pairs * ONE, skips * ONE, *heads])
     return ((every ^ (every >> np.uint64(29))) * LEFT >> np.uint64(64 - bits)).astype(np.int32)
 
 

@@ -55,7 +55,7 @@ def test_toxicity_is_sparse_and_repeatable(rude):
 def test_toxicity_features_by_hand():
     ids = WordIds()
     n = len(toxicity.features(b"One, two three", ids))
-    assert n == 3 + 2 + 1
+    assert n == 3 + 2 + 1 + 1
     assert set(toxicity.features(b"ONE two", ids)) == set(toxicity.features(b"one... two!", ids))
     assert len(toxicity.features(b"", ids)) == 0
 
