@@ -40,7 +40,7 @@ def delete(tables: dict[str, DataFrame], name: str, where: Column) -> dict[str,
     out = dict(tables)
     key = KEYS[name][0]
     gone = tables[name].where(where).select(key)
-    out[name] = tables[name].join(gone, key, "left_anti")
+    out[name] = tables[name].join(gone, key, "left_anti").select(tables[name].columns)
     todo = [(name, gone)]
     while todo:
         parent, ids = todo.pop()
@@ -50,7 +50,7 @@ def delete(tables: dict[str, DataFrame], name: str, where: Column) -> dict[str,
             mine = ids.select(F.col(ids.columns[0]).alias(column)).distinct()
             if child in CHILDREN:
                 todo.append((child, out[child].join(mine, column, "left_semi").select(KEYS[child][0])))
-            out[child] = out[child].join(mine, column, "left_anti")
+            out[child] = out[child].join(mine, column, "left_anti").select(out[child].columns)
     return out
 
 

@@ -81,7 +81,7 @@ def parse(text: str, stemmed: bool = True) -> Query:
             parts.append((bracket, bracket))
         elif word in ("AND", "OR", "NOT"):
             parts.append((word, word))
-        elif ":" in word or word.startswith(("^", "+", "-")) or word.upper().startswith("NEAR("):
+        elif ":" in word or word.startswith(("^", "+", "-")) or (word == "NEAR" and text[m.end() :].lstrip().startswith("(")):
             raise QueryError(f"not supported: {word!r}")
         else:
             parts.append(("leaf", word))

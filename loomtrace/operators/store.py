@@ -40,7 +40,7 @@ class Store:
     def read(self, name: str) -> DataFrame:
         if name == "session_messages":
             path = f"{self.root}/{name}/parts"
-            if DONE not in self._children(path):
+            if not any(x.startswith("bucket=") for x in self._children(path)):
                 return self.empty(name)
             return self.spark.read.schema(f"{TABLES[name]}, bucket int").parquet(path).drop("bucket")
         found = self._snapshots(name)
@@ -73,19 +73,35 @@ class Store:
     def append(self, name: str, rows: DataFrame) -> None:
         """Rows whose key is not there yet."""
         if name == "session_messages":
-            known = self.read(name).select(KEYS[name])
+            known = self.of_sessions(rows.select("session_id")).select(KEYS[name])
             fresh = rows.dropDuplicates(KEYS[name]).join(known, KEYS[name], "left_anti")
             return self._partitions(fresh, "append")
         self.write(name, self.read(name).unionByName(self._shaped(rows, name)))
 
+    def of_sessions(self, sessions: DataFrame) -> DataFrame:
+        """The messages of these sessions (session_id); only the partitions that they lie in are read."""
+        path = f"{self.root}/session_messages/parts"
+        if not any(x.startswith("bucket=") for x in self._children(path)):
+            return self.empty("session_messages")
+        touched = [r.b for r in sessions.select(self._bucket().alias("b")).distinct().collect()]  # as many as there are buckets
+        rows = self.spark.read.schema(f"{TABLES['session_messages']}, bucket int").parquet(path).where(F.col("bucket").isin(*touched))
+        return rows.drop("bucket").join(sessions.select("session_id").distinct(), "session_id", "left_semi")
+
     def replace_sessions(self, rows: DataFrame, sessions: DataFrame) -> None:
         """All messages of ``sessions`` (session_id) give way to ``rows``; other partitions stay untouched."""
-        touched = sessions.select(self._bucket().alias("bucket")).distinct()
-        old = self.read("session_messages").withColumn("bucket", self._bucket()).join(F.broadcast(touched), "bucket", "left_semi").drop("bucket")
+        path, stage = f"{self.root}/session_messages/parts", f"{self.root}/session_messages/stage"
+        touched = [r.b for r in sessions.select(self._bucket().alias("b")).distinct().collect()]  # as many as there are buckets
+        old = self.read("session_messages")
+        if any(x.startswith("bucket=") for x in self._children(path)):
+            old = self.spark.read.schema(f"{TABLES['session_messages']}, bucket int").parquet(path).where(F.col("bucket").isin(*touched)).drop("bucket")
         rest = old.join(sessions.select("session_id").distinct(), "session_id", "left_anti")
-        stage = f"{self.root}/session_messages/stage"
         self._shaped(rest.unionByName(self._shaped(rows, "session_messages")), "session_messages").write.mode("overwrite").parquet(stage)
-        self._partitions(self.spark.read.schema(TABLES["session_messages"]).parquet(stage), "overwrite")
+        staged = self.spark.read.schema(TABLES["session_messages"]).parquet(stage)
+        left = {r.b for r in staged.select(self._bucket().alias("b")).distinct().collect()}
+        self._partitions(staged, "overwrite")
+        for b in set(touched) - left:  # nothing is left to write there
+            fs, at = self._fs(f"{path}/bucket={b}")
+            fs.delete(at, True)
 
     def ready(self) -> Store:
         """Singletons written once: settings and the instance's own id."""

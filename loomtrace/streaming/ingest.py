@@ -41,9 +41,12 @@ def apply_lines(store: Store, batch: DataFrame, tool: str, now: Column | None =
         raise ValueError(f"no format for tool {tool!r}")
     now = F.current_timestamp() if now is None else now
     spark = store.spark
+    # What is kept in memory is let go at the end: Spark would take it for the next batch's, read from the same paths.
     batch = batch.persist()
+    kept = [batch]
     try:
         touched = batch.groupBy("session_id").agg(F.first("path").alias("path"), F.bool_or("restarted").alias("restarted"), F.max(F.col("byte_offset") + F.col("byte_length")).alias("file_size"), (F.max("line_no") + 1).alias("next_line")).persist()
+        kept.append(touched)
         restarted = touched.where("restarted").select("session_id")
         # Calls that later batches may answer are found again in what the files' own lines said.
         calls_path = f"{store.root}/calls"
@@ -52,12 +55,13 @@ def apply_lines(store: Store, batch: DataFrame, tool: str, now: Column | None =
         # Of calls noted twice (a batch run again, a file read anew) the latest counts.
         earlier = earlier.groupBy("session_id", "id").agg(F.max_by(F.struct("call_name", "call_input", "is_call", "line_no"), "line_no").alias("c")).select("session_id", "id", "c.*")
         messages = fmt.parse(batch, earlier).persist()
+        kept.append(messages)
         if not restarted.isEmpty():
             store.replace_sessions(messages.join(restarted, "session_id", "left_semi"), restarted)
         store.append("session_messages", messages)
         own.write.mode("append").parquet(calls_path)
 
-        stored = store.read("session_messages").join(F.broadcast(touched.select("session_id")), "session_id", "left_semi")
+        stored = store.of_sessions(touched)
         fresh = sessions_from(stored, touched, tool, now)
         old = store.read("sessions")
         store.write("sessions", changes.merged_session(old, store._shaped(fresh, "sessions")))
@@ -71,7 +75,8 @@ def apply_lines(store: Store, batch: DataFrame, tool: str, now: Column | None =
         seen = touched.select(F.col("session_id").alias("id")).join(is_new, "id", "left").select(F.coalesce("event", F.lit("session_updated")).alias("event"), F.col("id").alias("session_id"), F.lit("{}").alias("payload"), now.alias("at"))
         store.append("service_events", seen)
     finally:
-        batch.unpersist()
+        for frame in reversed(kept):
+            frame.unpersist()
 
 
 def dict_schema(frame: DataFrame) -> str:
@@ -80,7 +85,9 @@ def dict_schema(frame: DataFrame) -> str:
 
 def poll(spark: SparkSession, folder: str, store: Store, tool: str, now: Column | None = None) -> DataFrame:
     """One round over the folder by names and sizes, for any store that Spark reads. Returns what each file needed."""
-    changed = src.changes(spark, folder, store.read("file_state")).persist()
+    path = f"{store.root}/last_poll"
+    src.changes(spark, folder, store.read("file_state")).write.mode("overwrite").parquet(path)
+    changed = spark.read.parquet(path)
     wanted = changed.where("action <> 'skip'")
     if not wanted.isEmpty():
         apply_lines(store, src.read_changes(spark, folder, wanted).withColumn("restarted", F.col("action") == "full"), tool, now)
