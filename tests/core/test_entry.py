@@ -17,7 +17,7 @@ from loomtrace.plans import ORACLES, QUERIES  # noqa: E402
 def cell(v):
     if isinstance(v, (list, np.ndarray)):
         return str([cell(x) for x in v])
-    if v is None or v != v or str(v) in ("NaT", "<NA>"):
+    if v is None or str(v) in ("NaT", "<NA>", "nan"):
         return None
     if isinstance(v, (bool, np.bool_)):
         return str(bool(v))
