@@ -69,7 +69,7 @@ def as_bytes(text: str = "text") -> Column:
 class WordIds(dict):
     """word -> 64-bit hash, remembered up to ``room`` words, then begun anew."""
 
-    def __init__(self, room: int = 500_000):
+    def __init__(self, room: int = 200_000):
         super().__init__()
         self.room = room
 

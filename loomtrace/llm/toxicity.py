@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from .common import WordIds, as_bytes, bounded_labels, mapped
 
 BITS = 18
-MAX_TRAIN = 16_000
+MAX_TRAIN = 12_000
 
 #: Lower-cases A-Z, turns other ASCII marks and controls into spaces, keeps bytes above 127.
 PLAIN = bytes(c + 32 if 65 <= c <= 90 else c if c > 127 or chr(c).isalnum() else 32 for c in range(256))
@@ -81,14 +81,14 @@ class Ftrl:
         if not rows:
             return Model()
         size = 1 << self.bits
-        seen = np.zeros(size, np.int64)
+        seen = np.zeros(size, np.int32)
         for r in rows:
             seen[r] += 1
-        rows = [r[seen[r] >= self.min_docs] for r in rows]
+        for i, r in enumerate(rows):  # in place: the unpruned rows go one by one
+            rows[i] = np.append(r[seen[r] >= self.min_docs], np.int32(size))
         z, n = np.zeros(size + 1), np.zeros(size + 1)
         l1 = np.full(size + 1, self.l1)
         l1[size] = 0.0
-        rows = [np.append(r, size) for r in rows]
 
         def weights(at: np.ndarray) -> np.ndarray:
             zi, li = z[at], l1[at]
@@ -120,16 +120,19 @@ def train(docs: DataFrame, labels: DataFrame, label: str, keep: Column, max_trai
             yield {"doc_id": b["doc_id"].cast(pa.int64()), "label": b["label"], "found": pa.array(found, pa.binary())}
 
     def learn(batches: Iterator[dict]) -> Iterator[dict]:
-        rows, ys = [], []
+        held = []
         for b in batches:
-            rows += [np.frombuffer(x, np.int32) for x in b["found"].to_pylist()]
-            ys += b["label"].to_pylist()
+            held += zip(b["place"].to_pylist(), b["found"].to_pylist(), b["label"].to_pylist(), strict=True)
+        held.sort()  # an order that does not depend on the partitions
+        ys = [x[2] for x in held]
+        rows = [np.frombuffer(x[1], np.int32) for x in held]
+        held.clear()
         m = ftrl.learn(rows, ys)
         if m.bias is not None:
             yield {"index": pa.array(np.append(m.index, -1).astype(np.int32)), "weight": pa.array(np.append(m.weight, m.bias))}
 
-    # One task, of at most max_train rows, in an order that does not depend on the partitions.
-    few = mapped(sample, "doc_id bigint, label int, found binary", featurise).repartition(1).sortWithinPartitions(F.xxhash64("doc_id"), "doc_id", "found")
+    # One task, of at most max_train rows.
+    few = mapped(sample, "doc_id bigint, label int, found binary", featurise).select(F.xxhash64("doc_id").alias("place"), "label", "found").repartition(1)
     got = mapped(few, "index int, weight double", learn).toPandas()
     if got.empty:
         return Model()
