@@ -173,17 +173,23 @@ def _holds(node: Node, count: list[Column]) -> Column:
     return left & right if node.op == "AND" else left | right if node.op == "OR" else left & ~right
 
 
-def search(index: DataFrame, key: str, text: str, stemmed: bool = True, among: DataFrame | None = None) -> DataFrame:
+def corpus(index: DataFrame, key: str) -> DataFrame:
+    """One row (docs, mean): how many documents there are and how long they are on average. Worth storing beside the index."""
+    return index.groupBy(key).agg(F.first("n_terms").alias("n")).agg(F.count("*").alias("docs"), F.avg("n").alias("mean"))
+
+
+def search(index: DataFrame, key: str, text: str, stemmed: bool = True, among: DataFrame | None = None, sizes: DataFrame | None = None) -> DataFrame:
     """(key, bm25, relevance_score) of the documents that match.
 
     ``among`` restricts the result, not the corpus that the statistics describe.
+    ``sizes`` is the stored `corpus`; without it every query counts the index.
     """
     q = parse(text, stemmed)
     wanted = F.lit(False)
     for leaf in q.leaves:
         for k, term in enumerate(leaf.terms):
             wanted = wanted | (F.col("term").startswith(term) if leaf.prefix and k == len(leaf.terms) - 1 else F.col("term") == term)
-    sizes = index.groupBy(key).agg(F.first("n_terms").alias("n")).agg(F.count("*").alias("docs"), F.avg("n").alias("mean"))
+    sizes = corpus(index, key) if sizes is None else sizes
     hits = index.where(wanted).groupBy(key).agg(F.collect_list(F.struct("term", "positions")).alias("hits"), F.first("n_terms").alias("n_terms"))
     names = [f"tf{i}" for i in range(len(q.leaves))]
     counted = hits.select(key, "n_terms", *[_count(leaf).alias(n) for n, leaf in zip(names, q.leaves, strict=True)])

@@ -1,22 +1,28 @@
 """Near-duplicates among short texts, exactly, without comparing all pairs.
 
-A pair reaches a weighted similarity only if its stronger field alone reaches a
-Jaccard bound. Sets that reach it share one of their rarest tokens (prefix
-filter: the first ``size - ceil(bound * size) + 1`` in order of rarity), so pairs
-come from an equi-join on those tokens, within a project and between sizes that
-can reach the bound. Two empty sets are alike and share a marker of their own.
+Items of equal token sets are one class; pairs are between classes, each stood
+for by one member, so a thousand copies cost no more than one. A pair reaches a
+weighted similarity only if its stronger field alone reaches a Jaccard bound.
+Sets that reach it share one of their rarest tokens (prefix filter: the first
+``size - ceil(bound * size) + 1`` in order of rarity), so pairs come from an
+equi-join on those tokens, within a project and between sizes that can reach the
+bound. Two empty sets are alike and share a marker of their own.
+
+Passes that depend on order (clean-up, admission one by one) run in rounds over
+the links: who has no undecided link to an earlier item is kept, who links to a
+kept one goes. That gives what a sequential pass gives, with joins by key only.
 """
 
 from __future__ import annotations
 
 from dataclasses import dataclass
 
-import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.scores import jaccard
 from ..functions.tokens import tokenize
+from .staging import stored
 
 EMPTY = "\x00none"
 
@@ -48,14 +54,22 @@ SKILL = Likeness("name", "description", 0.3, 0.7, 0.70)
 SKILL_CLEANUP = Likeness("name", "description", 0.3, 0.7, 0.80)
 
 
-def token_sets(items: DataFrame, like: Likeness, tokens=tokenize) -> DataFrame:
-    """items with ``t1`` and ``t2``, the token sets of the two fields."""
-    return items.withColumn("t1", F.array_distinct(tokens(F.coalesce(like.first, F.lit(""))))).withColumn("t2", F.array_distinct(tokens(F.coalesce(like.second, F.lit("")))))
+def classes(items: DataFrame, like: Likeness, order: list[Column], key: str = "id", group: str = "project_id", tokens=tokenize, also: tuple[str, ...] = ()) -> DataFrame:
+    """(key, group, o, rep, t1, t2): the class's first member in order stands for it. ``also``: columns that must be equal, too."""
+    place = F.struct(*[o.alias(f"o{i}") for i, o in enumerate(order)], F.col(key).alias("k"))
+    sets = items.select(
+        key, group, *also, place.alias("o"),
+        F.array_sort(F.array_distinct(tokens(F.coalesce(like.first, F.lit(""))))).alias("t1"), F.array_sort(F.array_distinct(tokens(F.coalesce(like.second, F.lit(""))))).alias("t2"),
+    )
+    print_of = F.sha2(F.to_json(F.struct("t1", "t2", *also)), 256)
+    marked = stored(sets.withColumn("class", print_of))
+    first = marked.groupBy(group, "class").agg(F.min("o").alias("first"))
+    return marked.join(first, [group, "class"]).withColumn("rep", F.col("first.k")).drop("class", "first")
 
 
-def pairs(items: DataFrame, like: Likeness, key: str = "id", group: str = "project_id", tokens=tokenize) -> DataFrame:
-    """(group, a, b, similarity), a < b, of all pairs at the threshold."""
-    sets = token_sets(items, like, tokens).select(key, group, "t1", "t2", F.col("t1" if like.strong == like.first else "t2").alias("s"))
+def links(reps: DataFrame, like: Likeness, key: str, group: str) -> DataFrame:
+    """(group, a, b, similarity), a < b, among rows (key, group, t1, t2)."""
+    sets = reps.select(key, group, F.col("t1" if like.strong == like.first else "t2").alias("s"))
     each = sets.select(key, group, F.explode(F.when(F.size("s") == 0, F.array(F.lit(EMPTY))).otherwise(F.col("s"))).alias("token"))
     rarity = each.groupBy(group, "token").agg(F.count("*").alias("df"))
     ordered = each.join(rarity, [group, "token"]).groupBy(key, group).agg(F.array_sort(F.collect_list(F.struct("df", "token"))).alias("by_df"))
@@ -66,37 +80,59 @@ def pairs(items: DataFrame, like: Likeness, key: str = "id", group: str = "proje
     b = probes.select(group, "token", F.col(key).alias("b"), F.col("n").alias("nb"))
     near = (F.col("a") < F.col("b")) & (F.least("na", "nb") >= F.greatest("na", "nb") * like.bound - 1e-9)
     found = a.join(b, [group, "token"]).where(near).select(group, "a", "b").distinct()
-    left = sets.select(F.col(key).alias("a"), F.col("t1").alias("a1"), F.col("t2").alias("a2"))
-    right = sets.select(F.col(key).alias("b"), F.col("t1").alias("b1"), F.col("t2").alias("b2"))
+    left = reps.select(F.col(key).alias("a"), F.col("t1").alias("a1"), F.col("t2").alias("a2"))
+    right = reps.select(F.col(key).alias("b"), F.col("t1").alias("b1"), F.col("t2").alias("b2"))
     sim = like.weight_first * jaccard(F.col("a1"), F.col("b1")) + like.weight_second * jaccard(F.col("a2"), F.col("b2"))
     return found.join(left, "a").join(right, "b").select(group, "a", "b", sim.alias("similarity")).where(F.col("similarity") >= like.threshold - 1e-12)
 
 
-def leaders(items: DataFrame, like: Likeness, order: list[str], key: str = "id", group: str = "project_id", tokens=tokenize) -> DataFrame:
-    """(key, group, keeper, similarity): in order, an item like a kept one goes; it is compared with kept ones only.
+def pairs(items: DataFrame, like: Likeness, key: str = "id", group: str = "project_id", tokens=tokenize) -> DataFrame:
+    """(group, a, b, similarity), a < b: all pairs of classes at the threshold, each class named by its least key."""
+    own = classes(items, like, [], key, group, tokens)
+    return links(own.where(F.col(key) == F.col("rep")), like, key, group)
+
+
+def members(items: DataFrame, like: Likeness, key: str = "id", group: str = "project_id", tokens=tokenize) -> DataFrame:
+    """(key, group, rep): which class every item belongs to."""
+    return classes(items, like, [], key, group, tokens).select(key, group, "rep")
 
-    The pass depends on its order and runs per project, over links only.
+
+def first_come(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """(id) of the nodes kept by a pass in order ``o``: who links to a kept one, or bears a kept one's label, goes.
+
+    nodes (id, o, label), label null: none; edges (later, earlier).
     """
-    links = pairs(items, like, key, group, tokens)
-    named = [f"_o{i}" for i in range(len(order))]
-    place = items.select(key, *[F.col(o).alias(n) for o, n in zip(order, named, strict=True)])
-    ends = links.join(place.select(F.col(key).alias("a"), F.struct(*named, F.col(key).alias("_k")).alias("oa")), "a").join(place.select(F.col(key).alias("b"), F.struct(*named, F.col(key).alias("_k")).alias("ob")), "b")
-    directed = ends.select(group, F.when(F.col("oa") < F.col("ob"), F.col("b")).otherwise(F.col("a")).alias("later"), F.when(F.col("oa") < F.col("ob"), F.col("a")).otherwise(F.col("b")).alias("earlier"), F.greatest("oa", "ob").alias("o"), F.least("oa", "ob").alias("p"), "similarity")
-    flat = directed.select(group, "later", "earlier", "similarity", *[F.col(f"o.{n}").alias(n) for n in named], *[F.col(f"p.{n}").alias(f"p{n}") for n in named])
-    kind = dict(items.dtypes)
-
-    def one(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values([*named, "later", *[f"p{n}" for n in named], "earlier"])
-        gone: dict = {}
-        for later, earlier, sim in zip(rows["later"], rows["earlier"], rows["similarity"], strict=True):
-            if later not in gone and earlier not in gone:
-                gone[later] = (earlier, sim)
-        return pd.DataFrame({key: list(gone), group: rows[group].iloc[0] if len(rows) else None, "keeper": [v[0] for v in gone.values()], "similarity": [v[1] for v in gone.values()]})
-
-    return flat.groupBy(group).applyInPandas(one, f"{key} {kind[key]}, {group} {kind[group]}, keeper {kind[key]}, similarity double")
-
-
-def admit(new: DataFrame, stored: DataFrame, like: Likeness, key: str = "id", group: str = "project_id", live: str = "state <> 'removed'", tokens=tokenize) -> DataFrame:
+    left, links_left, kept = stored(nodes), stored(edges.select("later", "earlier").distinct()), None
+    while not left.isEmpty():
+        first = left.where("label IS NOT NULL").groupBy("label").agg(F.min("o").alias("first"))
+        turn = left.join(first, "label", "left").where(F.col("first").isNull() | (F.col("o") == F.col("first")))
+        now = stored(turn.join(links_left.select(F.col("later").alias("id")), "id", "left_anti").select("id", "o", "label"))
+        by_link = links_left.join(now.select(F.col("id").alias("earlier")), "earlier", "left_semi").select(F.col("later").alias("id"))
+        by_label = left.join(now.where("label IS NOT NULL").select("label", F.col("id").alias("taker")), "label").where("id <> taker").select("id")
+        done = stored(by_link.unionByName(by_label).unionByName(now.select("id")).distinct())
+        left = stored(left.join(done, "id", "left_anti"))
+        links_left = stored(links_left.join(done.select(F.col("id").alias("later")), "later", "left_anti").join(done.select(F.col("id").alias("earlier")), "earlier", "left_anti"))
+        kept = now if kept is None else kept.unionByName(now)
+    return kept.select("id") if kept is not None else nodes.select("id").limit(0)
+
+
+def leaders(items: DataFrame, like: Likeness, order: list[str], key: str = "id", group: str = "project_id", tokens=tokenize) -> DataFrame:
+    """(key, group, keeper, similarity): in order, an item like a kept one goes; it is compared with kept ones only."""
+    own = stored(classes(items, like, [F.col(o) for o in order], key, group, tokens))
+    reps = own.where(F.col(key) == F.col("rep"))
+    found = stored(links(reps, like, key, group))
+    place = reps.select(F.col(key).alias("id"), "o")
+    ends = found.join(place.select(F.col("id").alias("a"), F.col("o").alias("oa")), "a").join(place.select(F.col("id").alias("b"), F.col("o").alias("ob")), "b")
+    a_first = F.col("oa") < F.col("ob")
+    directed = stored(ends.select(F.when(a_first, F.col("b")).otherwise(F.col("a")).alias("later"), F.when(a_first, F.col("a")).otherwise(F.col("b")).alias("earlier"), F.least("oa", "ob").alias("oe"), "similarity"))
+    kept = first_come(place.withColumn("label", F.lit(None).cast("string")), directed)
+    gone = directed.join(kept.select(F.col("id").alias("earlier")), "earlier", "left_semi").join(kept.select(F.col("id").alias("later")), "later", "left_anti")
+    by_rep = gone.groupBy(F.col("later").alias("rep")).agg(F.min_by("earlier", "oe").alias("keeper"), F.min_by("similarity", "oe").alias("similarity"))
+    whole = own.join(by_rep, "rep", "left").where(F.col("keeper").isNotNull() | (F.col(key) != F.col("rep")))
+    return whole.select(key, group, F.coalesce("keeper", "rep").alias("keeper"), F.coalesce("similarity", F.lit(1.0)).alias("similarity"))
+
+
+def admit(new: DataFrame, old: DataFrame, like: Likeness, key: str = "id", group: str = "project_id", live: str = "state <> 'removed'", tokens=tokenize) -> DataFrame:
     """(key, group, twin): for new items what already stands for them, null where they are admitted.
 
     An equal first field counts whatever the state of the stored item; likeness
@@ -104,31 +140,30 @@ def admit(new: DataFrame, stored: DataFrame, like: Likeness, key: str = "id", gr
     later ones see the earlier ones that were admitted.
     """
     name = like.first
-    equal = new.join(stored.select(group, name, F.col(key).alias("twin")), [group, name]).groupBy(key).agg(F.min("twin").alias("equal"))
-    both = stored.where(live).select(key, group, like.first, like.second, F.lit(0).alias("fresh")).unionByName(new.select(key, group, like.first, like.second, F.lit(1).alias("fresh")))
-    links = pairs(both, like, key, group, tokens).select(group, "a", "b")
-    side = both.select(F.col(key).alias("x"), "fresh")
-    near = links.join(side.select(F.col("x").alias("a"), F.col("fresh").alias("fa")), "a").join(side.select(F.col("x").alias("b"), F.col("fresh").alias("fb")), "b").where("fa + fb > 0")
-    mine = near.select(F.when(F.col("fb") == 1, F.col("b")).otherwise(F.col("a")).alias(key), F.when(F.col("fb") == 1, F.col("a")).otherwise(F.col("b")).alias("other"), F.when(F.col("fb") == 1, F.col("fa")).otherwise(F.col("fb")).alias("other_fresh"))
-    per = mine.groupBy(key).agg(F.collect_list(F.struct("other_fresh", "other")).alias("others"))
-    same = new.select(key, group, name).join(equal, key, "left").join(per, key, "left")
-    kind = dict(new.dtypes)
-
-    def one(rows: pd.DataFrame) -> pd.DataFrame:
-        out, admitted, titles = [], set(), {}
-        for r in rows.sort_values(key).itertuples(index=False):
-            k, title, known = getattr(r, key), getattr(r, name), r.equal
-            twin = None if pd.isna(known) else known
-            if twin is None:
-                twin = titles.get(title)
-            for o in sorted(r.others, key=lambda o: (o["other_fresh"], o["other"])) if twin is None and r.others is not None else ():
-                if not o["other_fresh"] or o["other"] in admitted:
-                    twin = o["other"]
-                    break
-            if twin is None:
-                admitted.add(k)
-                titles[title] = k
-            out.append((k, getattr(r, group), twin))
-        return pd.DataFrame(out, columns=[key, group, "twin"])
-
-    return same.groupBy(group).applyInPandas(one, f"{key} {kind[key]}, {group} {kind[group]}, twin {kind[key]}")
+    columns = [key, group, like.first, like.second]
+    both = old.where(live).select(*columns, F.lit(0).alias("fresh")).unionByName(new.select(*columns, F.lit(1).alias("fresh")))
+    own = stored(classes(both, like, [F.col("fresh")], key, group, tokens, also=(name, "fresh")))
+    reps = own.where(F.col(key) == F.col("rep"))
+    found = stored(links(reps, like, key, group))
+    side = reps.select(F.col(key).alias("x"), "fresh")
+    ends = found.join(side.select(F.col("x").alias("a"), F.col("fresh").alias("fa")), "a").join(side.select(F.col("x").alias("b"), F.col("fresh").alias("fb")), "b")
+
+    # What the stored items decide.
+    equal = new.select(key, group, name).join(old.select(group, name, F.col(key).alias("twin")), [group, name]).groupBy(key).agg(F.min("twin").alias("equal"))
+    of_old = ends.where("fa + fb = 1").select(F.when(F.col("fa") == 1, F.col("a")).otherwise(F.col("b")).alias("rep"), F.when(F.col("fa") == 1, F.col("b")).otherwise(F.col("a")).alias("twin"))
+    alike = of_old.groupBy("rep").agg(F.min("twin").alias("alike"))
+    fresh = stored(own.where("fresh = 1").select(key, group, name, "rep", "o").join(equal, key, "left").join(alike, "rep", "left").withColumn("known", F.coalesce("equal", "alike")))
+
+    # What they decide among themselves.
+    open_ = fresh.where((F.col(key) == F.col("rep")) & F.col("known").isNull())
+    nodes = open_.select(F.col(key).alias("id"), "o", F.to_json(F.struct(group, name)).alias("label"))
+    ids = nodes.select("id")
+    edges = ends.where("fa = 1 AND fb = 1").select(F.col("b").alias("later"), F.col("a").alias("earlier")).join(ids.select(F.col("id").alias("later")), "later", "left_semi").join(ids.select(F.col("id").alias("earlier")), "earlier", "left_semi")
+    edges = stored(edges)
+    kept = stored(first_come(nodes, edges))
+    by_link = edges.join(kept.select(F.col("id").alias("earlier")), "earlier", "left_semi").select(F.col("later").alias("rep"), "earlier")
+    labels = nodes.join(kept, "id", "left_semi").select("label", F.col("id").alias("earlier"))
+    by_name = nodes.join(labels, "label").where("earlier < id").select(F.col("id").alias("rep"), "earlier")
+    twins = by_link.unionByName(by_name).groupBy("rep").agg(F.min("earlier").alias("later_twin")).join(kept.select(F.col("id").alias("rep")), "rep", "left_anti")
+    verdict = F.coalesce("known", "later_twin", F.when(F.col(key) != F.col("rep"), F.col("rep")))
+    return fresh.join(twins, "rep", "left").select(key, group, verdict.alias("twin"))

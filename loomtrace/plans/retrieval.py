@@ -104,21 +104,31 @@ def hybrid_rrf(spark: SparkSession, d: str) -> DataFrame:
     return vectors.hybrid("id", words, near, 20).select("id", F.round("score", 6).alias("score"))
 
 
-PLAIN_SIM = """x AS (SELECT id, project_id, list_distinct(regexp_extract_all(lower(title), '[a-z0-9]+')) AS t1, list_distinct(regexp_extract_all(lower(content), '[a-z0-9]+')) AS t2 FROM mem WHERE state <> 'removed'),
+PLAIN_SIM = """x0 AS (SELECT id, project_id, extracted, list_sort(list_distinct(regexp_extract_all(lower(title), '[a-z0-9]+'))) AS t1, list_sort(list_distinct(regexp_extract_all(lower(content), '[a-z0-9]+'))) AS t2 FROM mem WHERE state <> 'removed'),
+x AS ({reps}),
 pr AS (SELECT a.project_id, a.id AS a, b.id AS b, a.t1 AS a1, b.t1 AS b1, a.t2 AS a2, b.t2 AS b2, len(list_intersect(a.t1, b.t1)) AS i1, len(list_intersect(a.t2, b.t2)) AS i2
   FROM x a JOIN x b ON a.project_id = b.project_id AND a.id < b.id),
 si AS (SELECT project_id, a, b, CASE WHEN len(a1) = 0 AND len(b1) = 0 THEN 1.0 WHEN len(a1) = 0 OR len(b1) = 0 THEN 0.0 ELSE i1 / (len(a1) + len(b1) - i1) END AS j1,
   CASE WHEN len(a2) = 0 AND len(b2) = 0 THEN 1.0 WHEN len(a2) = 0 OR len(b2) = 0 THEN 0.0 ELSE i2 / (len(a2) + len(b2) - i2) END AS j2 FROM pr)"""
 
 
-@query("combined_pairs", f"WITH {MEMORIES_SQL}, {PLAIN_SIM} SELECT project_id, a, b, round(0.6 * j1 + 0.4 * j2, 6) AS similarity FROM si WHERE 0.6 * j1 + 0.4 * j2 >= 0.75 - 1e-12")
+#: One memory of each class of equal token sets.
+REPS = "SELECT project_id, t1, t2, min(id) AS id FROM x0 GROUP BY ALL"
+
+
+@query("combined_pairs", f"WITH {MEMORIES_SQL}, {PLAIN_SIM.format(reps=REPS)} SELECT project_id, a, b, round(0.6 * j1 + 0.4 * j2, 6) AS similarity FROM si WHERE 0.6 * j1 + 0.4 * j2 >= 0.75 - 1e-12")
 def combined_pairs(spark: SparkSession, d: str) -> DataFrame:
-    """All pairs of live memories in a project at the clean-up threshold (plain tokens, as SQL has them)."""
+    """All pairs of classes of live memories in a project at the clean-up threshold (plain tokens, as SQL has them)."""
     m = memories(spark, d).where("state <> 'removed'")
     return similar.pairs(m, similar.MEMORY_CLEANUP, tokens=plain_terms).select("project_id", "a", "b", F.round("similarity", 6).alias("similarity"))
 
 
-@query("greedy_dedup", f"""WITH RECURSIVE {MEMORIES_SQL}, {PLAIN_SIM}, lk AS (SELECT project_id, a, b FROM si WHERE 0.6 * j1 + 0.4 * j2 >= 0.75 - 1e-12),
+@query("pair_classes", f"WITH {MEMORIES_SQL}, {PLAIN_SIM.format(reps=REPS)} SELECT x0.id, x0.project_id, x.id AS rep FROM x0 JOIN x USING (project_id, t1, t2)")
+def pair_classes(spark: SparkSession, d: str) -> DataFrame:
+    return similar.members(memories(spark, d).where("state <> 'removed'"), similar.MEMORY_CLEANUP, tokens=plain_terms)
+
+
+@query("greedy_dedup", f"""WITH RECURSIVE {MEMORIES_SQL}, {PLAIN_SIM.format(reps="SELECT * FROM x0")}, lk AS (SELECT project_id, a, b FROM si WHERE 0.6 * j1 + 0.4 * j2 >= 0.75 - 1e-12),
 od AS (SELECT id, project_id, row_number() OVER (PARTITION BY project_id ORDER BY extracted, id) AS n FROM mem WHERE state <> 'removed'),
 le AS (SELECT o1.project_id, o1.id AS later, o1.n AS nl, o2.n AS ne FROM lk JOIN od o1 ON o1.id IN (lk.a, lk.b) JOIN od o2 ON o2.id IN (lk.a, lk.b) AND o2.n < o1.n),
 step(project_id, n, gone) AS (SELECT DISTINCT project_id, 0::BIGINT, []::BIGINT[] FROM od
