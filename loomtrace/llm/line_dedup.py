@@ -70,9 +70,10 @@ def meetings(lines: DataFrame) -> DataFrame:
     single = F.transform("h", lambda x, i: F.struct(x.alias("key"), (F.get("words", i) >= MIN_WORDS).alias("wide")))
     double = F.when(F.size("h") > 1, F.transform(F.sequence(F.lit(0), F.size("h") - 2), lambda i: F.struct(F.xxhash64(F.get("h", i), F.get("h", i + 1)).alias("key"), F.lit(True).alias("wide")))).otherwise(F.array().cast("array<struct<key:bigint,wide:boolean>>"))
     keys = lines.select(who, F.explode(F.array_distinct(F.concat(single, double))).alias("k")).select("who", "k.key", "k.wide")
-    held = keys.groupBy("key", "wide").agg(F.count("*").alias("n"), F.min("who").alias("least")).where((F.col("n") > 1) & (F.col("wide") | (F.col("n") <= RARE)))
+    held = stored(keys.groupBy("key", "wide").agg(F.count("*").alias("n"), F.min("who").alias("least")).where((F.col("n") > 1) & (F.col("wide") | (F.col("n") <= RARE))))
     subs = F.when(F.col("n") <= RARE, F.lit(1).cast("bigint")).otherwise(F.ceil(F.sqrt("n")))
-    dealt = keys.join(held, ["key", "wide"]).select("who", "key", "wide", "least", F.pmod(F.xxhash64("who"), subs).alias("sub"))
+    # Written, so that the join stands alone and a key of many holders can be split.
+    dealt = stored(keys.join(held, ["key", "wide"]).select("who", "key", "wide", "least", F.pmod(F.xxhash64("who"), subs).alias("sub")))
     tops = dealt.groupBy("key", "wide", "sub").agg(F.min("who").alias("early"), F.first("least").alias("least"))
     to_top = dealt.select("who", "key", "wide", "sub").join(tops, ["key", "wide", "sub"]).select(F.col("who").alias("late"), "early")
     to_all = tops.select(F.col("early").alias("late"), F.col("least").alias("early"))
@@ -97,7 +98,7 @@ def removals(docs: DataFrame) -> DataFrame:
     """(doc_id, th, blocks): for documents that lose lines; null blocks: all lines, if they are enough for one."""
     lines = stored(_hashed(docs))
     digests = docs.select("doc_id", "th", F.md5("text").alias("digest"))
-    firsts = digests.groupBy("digest").agg(F.min("doc_id").alias("least"))
+    firsts = stored(digests.groupBy("digest").agg(F.min("doc_id").alias("least")))
     placed = stored(digests.join(firsts, "digest").select("doc_id", "th", (F.col("doc_id") == F.col("least")).alias("leads")).distinct())
     leads = stored(lines.where(F.size("h") > 0).join(placed.where("leads").select("doc_id", "th"), ["doc_id", "th"]).dropDuplicates(["doc_id", "th"]))
     pairs = stored(meetings(leads).select("late.doc_id", "late.th", F.col("early.doc_id").alias("e_id"), F.col("early.th").alias("e_th")))
