@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .operators import analytics, browse, changes, extract, ranking, search, similar, vectors
+from .operators.staging import stored
 from .operators.store import Store
 from .sources import lines, normalize
 
@@ -171,18 +172,18 @@ class Engine:
         """Those that nothing stands for yet are stored, with vectors. ``new``: session_id, project_id, and fields. Returns the verdicts."""
         old = self.table("memories")
         ready = changes.numbered(new, old, ["project_id", "title"]).withColumns({"state": F.lit("new"), "is_validated": F.lit(False), "access_count": F.lit(0), "extracted_at": self.now})
-        shaped = self.spark.createDataFrame(self.store._shaped(ready, "memories").collect(), old.schema)  # one session's answers
+        shaped = stored(self.store._shaped(ready, "memories"))
         verdicts = similar.admit(shaped, old, similar.MEMORY)
-        fresh = shaped.join(verdicts.where("twin IS NULL").select("id"), "id", "left_semi")
-        self.store.append("memories", fresh)
+        verdicts = stored(verdicts)
+        self.store.append("memories", shaped.join(verdicts.where("twin IS NULL").select("id"), "id", "left_semi"))
         return verdicts
 
     def add_skills(self, new: DataFrame) -> DataFrame:
         """A skill that is known already gets one more session instead."""
         old = self.store.read("skills")
         ready = changes.numbered(new, old, ["project_id", "name"]).withColumn("extracted_at", self.now)
-        shaped = self.spark.createDataFrame(self.store._shaped(ready, "skills").collect(), old.schema)
-        verdicts = similar.admit(shaped, old, similar.SKILL, live="true")
+        shaped = stored(self.store._shaped(ready, "skills"))
+        verdicts = stored(similar.admit(shaped, old, similar.SKILL, live="true"))
         self.store.append("skills", shaped.join(verdicts.where("twin IS NULL").select("id"), "id", "left_semi"))
         links = shaped.join(verdicts, ["id", "project_id"]).select(F.coalesce("twin", "id").alias("skill_id"), "session_id", self.now.alias("added_at"))
         known = self.store.read("skill_sessions")
@@ -217,7 +218,7 @@ class Engine:
         """One sweep over all projects; returns the report."""
         m = self.table("memories")
         evaluated = ranking.evaluate(ranking.batch(m, self.now), self.now)
-        report = self.spark.createDataFrame(ranking.report(evaluated).collect(), ranking.report(evaluated).schema)  # a row per project
+        report = stored(ranking.report(evaluated))
         self.store.write("memories", ranking.apply(self.store.read("memories").drop("access_count", "last_accessed_at").join(m.select("id", "access_count", "last_accessed_at"), "id"), self.now))
         self.store.write("memory_access", self.store.empty("memory_access"))
         return report

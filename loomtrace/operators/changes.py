@@ -7,6 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..schema import CHECKS, CHILDREN, KEYS
+from .staging import stored
 
 
 def upsert(old: DataFrame, new: DataFrame, keys: list[str], keep: list[str] = ()) -> DataFrame:
@@ -57,7 +58,8 @@ def delete(tables: dict[str, DataFrame], name: str, where: Column) -> dict[str,
 def numbered(new: DataFrame, old: DataFrame, order: list[str], key: str = "id") -> DataFrame:
     """``new`` with ids that follow the largest of ``old``; ranked in buckets, no sort of the whole."""
     first = F.coalesce(old.agg(F.max(key)).scalar(), F.lit(0))
-    spread = new.withColumn("_b", F.spark_partition_id()).withColumn("_r", F.row_number().over(W.partitionBy("_b").orderBy(*order)))
+    # Written, as the buckets are the partitions of this one run.
+    spread = stored(new.withColumn("_b", F.spark_partition_id()).withColumn("_r", F.row_number().over(W.partitionBy("_b").orderBy(*order))))
     sizes = spread.groupBy("_b").agg(F.count("*").alias("_n"))
     before = sizes.select("_b", F.coalesce(F.sum("_n").over(W.orderBy("_b").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("_f"))
     return spread.join(F.broadcast(before), "_b").withColumn(key, (first + F.col("_f") + F.col("_r")).cast("bigint")).drop("_b", "_r", "_f")

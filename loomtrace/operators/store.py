@@ -71,12 +71,15 @@ class Store:
         dealt.write.mode(mode).option("partitionOverwriteMode", "dynamic").partitionBy("bucket").parquet(f"{self.root}/session_messages/parts")
 
     def append(self, name: str, rows: DataFrame) -> None:
-        """Rows whose key is not there yet."""
+        """Messages: those whose key is not there yet. Other tables: all rows, added to the newest snapshot."""
         if name == "session_messages":
             known = self.of_sessions(rows.select("session_id")).select(KEYS[name])
             fresh = rows.dropDuplicates(KEYS[name]).join(known, KEYS[name], "left_anti")
             return self._partitions(fresh, "append")
-        self.write(name, self.read(name).unionByName(self._shaped(rows, name)))
+        found = self._snapshots(name)
+        if not found:
+            return self.write(name, rows)
+        self._shaped(rows, name).write.mode("append").parquet(f"{self.root}/{name}/{found[-1]:08d}")
 
     def of_sessions(self, sessions: DataFrame) -> DataFrame:
         """The messages of these sessions (session_id); only the partitions that they lie in are read."""

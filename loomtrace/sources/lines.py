@@ -89,7 +89,7 @@ def changes(spark: SparkSession, folder: str, state: DataFrame) -> DataFrame:
 def read_changes(spark: SparkSession, folder: str, changed: DataFrame) -> DataFrame:
     """The complete lines that ``changes`` asks for, with their files' action."""
     wanted = changed.where("action <> 'skip'").select("path", "action", F.when(F.col("action") == "tail", F.col("file_size")).otherwise(0).cast("bigint").alias("start"), F.when(F.col("action") == "tail", F.col("next_line")).otherwise(0).cast("bigint").alias("next_line"))
-    found = files(spark, folder).select("path", "content").join(F.broadcast(wanted), "path")
+    found = files(spark, folder).select("path", "content").join(wanted, "path")
     return _cut(found, False).join(wanted.select("path", "action"), "path")
 
 
