@@ -164,12 +164,13 @@ def spans(docs: DataFrame) -> DataFrame:
     ``docs`` has doc_id, th (a hash of the text) and text, none of them null.
     """
     known = stored(docs.select("doc_id", "th", F.md5("text").alias("digest")))
-    firsts = known.groupBy("digest").agg(F.min("doc_id").alias("least"))
+    # Sums that a join follows are written first: the join stands alone then, and keys of many rows can be split.
+    firsts = stored(known.groupBy("digest").agg(F.min("doc_id").alias("least")))
     placed = stored(known.join(firsts, "digest").select("doc_id", "th", (F.col("doc_id") == F.col("least")).alias("leads")).distinct())
     copies = placed.where("NOT leads").select("doc_id", "th")
 
     rows = stored(_anchor_rows(docs))
-    shared = rows.groupBy("anchor").agg(F.min("doc_id").alias("first"), F.min("th").alias("a"), F.max("th").alias("b")).where("a <> b").select("anchor", "first")
+    shared = stored(rows.groupBy("anchor").agg(F.min("doc_id").alias("first"), F.min("th").alias("a"), F.max("th").alias("b")).where("a <> b").select("anchor", "first"))
     led = rows.join(shared, "anchor").groupBy("doc_id", "th").agg(F.collect_list(F.struct("anchor", "first")).alias("led"))
     led = led.join(placed.where("leads").select("doc_id", "th"), ["doc_id", "th"])
     found = stored(_stretches(docs.join(led, ["doc_id", "th"])))
@@ -183,7 +184,7 @@ def spans(docs: DataFrame) -> DataFrame:
     met = stored(_matched(dealt))
 
     left = met.where("one <> 0")
-    least = left.groupBy("one", "two").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("last")).where("least < last").select("one", "two", "least")
+    least = stored(left.groupBy("one", "two").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("last")).where("least < last").select("one", "two", "least"))
     later = left.join(least, ["one", "two"]).where("doc_id > least")
     runs = met.where("one = 0").unionByName(later.drop("least")).select("doc_id", "th", F.struct("start", "stop").alias("run"))
     partly = runs.groupBy("doc_id", "th").agg(F.collect_list("run").alias("spans"))
