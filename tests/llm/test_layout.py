@@ -267,3 +267,29 @@ def test_pipeline_by_hand(spark, make, tmp_path, vocabulary):
     assert set(kept[3]) <= set(kept[2]) and max(kept[3].values()) <= 3
     assert kept[4] == kept[3]
     assert cp.run(spark, str(tmp_path)).count() == sum(kept[4].values())
+
+
+def test_every_stage_takes_odd_and_empty_tables(spark, odd, tmp_path):
+    import corpus_pipeline as cp
+
+    spark.createDataFrame([(1, 1, 0), (4, 0, 1), (None, None, None)], "doc_id bigint, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    spark.createDataFrame([(1, "one two three four five six seven"), (None, None)], "item_id bigint, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    for name, stage in cp.STAGES:
+        for docs in (odd, odd.limit(0)):
+            got = stage(spark, docs, str(tmp_path))
+            assert name == "sharding" or got.columns == docs.columns
+            assert got.count() <= 3 * 10
+
+
+def test_oracles_match(spark, tmp_path):
+    """The SQL twins over the smallest tables."""
+    import duckdb
+
+    d, db = "/root/testdata/sf0.001", duckdb.connect()
+    for t in ("documents", "labels"):
+        db.sql(f"CREATE VIEW {t} AS SELECT * FROM '{d}/{t}.parquet'")
+    for name, sql in queries.ORACLES.items():
+        got, want = queries.QUERIES[name](spark, d).toPandas(), db.sql(sql).df()
+        assert sorted(got.columns) == sorted(want.columns)
+        as_text = lambda f: sorted(map(str, f[sorted(f.columns)].astype(str).itertuples(index=False, name=None)))
+        assert as_text(got) == as_text(want), name
