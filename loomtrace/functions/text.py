@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import os
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -101,6 +104,21 @@ def project_name(folder: Column) -> Column:
     return F.element_at(F.split(folder, "-"), -1)
 
 
+def project_name_on_disk(folder: str, is_dir: Callable[[str], bool] = os.path.isdir) -> str:
+    """What follows the longest path that is there, where dashes may stand for separators; else the last part.
+
+    Asks the disk, so it is for the machine that holds the projects; `project_name` needs none.
+    """
+    if not folder.startswith("-"):
+        return folder
+    parts = folder[1:].split("-")
+    if is_dir("/" + "/".join(parts)):
+        return parts[-1]
+    there = (n for n in range(len(parts) - 1, 0, -1) if is_dir("/" + "/".join(parts[:n])))
+    rest = next(("-".join(parts[n:]) for n in there if any(parts[n:])), "")
+    return rest or parts[-1] or folder
+
+
 def looks_like_uuid(text: Column) -> Column:
     return (F.length(text) == 36) & (F.substring(text, 9, 1) == "-") & (F.substring(text, 14, 1) == "-")
 

@@ -122,14 +122,16 @@ def worth_extracting(what: str, least_new: int = 25) -> Column:
 
 
 def session_context(memories: DataFrame, contexts: DataFrame, session_id: str, project_id: str) -> DataFrame:
-    """The session's own 20, 15 of the three other contexts changed last, and 20 of high state: (part, memory)."""
+    """The session's own 20, 15 of the three other contexts changed last, and 20 of high state: (part, place, memory)."""
     live = memories.where("state <> 'removed'")
-    newest = lambda rows, n: rows.orderBy(F.desc("extracted_at"), "id").limit(n)
+    best, last = [F.desc("confidence"), F.desc("extracted_at"), F.col("id")], [F.desc("extracted_at"), F.col("id")]
+    newest = lambda rows, n: rows.orderBy(*last).limit(n)
     others = contexts.where((F.col("project_id") == project_id) & (F.col("session_id") != session_id)).orderBy(F.desc("updated_at"), "session_id").limit(3).select("session_id")
     own = newest(live.where(F.col("session_id") == session_id), 20)
     recent = newest(live.join(others, "session_id", "left_semi"), 15)
     lasting = best_first(live.where((F.col("project_id") == project_id) & (F.col("state") == "high"))).limit(20)
-    parts = [x.select(F.lit(p).alias("part"), *memories.columns) for p, x in (("session", own), ("recent", recent), ("persistent", lasting))]
+    placed = lambda order: F.row_number().over(W.orderBy(*order)).alias("place")  # noqa: E731  of 20 rows
+    parts = [x.select(F.lit(p).alias("part"), placed(o), *memories.columns) for p, x, o in (("session", own, last), ("recent", recent, last), ("persistent", lasting, best))]
     return parts[0].unionByName(parts[1]).unionByName(parts[2])
 
 
@@ -168,3 +170,23 @@ def results_markdown(rows: DataFrame, project: str, asked: str | None, order: Co
     found = F.concat(F.lit("Found "), F.col("n").cast("string"), F.lit(f" memories in project '{project}'{query}:\n\n"), "body")
     none = f"No memories found for query '{asked}' in project '{project}'." if asked is not None else f"No memories found in project '{project}'."
     return body.select(F.when(F.col("n") > 0, found).otherwise(F.lit(none)).alias("markdown"))
+
+
+#: Headings of a session's context, in order.
+PARTS = {"persistent": "### Persistent Knowledge (High Importance)", "session": "### This Session's Memories", "recent": "### Recent Memories (Last 3 Sessions)"}
+
+
+def session_markdown(found: DataFrame, context: DataFrame, project: str, k: int = 5) -> DataFrame:
+    """One row: the session's state and the first ``k`` of each part of `session_context`."""
+    bullet = lambda c, head: F.when(F.size(c) > 0, F.concat(F.lit(f"\n**{head}:**\n"), F.array_join(F.transform(c, lambda x: F.concat(F.lit("- "), x, F.lit("\n"))), "")))
+    state = context.select(F.concat_ws(
+        "", F.lit(f"## Session Context for {project}\n\n### Current State\n"), F.concat(F.lit("**Active Task:** "), "active_task", F.lit("\n")), F.concat(F.lit("**Resume Context:** "), "resume_context", F.lit("\n")),
+        bullet("recent_decisions", "Recent Decisions"), bullet("open_questions", "Open Questions"),
+    ).alias("state"))
+    line = F.concat(F.lit("- **["), F.initcap("memory_type"), F.lit("] "), "title", F.lit("**: "), "content", F.lit("\n"))
+    listed = found.withColumn("line", line).groupBy("part").agg(F.transform(F.array_sort(F.collect_list(F.struct("place", "line"))), lambda x: x["line"]).alias("lines"))
+    own = F.map_from_entries(F.collect_list(F.struct("part", F.array_join(F.slice("lines", 1, k), "").alias("text"))))
+    by_part = listed.agg(own.alias("m")).select("m").scalar()
+    rows = state.withColumn("m", by_part)
+    parts = [F.concat(F.lit(f"\n{head}\n"), F.try_element_at("m", F.lit(part))) for part, head in PARTS.items()]
+    return rows.select(F.concat_ws("", "state", *parts).alias("markdown"))

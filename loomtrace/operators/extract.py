@@ -114,20 +114,31 @@ def title_input(messages: DataFrame, first: int = 10, each: int = 500, most: int
 
 
 def raw_export(messages: DataFrame) -> DataFrame:
-    return _joined(messages, F.concat(F.lit("## "), F.initcap("role"), F.lit("\n"), F.coalesce("search_content", F.lit(""))), "\n\n").select("session_id", "text")
+    return _joined(messages, F.concat(F.lit("### "), F.initcap("role"), F.lit("\n"), F.coalesce("search_content", F.lit(""))), "\n\n").select("session_id", "text")
+
+
+#: What a message's heading begins with, and what marks a cut.
+HEADING, CUT_MARK = "\n### ", "\n\n[... content truncated for length ...]"
 
 
 def cut_at_heading(text: str, most: int = 100_000) -> str:
-    """At most ``most`` bytes, ending at the last message heading or else at a line's end."""
+    """At most ``most`` bytes, ending before the last message heading, or else at a line's end."""
     raw = text.encode()
     if len(raw) <= most:
         return text
     head = raw[:most].decode("utf-8", "ignore")
-    for mark in ("\n## ", "\n"):
-        at = head.rfind(mark)
-        if at > 0:
-            return head[:at] + "\n\n[Content truncated]"
-    return head + "\n\n[Content truncated]"
+    ends = [at for at in (head.rfind(HEADING), head.rfind("\n")) if at >= 0]
+    return head[: ends[0]] + CUT_MARK if ends else head + "..."
+
+
+def export_prompts(texts: DataFrame, instruction: str, most: int = 100_000) -> DataFrame:
+    """texts (session_id, text) with a prompt for one call each, the text cut to size."""
+
+    @F.pandas_udf("string")
+    def cut(t: pd.Series) -> pd.Series:
+        return t.map(lambda x: cut_at_heading(x or "", most))
+
+    return texts.withColumn("prompt", F.concat(F.lit(instruction + "\n\nSession content:\n"), cut(F.col("text"))))
 
 
 def ask(prompts: DataFrame, make: Callable[[], Model], key: list[str], permits: int = 3) -> DataFrame:

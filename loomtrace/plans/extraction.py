@@ -37,7 +37,7 @@ def skill_transcript(spark: SparkSession, d: str) -> DataFrame:
     return extract.skill_transcript(talk(spark, d), least=3)
 
 
-@query("raw_export", TALK + " SELECT session_id, string_agg('## ' || upper(left(role, 1)) || substr(role, 2) || chr(10) || search_content, chr(10) || chr(10) ORDER BY sequence_num) AS text FROM t GROUP BY 1")
+@query("raw_export", TALK + " SELECT session_id, string_agg('### ' || upper(left(role, 1)) || substr(role, 2) || chr(10) || search_content, chr(10) || chr(10) ORDER BY sequence_num) AS text FROM t GROUP BY 1")
 def raw_export(spark: SparkSession, d: str) -> DataFrame:
     return extract.raw_export(talk(spark, d))
 

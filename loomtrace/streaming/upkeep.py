@@ -1,0 +1,46 @@
+"""What is watched and what is done from time to time. A scheduler outside calls `run`."""
+
+from __future__ import annotations
+
+import os
+from dataclasses import dataclass
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql.streaming import StreamingQuery
+
+from ..api import Engine
+from ..sources.messages import of_tool
+from . import ingest
+
+
+@dataclass(frozen=True)
+class Watched:
+    """A folder and the tool whose transcripts lie in it."""
+
+    path: str
+    tool: str
+    enabled: bool = True
+
+    @property
+    def folder(self) -> str:
+        return os.path.expanduser(self.path)
+
+
+def usable(folders: list[Watched]) -> list[Watched]:
+    """Those enabled, of a known format."""
+    return [w for w in folders if w.enabled and of_tool(w.tool)]
+
+
+def watch_all(spark: SparkSession, folders: list[Watched], engine: Engine, checkpoints: str, seconds: float = 0.2) -> list[StreamingQuery]:
+    """A stream for each folder."""
+    return [ingest.watch(spark, w.folder, engine.store, w.tool, f"{checkpoints}/{i}", seconds) for i, w in enumerate(usable(folders))]
+
+
+#: Job -> hours between runs.
+EVERY_HOURS = {"ranking": 6, "embedding_refresh": 12, "duplicate_cleanup": 24, "skill_cleanup": 24}
+
+
+def run(engine: Engine, job: str) -> DataFrame | None:
+    """One run of a job over all projects."""
+    jobs = {"ranking": engine.rank, "embedding_refresh": engine.embed_missing, "duplicate_cleanup": engine.clean_memories, "skill_cleanup": engine.clean_skills}
+    return jobs[job]()

@@ -233,3 +233,14 @@ def test_idle_windows_on_a_stream(spark, tmp_path):
     q.awaitTermination(60)
     got = sorted((r.k, r.n) for r in spark.table("windows").collect())
     assert got == [(1, 1), (1, 2), (2, 1)]
+
+
+def test_watched_folders_and_jobs(spark, tmp_path, now):
+    from loomtrace.streaming import upkeep
+
+    folders = [upkeep.Watched("~/a", "claude_code"), upkeep.Watched("/b", "openclaw", False), upkeep.Watched("/c", "other")]
+    assert [w.path for w in upkeep.usable(folders)] == ["~/a"] and not folders[0].folder.startswith("~")
+    e = Engine(spark, str(tmp_path), now=now)
+    for job in upkeep.EVERY_HOURS:
+        upkeep.run(e, job)
+    assert e.memories().count() == 0

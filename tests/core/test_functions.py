@@ -101,3 +101,9 @@ def test_jaccard_and_cosine(spark):
     assert [r[0] for r in rows.select(scores.jaccard(F.col("a"), F.col("b"))).collect()] == [1.0, 0.0, 1.0, 0.0, 0.5]
     rows = spark.createDataFrame([([1.0, 0.0], [1.0, 0.0]), ([1.0, 0.0], [0.0, 1.0]), ([0.0, 0.0], [1.0, 0.0]), ([1.0], [1.0, 0.0]), ([], [])], "a array<float>, b array<float>")
     assert [r[0] for r in rows.select(scores.cosine(F.col("a"), F.col("b"))).collect()] == [1.0, 0.0, 0.0, 0.0, 0.0]
+
+
+def test_project_name_on_disk():
+    there = {"/home", "/home/me", "/home/me/app"}
+    name = lambda f: t.project_name_on_disk(f, there.__contains__)
+    assert [name(x) for x in ("-home-me-app", "-home-me-my-tool", "-gone-away-x", "plain", "-")] == ["app", "my-tool", "x", "plain", "-"]

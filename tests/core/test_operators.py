@@ -257,11 +257,15 @@ def test_a_model_that_fails_is_a_row(spark):
     assert got == {1: ("OK", None), 2: (None, "RuntimeError: no")}
 
 
-def test_export_is_cut_at_a_heading():
-    text = "## A\n" + "x" * 50 + "\n## B\n" + "y" * 50
+def test_export_is_cut_at_a_heading(spark):
+    text = "### A\n" + "x" * 50 + "\n### B\n" + "y" * 50
+    mark = extract.CUT_MARK
     assert extract.cut_at_heading(text, 200) == text
-    assert extract.cut_at_heading(text, 80) == "## A\n" + "x" * 50 + "\n\n[Content truncated]"
-    assert extract.cut_at_heading("é" * 60, 61) == "é" * 30 + "\n\n[Content truncated]"
+    assert extract.cut_at_heading(text, 80) == "### A\n" + "x" * 50 + mark
+    assert extract.cut_at_heading("ab\ncd" * 9, 10) == "ab\ncdab" + mark
+    assert extract.cut_at_heading("é" * 60, 61) == "é" * 30 + "..."
+    got = extract.export_prompts(spark.createDataFrame([("s", text)], "session_id string, text string"), "Sum up", 80).first()
+    assert got.prompt.startswith("Sum up\n\nSession content:\n### A") and got.prompt.endswith(mark)
 
 
 def test_policy(spark):
@@ -322,3 +326,13 @@ def test_streak_and_markdown(spark):
     got = {r.project_id: r.markdown for r in browse.project_markdown(m, names).collect()}
     assert got["p"] == "Project Context for 'P' (3 memories):\n\n## Key Decisions\n- **t2**: c2\n\n## Facts & Discoveries\n- **t3**: c3\n- **t1**: c1\n\n"
     assert got["q"] == "No memories found for project 'Q'."
+
+
+def test_session_markdown(spark):
+    m = spark.createDataFrame([("persistent", 1, 1, "fact", "t", "c"), ("session", 1, 2, "task", "u", "d")] + [("recent", 9 - i, i, "decision", f"r{i}", "x") for i in range(9)], "part string, place int, id bigint, memory_type string, title string, content string")
+    c = spark.createDataFrame([("s", "ship", "go on", ["a", "b"], [])], "session_id string, active_task string, resume_context string, recent_decisions array<string>, open_questions array<string>")
+    got = browse.session_markdown(m, c, "P").first().markdown
+    assert got.startswith("## Session Context for P\n\n### Current State\n**Active Task:** ship\n**Resume Context:** go on\n\n**Recent Decisions:**\n- a\n- b\n\n### Persistent Knowledge (High Importance)\n- **[Fact] t**: c\n\n### This Session's Memories\n- **[Task] u**: d\n\n### Recent Memories (Last 3 Sessions)\n")
+    assert got.count("[Decision]") == 5 and got.endswith("r4**: x\n") and "r8**" in got
+    bare = browse.session_markdown(m.limit(0), c.select("session_id", *[F.lit(None).cast(k).alias(n) for n, k in c.dtypes[1:]]), "P").first().markdown
+    assert bare == "## Session Context for P\n\n### Current State\n"
