@@ -1,7 +1,8 @@
 """Connected components by alternating large and small stars (Kiveris et al. 2014).
 
-Every round is two sums by key and two joins by key; no group is gathered, and
-joins split skewed keys at run time. Rounds are written to the shared folder.
+Every round is two sums by key and two joins by key; no group is gathered. Sums
+are written to the shared folder before they are joined, so that the joins stand
+alone and split skewed keys at run time; so is every round.
 """
 
 from __future__ import annotations
@@ -14,13 +15,13 @@ from .common import stored
 
 def _large_star(edges: DataFrame) -> DataFrame:
     both = edges.select("u", "v").unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+    least = stored(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")))
     return both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
 
 
 def _small_star(edges: DataFrame) -> DataFrame:
     down = edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
-    least = down.groupBy("u").agg(F.min("v").alias("m"))
+    least = stored(down.groupBy("u").agg(F.min("v").alias("m")))
     moved = down.join(least, "u").select(F.explode(F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e"))
     return moved.select("e.u", "e.v").where("u <> v").distinct()
 

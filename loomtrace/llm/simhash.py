@@ -195,9 +195,10 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     distinct = stored(prints.groupBy("fp").agg(F.min("doc_id").alias("first_id")))
     star = components(links(distinct, distinct.count()))
     rooted = distinct.join(star, distinct["fp"] == star["u"], "left").select("fp", "first_id", F.coalesce("v", "fp").alias("root"))
-    # A group's least id: summed up before it is shuffled, as one group may hold most rows.
-    least = rooted.groupBy("root").agg(F.min("first_id").alias("component_id"))
-    named = rooted.join(least, "root").select("fp", "component_id")
+    # A group's least id: summed up before it is shuffled, as one group may hold most rows, and
+    # written before the join, so that the join stands alone and the group's rows can be split.
+    least = stored(rooted.groupBy("root").agg(F.min("first_id").alias("component_id")))
+    named = stored(rooted.join(least, "root").select("fp", "component_id"))
     return prints.join(named, "fp").select("doc_id", "fp", "component_id")
 
 
