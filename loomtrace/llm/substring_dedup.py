@@ -47,7 +47,7 @@ from .common import WordIds, as_bytes, mapped, stored
 SPAN = 50
 GRAM = 10
 MEET_BYTES = 1 << 20
-MEET_ROWS = 400
+MEET_ROWS = 100
 MIX = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F))
 
 
