@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 
 from ..functions.scores import relevance
 from ..functions.tokens import Porter, search_terms, terms
+from .staging import stored
 
 K1, B, LEAST_IDF = 1.2, 0.75, 1e-6
 
@@ -26,7 +27,7 @@ def postings(docs: DataFrame, key: str, *columns: str, tokens: Column | None = N
     found = tokens if tokens is not None else terms(F.concat_ws(" ", *columns))
     own = docs.select(key, found.alias("tokens")).where(F.size("tokens") > 0)
     rows = own.select(key, F.size("tokens").alias("n_terms"), F.posexplode("tokens").alias("at", "term"))
-    return rows.groupBy(key, "term").agg(F.array_sort(F.collect_list("at")).alias("positions"), F.first("n_terms").alias("n_terms"))
+    return rows.groupBy(key, "term").agg(F.sort_array(F.collect_list("at")).alias("positions"), F.first("n_terms").alias("n_terms"))
 
 
 def refreshed(old: DataFrame, new: DataFrame, key: str) -> DataFrame:
@@ -189,10 +190,38 @@ def search(index: DataFrame, key: str, text: str, stemmed: bool = True, among: D
     for leaf in q.leaves:
         for k, term in enumerate(leaf.terms):
             wanted = wanted | (F.col("term").startswith(term) if leaf.prefix and k == len(leaf.terms) - 1 else F.col("term") == term)
-    sizes = corpus(index, key) if sizes is None else sizes
     hits = index.where(wanted).groupBy(key).agg(F.collect_list(F.struct("term", "positions")).alias("hits"), F.first("n_terms").alias("n_terms"))
+    counted = hits.select(key, "n_terms", *[_count(leaf).alias(f"tf{i}") for i, leaf in enumerate(q.leaves)])
+    return _scored(counted, key, q, corpus(index, key) if sizes is None else sizes, among)
+
+
+def scan(docs: DataFrame, key: str, tokens: Column, text: str, stemmed: bool = True, among: DataFrame | None = None) -> DataFrame:
+    """The same over documents that have no index: one pass that counts the query's leaves in each text, without a shuffle."""
+    q = parse(text, stemmed)
+    own = docs.select(key, tokens.alias("tokens")).where(F.size("tokens") > 0)
+
+    def count(leaf: Leaf) -> Column:
+        last = len(leaf.terms) - 1
+        is_ = lambda x, k: x.startswith(leaf.terms[k]) if leaf.prefix and k == last else x == leaf.terms[k]
+        if not last:
+            return F.size(F.filter("tokens", lambda x: is_(x, 0)))
+
+        def here(x: Column, i: Column) -> Column:
+            every = is_(x, 0)
+            for k in range(1, last + 1):
+                every = every & F.coalesce(is_(F.get("tokens", i + k), k), F.lit(False))
+            return every
+
+        return F.size(F.filter("tokens", here))
+
+    counted = stored(own.select(key, F.size("tokens").alias("n_terms"), *[count(leaf).alias(f"tf{i}") for i, leaf in enumerate(q.leaves)]))
+    sizes = counted.agg(F.count("*").alias("docs"), F.avg("n_terms").alias("mean"))
+    return _scored(counted, key, q, sizes, among)
+
+
+def _scored(counted: DataFrame, key: str, q: Query, sizes: DataFrame, among: DataFrame | None) -> DataFrame:
+    """counted (key, n_terms, tf0, ...) -> the documents that match, with their scores."""
     names = [f"tf{i}" for i in range(len(q.leaves))]
-    counted = hits.select(key, "n_terms", *[_count(leaf).alias(n) for n, leaf in zip(names, q.leaves, strict=True)])
     df = counted.agg(*[F.count_if(F.col(n) > 0).alias(n) for n in names])
     docs, mean = sizes.select("docs").scalar(), sizes.select("mean").scalar()
     score = F.lit(0.0)

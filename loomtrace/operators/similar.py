@@ -59,9 +59,10 @@ def classes(items: DataFrame, like: Likeness, order: list[Column], key: str = "i
     place = F.struct(*[o.alias(f"o{i}") for i, o in enumerate(order)], F.col(key).alias("k"))
     sets = items.select(
         key, group, *also, place.alias("o"),
-        F.array_sort(F.array_distinct(tokens(F.coalesce(like.first, F.lit(""))))).alias("t1"), F.array_sort(F.array_distinct(tokens(F.coalesce(like.second, F.lit(""))))).alias("t2"),
+        F.sort_array(F.array_distinct(tokens(F.coalesce(like.first, F.lit(""))))).alias("t1"), F.sort_array(F.array_distinct(tokens(F.coalesce(like.second, F.lit(""))))).alias("t2"),
     )
-    print_of = F.sha2(F.to_json(F.struct("t1", "t2", *also)), 256)
+    # 128 bits stand for the two sets.
+    print_of = F.struct(*[F.xxhash64(F.lit(i), "t1", F.lit("/"), "t2", *also).alias(f"h{i}") for i in range(2)])
     marked = stored(sets.withColumn("class", print_of))
     first = marked.groupBy(group, "class").agg(F.min("o").alias("first"))
     return marked.join(first, [group, "class"]).withColumn("rep", F.col("first.k")).drop("class", "first")
@@ -72,7 +73,7 @@ def links(reps: DataFrame, like: Likeness, key: str, group: str) -> DataFrame:
     sets = reps.select(key, group, F.col("t1" if like.strong == like.first else "t2").alias("s"))
     each = sets.select(key, group, F.explode(F.when(F.size("s") == 0, F.array(F.lit(EMPTY))).otherwise(F.col("s"))).alias("token"))
     rarity = each.groupBy(group, "token").agg(F.count("*").alias("df"))
-    ordered = each.join(rarity, [group, "token"]).groupBy(key, group).agg(F.array_sort(F.collect_list(F.struct("df", "token"))).alias("by_df"))
+    ordered = each.join(rarity, [group, "token"]).groupBy(key, group).agg(F.sort_array(F.collect_list(F.struct("df", "token"))).alias("by_df"))
     n = F.size("by_df")
     prefix = F.slice("by_df", 1, F.greatest(n - F.ceil(F.lit(like.bound) * n - 1e-9).cast("int") + 1, F.lit(1)))
     probes = ordered.select(key, group, n.alias("n"), F.explode(F.transform(prefix, lambda x: x["token"])).alias("token"))

@@ -36,12 +36,12 @@ SHOWN = " SELECT doc_id, round(bm25, 6) AS bm25, round(1 / (1 + abs(bm25)), 6) A
 
 @query("bm25_search", f"WITH {POST_SQL}, " + _bm25("SELECT term AS leaf, doc_id, count(*) AS tf FROM tok WHERE term IN ('the', 'license') GROUP BY 1, 2") + SHOWN + "sco WHERE k = 2 ORDER BY 2, 1 LIMIT 100")
 def bm25_search(spark: SparkSession, d: str) -> DataFrame:
-    return _shown(search.search(_index(spark, d), "doc_id", "the license", stemmed=False))
+    return _shown(search.scan(table(spark, d, "documents"), "doc_id", plain_terms(F.col("text")), "the license", stemmed=False))
 
 
 @query("prefix_and_search", f"WITH {POST_SQL}, " + _bm25("SELECT p AS leaf, doc_id, count(*) AS tf FROM tok, (VALUES ('lic'), ('und')) x(p) WHERE starts_with(term, p) GROUP BY 1, 2") + SHOWN + "sco WHERE k = 2 ORDER BY 2, 1 LIMIT 100")
 def prefix_and_search(spark: SparkSession, d: str) -> DataFrame:
-    return _shown(search.search(_index(spark, d), "doc_id", search.prefix_query("Lic und"), stemmed=False))
+    return _shown(search.scan(table(spark, d, "documents"), "doc_id", plain_terms(F.col("text")), search.prefix_query("Lic und"), stemmed=False))
 
 
 @query("boolean_phrase_search", f"WITH {POST_SQL}, " + _bm25("""
@@ -53,6 +53,12 @@ def boolean_phrase_search(spark: SparkSession, d: str) -> DataFrame:
     return _shown(search.search(_index(spark, d), "doc_id", '("under the" OR released) NOT mit', stemmed=False))
 
 
+@query("phrase_scan", f"WITH {POST_SQL}, " + _bm25("""
+SELECT 'a' AS leaf, t1.doc_id, count(*) AS tf FROM tok t1 JOIN tok t2 ON t1.doc_id = t2.doc_id AND t2.at = t1.at + 1 WHERE t1.term = 'under' AND starts_with(t2.term, 'th') GROUP BY 1, 2""") + SHOWN + "sco ORDER BY 2, 1 LIMIT 100")
+def phrase_scan(spark: SparkSession, d: str) -> DataFrame:
+    return _shown(search.scan(table(spark, d, "documents"), "doc_id", plain_terms(F.col("text")), '"under th"*', stemmed=False))
+
+
 @query("stemmed_search")
 def stemmed_search(spark: SparkSession, d: str) -> DataFrame:
     """With stems, which SQL has not; the stemmer is tested against published examples."""
@@ -99,7 +105,7 @@ kw AS (SELECT doc_id AS id, row_number() OVER (ORDER BY round(bm25, 9), doc_id)
 ve AS (SELECT vec_id AS id, row_number() OVER (ORDER BY round(list_cosine_similarity(embedding::DOUBLE[], e::DOUBLE[]), 9) DESC, vec_id) - 1 AS r FROM embeddings, q ORDER BY r LIMIT 60)
 SELECT id, round(sum(1 / (60 + r + 1)), 6) AS score FROM (SELECT * FROM kw UNION ALL SELECT * FROM ve) GROUP BY 1 ORDER BY sum(1 / (60 + r + 1)) DESC, id LIMIT 20""")
 def hybrid_rrf(spark: SparkSession, d: str) -> DataFrame:
-    words = search.search(_index(spark, d), "doc_id", "the license", stemmed=False).select(F.col("doc_id").alias("id"), F.round("bm25", 9).alias("bm25"))
+    words = search.scan(table(spark, d, "documents"), "doc_id", plain_terms(F.col("text")), "the license", stemmed=False).select(F.col("doc_id").alias("id"), F.round("bm25", 9).alias("bm25"))
     near = table(spark, d, "embeddings").select(F.col("vec_id").alias("id"), F.round(vectors.similarity_to(_first_vector(spark, d))(F.col("embedding")), 9).alias("score"))
     return vectors.hybrid("id", words, near, 20).select("id", F.round("score", 6).alias("score"))
 

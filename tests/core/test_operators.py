@@ -8,10 +8,11 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from loomtrace.functions.tokens import hybrid_tokens
+from loomtrace.functions.tokens import hybrid_tokens, terms
 from loomtrace.operators import analytics, browse, changes, extract, ranking, search, similar, vectors
 
 NOW = datetime(2024, 6, 1)
+DOCS = ["the quick brown fox", "the lazy dog runs", "quick dogs running quick", "a fox and a dog", "nothing here"]
 
 
 @pytest.fixture(scope="module")
@@ -21,8 +22,7 @@ def now(spark):
 
 @pytest.fixture(scope="module")
 def index(spark):
-    docs = ["the quick brown fox", "the lazy dog runs", "quick dogs running quick", "a fox and a dog", "nothing here"]
-    rows = spark.createDataFrame(list(enumerate(docs)), "id bigint, text string")
+    rows = spark.createDataFrame(list(enumerate(DOCS)), "id bigint, text string")
     return search.postings(rows, "id", "text")
 
 
@@ -31,7 +31,11 @@ def index(spark):
     ("qui* dog", {2}), ("(fox OR lazy) AND dog", {1, 3}), ('"a dog"', {3}), ('"the la"*', {1}), ("running", {1, 2}), ("zebra", set()),
 ])
 def test_queries(index, text, want):
-    assert {r.id for r in search.search(index, "id", text).collect()} == want
+    by_index = {r.id: r.bm25 for r in search.search(index, "id", text).collect()}
+    assert set(by_index) == want
+    docs = index.sparkSession.createDataFrame(list(enumerate(DOCS)), "id bigint, text string")
+    scanned = {r.id: r.bm25 for r in search.scan(docs, "id", terms(F.col("text")), text).collect()}
+    assert scanned == pytest.approx(by_index)
 
 
 @pytest.mark.parametrize("text", ["", "(a", "a OR", "NOT a", "title:x", "NEAR(a b)", "^a", "*", '"" a)'])
