@@ -62,10 +62,12 @@ def measures(docs: DataFrame, keys: list[str]) -> DataFrame:
     text = F.coalesce(F.col("text"), F.lit(""))
     lines = F.filter(F.split(text, "\n", -1), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
     step = docs.select(
-        *keys, F.length(F.regexp_replace(text, SPACES, "")).cast("bigint").alias("word_chars"),
-        F.regexp_count(text, F.lit(f"[{SYMBOLS}]")).cast("bigint").alias("n_symbols"),
-        lines.alias("lines"),
-        F.transform(F.filter(F.split(text, SPACES), lambda w: w != ""), lambda w: F.xxhash64(w)).alias("h"),
+        *keys, F.regexp_count(text, F.lit(f"[{SYMBOLS}]")).cast("bigint").alias("n_symbols"),
+        lines.alias("lines"), F.filter(F.split(text, SPACES), lambda w: w != "").alias("words"),
+    )
+    step = step.select(
+        *keys, "n_symbols", "lines", F.length(F.array_join("words", "")).cast("bigint").alias("word_chars"),
+        F.transform("words", lambda w: F.xxhash64(w)).alias("h"),
     )
     n = F.size("h").cast("bigint")
     step = step.select(
@@ -74,9 +76,9 @@ def measures(docs: DataFrame, keys: list[str]) -> DataFrame:
         F.when(n >= WINDOW, F.transform(F.sequence(F.lit(0), F.size("h") - WINDOW), lambda i: F.xxhash64(*[F.get("h", i + j) for j in range(WINDOW)]))).alias("w"),
     )
     repeats = F.coalesce(F.size(F.array_distinct("w")) < F.size("w"), F.lit(False))
-    step = step.withColumn("s", F.when(repeats, F.array_sort(F.transform("w", lambda h, i: F.struct(h.alias("h"), i.alias("i"))))))
+    step = step.withColumn("s", F.when(repeats, F.sort_array(F.transform("w", lambda h, i: F.struct(h.alias("h"), i.alias("i"))))))
     same = lambda x, i: (F.get("s", i - 1)["h"] == x["h"]) | (F.get("s", i + 1)["h"] == x["h"])
-    step = step.withColumn("p", F.array_sort(F.transform(F.filter("s", lambda x, i: F.coalesce(same(x, i), F.lit(False))), lambda x: x["i"])))
+    step = step.withColumn("p", F.sort_array(F.transform(F.filter("s", lambda x, i: F.coalesce(same(x, i), F.lit(False))), lambda x: x["i"])))
     covered = F.aggregate(
         "p", F.struct(F.lit(-WINDOW).alias("last"), F.lit(0).cast("bigint").alias("sum")),
         lambda a, p: F.struct(p.alias("last"), (a["sum"] + F.least(F.lit(WINDOW), p - a["last"])).alias("sum")), lambda a: a["sum"],
