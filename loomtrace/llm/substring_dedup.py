@@ -68,11 +68,14 @@ def rolled(h: np.ndarray, width: int, mix: np.uint64 = MIX[0]) -> np.ndarray:
     return (out ^ (out >> np.uint64(31))) * MIX[1]
 
 
-def anchors(h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """For every window: where its anchor stands, and the anchor's hash."""
-    g = rolled(h, GRAM)
-    at = np.lib.stride_tricks.sliding_window_view(g, SPAN - GRAM + 1).argmin(axis=1) + np.arange(len(h) - SPAN + 1)
-    return at, g[at]
+def anchors(h: np.ndarray) -> np.ndarray:
+    """For every window the hash of its anchor: least values of ever wider runs of grams, by doubling."""
+    least, size, width = rolled(h, GRAM), 1, SPAN - GRAM + 1
+    while 2 * size <= width:
+        least = np.minimum(least[:-size], least[size:])
+        size *= 2
+    rest = width - size
+    return np.minimum(least[: len(least) - rest], least[rest:])
 
 
 def _anchor_rows(docs: DataFrame) -> DataFrame:
@@ -84,7 +87,7 @@ def _anchor_rows(docs: DataFrame) -> DataFrame:
             found = []
             for text in b["text"].to_pylist():
                 words = text.split()
-                found.append(np.unique(anchors(ids.of(words))[1]) if len(words) >= SPAN else np.zeros(0, np.uint64))
+                found.append(np.unique(anchors(ids.of(words))) if len(words) >= SPAN else np.zeros(0, np.uint64))
             many = [len(x) for x in found]
             yield {
                 "doc_id": pa.array(np.repeat(b["doc_id"].to_numpy(zero_copy_only=False), many)),
@@ -108,7 +111,7 @@ def _stretches(docs: DataFrame) -> DataFrame:
                 first = np.array([x["first"] for x in led], np.int64)
                 order = np.argsort(keys)
                 keys, first = keys[order], first[order]
-                mine = anchors(ids.of(words))[1].view(np.int64)
+                mine = anchors(ids.of(words)).view(np.int64)
                 slot = np.minimum(np.searchsorted(keys, mine), len(keys) - 1)
                 known = keys[slot] == mine
                 turn = np.flatnonzero((known[1:] != known[:-1]) | (first[slot][1:] != first[slot][:-1])) + 1
