@@ -82,14 +82,24 @@ def next_state(now: Column, score: Column, k: Limits = Limits()) -> Column:
     )
 
 
+#: How a move is told, by state left and state entered.
+REASONS = {
+    ("new", "high"): "Score %.2f >= %.2f with %d accesses",
+    ("new", "removed"): "Score %.2f < %.2f after %d days with 0 accesses",
+    ("new", "low"): "Score %.2f < %.2f after %d days",
+    ("low", "high"): "Score improved to %.2f with %d accesses",
+    ("high", "low"): "Score dropped to %.2f, stale for %d days",
+}
+
+
 def transition_reason(now: Column, score: Column, to: Column, k: Limits = Limits()) -> Column:
     age = whole_days(now, F.col("extracted_at"))
     stale = F.coalesce(whole_days(now, F.col("last_accessed_at")), age)
-    state, n = F.col("state"), F.col("access_count")
-    return (
-        F.when((state == "new") & (to == "high"), F.format_string("Score %.2f >= %.2f with %d accesses", score, F.lit(k.high), n))
-        .when((state == "new") & (to == "removed"), F.format_string("Score %.2f < %.2f after %d days with 0 accesses", score, F.lit(k.remove), age))
-        .when((state == "new") & (to == "low"), F.format_string("Score %.2f < %.2f after %d days", score, F.lit(k.demote), age))
-        .when((state == "low") & (to == "high"), F.format_string("Score improved to %.2f with %d accesses", score, n))
-        .when((state == "high") & (to == "low"), F.format_string("Score dropped to %.2f, stale for %d days", score, stale))
-    )
+    figures = {
+        ("new", "high"): [F.lit(k.high), F.col("access_count")], ("new", "removed"): [F.lit(k.remove), age], ("new", "low"): [F.lit(k.demote), age],
+        ("low", "high"): [F.col("access_count")], ("high", "low"): [stale],
+    }
+    told = F.when(F.lit(False), F.lit(None).cast("string"))
+    for (left, entered), text in REASONS.items():
+        told = told.when((F.col("state") == left) & (to == entered), F.format_string(text, score, *figures[left, entered]))
+    return told

@@ -88,29 +88,31 @@ def _arg(given: Column, name: str) -> Column:
     return j.text(given, f"$.{name}")
 
 
-def summary(tool: Column, given: Column, tenses: dict[str, tuple[str, str]] | None, done: Column | None, either_case: bool) -> Column:
-    """One line for a tool call. tenses: tool -> (before the name, after it) for calls and for results."""
-    is_tool = lambda name: tool.isin(name, name.lower()) if either_case else tool == name
-    path = t.basename(_arg(given, "file_path"))
-
-    def on_file(name: str, none: str) -> Column:
-        if tenses is None or name not in tenses:
-            shown = F.concat(F.lit(f"{name} "), path)
-        else:
+#: Tool -> (argument that tells most, bytes it is cut to, text before it, text where it is missing); before other tools' names.
+SUMMARIES = {
+    "Bash": ("command", 50, "", "Bash command"),
+    "Write": ("file_path", None, "Write ", "Writing file"),
+    "Edit": ("file_path", None, "Edit ", "Editing file"),
+    "Read": ("file_path", None, "Read ", "Reading file"),
+    "Grep": ("pattern", 30, "Search: ", "Grep search"),
+    "Glob": ("pattern", None, "Files: ", "File glob"),
+    "Task": ("description", 50, "", "Task agent"),
+}
+OTHER_TOOL = "Used "
+
+
+def summary(tool: Column, given: Column, tenses: dict[str, tuple[str, str]], done: Column, either_case: bool) -> Column:
+    """One line for a tool call. tenses: tool -> (before the file's name, for a call; the same for a result)."""
+    line = F.when(F.lit(False), F.lit(None).cast("string"))
+    for name, (argument, most, before, missing) in SUMMARIES.items():
+        value = _arg(given, argument)
+        value = t.basename(value) if argument == "file_path" else t.cut_bytes(value, most) if most else value
+        shown = F.concat(F.lit(before), value)
+        if name in tenses:
             doing, did = tenses[name]
-            shown = F.when(done, F.concat(F.lit(did), path)).otherwise(F.concat(F.lit(doing), path, F.lit("...")))
-        return F.coalesce(shown, F.lit(none))
-
-    return (
-        F.when(is_tool("Bash"), F.coalesce(t.cut_bytes(_arg(given, "command"), 50), F.lit("Bash command")))
-        .when(is_tool("Write"), on_file("Write", "Writing file"))
-        .when(is_tool("Edit"), on_file("Edit", "Editing file"))
-        .when(is_tool("Read"), on_file("Read", "Reading file"))
-        .when(is_tool("Grep"), F.coalesce(F.concat(F.lit("Search: "), t.cut_bytes(_arg(given, "pattern"), 30)), F.lit("Grep search")))
-        .when(is_tool("Glob"), F.coalesce(F.concat(F.lit("Files: "), _arg(given, "pattern")), F.lit("File glob")))
-        .when(is_tool("Task"), F.coalesce(t.cut_bytes(_arg(given, "description"), 50), F.lit("Task agent")))
-        .otherwise(F.concat(F.lit("Used "), tool))
-    )
+            shown = F.when(done, F.concat(F.lit(did), value)).otherwise(F.concat(F.lit(doing), value, F.lit("...")))
+        line = line.when(tool.isin(name, name.lower()) if either_case else tool == name, F.coalesce(shown, F.lit(missing)))
+    return line.otherwise(F.concat(F.lit(OTHER_TOOL), tool))
 
 
 #: Wording for calls under way and for calls done.
@@ -223,7 +225,7 @@ def format_b(lines: DataFrame, stored: DataFrame | None = None) -> DataFrame:
         .when(is_("call"), F.concat(F.col("told"), F.lit(" "), j.dump(F.col("call")))).otherwise(F.col("told"))
     )
     base = base.withColumn("tool", tool).withColumn("given", given).withColumn("search_content", content_of)
-    base = base.withColumn("line_of", summary(F.col("tool"), F.col("given"), None, None, True))
+    base = base.withColumn("line_of", summary(F.col("tool"), F.col("given"), {}, F.lit(False), True))
 
     def tokens(new: str, old: str) -> Column:
         here = F.when(j.present(v, f"$.message.usage.{new}"), j.whole(v, f"$.message.usage.{new}")).otherwise(j.whole(v, f"$.message.usage.{old}"))
