@@ -140,10 +140,19 @@ def recent_memories(memories: DataFrame, sessions: DataFrame, project_id: str, n
     return memories.where("state <> 'removed'").join(last, "session_id", "left_semi").orderBy(F.desc("extracted_at"), "id").limit(limit)
 
 
+#: Texts of the views. {} stands for what is filled in.
+CONTEXT_HEAD, CONTEXT_NONE = "Project Context for '{}' ({} memories):\n\n", "No memories found for project '{}'."
+RESULTS_HEAD, RESULTS_NONE, RESULTS_QUERY = "Found {} memories in project '{}'{}:\n\n", "No memories found{} in project '{}'.", " for query '{}'"
 #: Headings of the sections of a project's context.
 HEADINGS = {"decision": "## Key Decisions", "fact": "## Facts & Discoveries", "preference": "## Preferences", "context": "## Context", "task": "## Tasks"}
 
 
+def filled(text: str, *values: Column) -> Column:
+    """``text`` with its {} filled in."""
+    parts = text.split("{}")
+    return F.concat(*[x for part, value in zip(parts, [*values, F.lit("")], strict=True) for x in (F.lit(part), value)])
+
+
 def project_markdown(table: DataFrame, names: DataFrame, k: int = 5) -> DataFrame:
     """(project_id, markdown): the best ``k`` of each type under its heading. ``names``: project_id, name."""
     best = top_per_type(table, k)
@@ -153,8 +162,8 @@ def project_markdown(table: DataFrame, names: DataFrame, k: int = 5) -> DataFram
     heading = F.element_at(F.create_map(*[F.lit(x) for pair in HEADINGS.items() for x in pair]), F.col("memory_type"))
     whole = sections.withColumn("text", F.concat(heading, F.lit("\n"), "lines", F.lit("\n\n"))).groupBy("project_id").agg(F.sum("n").alias("total"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(rank.alias("r"), "text"))), lambda x: x["text"]), "").alias("body"))
     found = names.join(whole, "project_id", "left")
-    head = F.concat(F.lit("Project Context for '"), "name", F.lit("' ("), F.col("total").cast("string"), F.lit(" memories):\n\n"))
-    none = F.concat(F.lit("No memories found for project '"), "name", F.lit("'."))
+    head = filled(CONTEXT_HEAD, F.col("name"), F.col("total").cast("string"))
+    none = filled(CONTEXT_NONE, F.col("name"))
     return found.select("project_id", F.coalesce(F.concat(head, "body"), none).alias("markdown"))
 
 
@@ -166,10 +175,9 @@ def results_markdown(rows: DataFrame, project: str, asked: str | None, order: Co
         F.when(F.size("tags") > 0, F.concat(F.lit("   Tags: "), F.array_join("tags", ", "), F.lit("\n"))).otherwise(""), F.lit("\n"),
     )
     body = place.agg(F.count("*").alias("n"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("i", shown.alias("s")))), lambda x: x["s"]), "").alias("body"))
-    query = f" for query '{asked}'" if asked is not None else ""
-    found = F.concat(F.lit("Found "), F.col("n").cast("string"), F.lit(f" memories in project '{project}'{query}:\n\n"), "body")
-    none = f"No memories found for query '{asked}' in project '{project}'." if asked is not None else f"No memories found in project '{project}'."
-    return body.select(F.when(F.col("n") > 0, found).otherwise(F.lit(none)).alias("markdown"))
+    query = "" if asked is None else RESULTS_QUERY.format(asked)
+    found = F.concat(filled(RESULTS_HEAD, F.col("n").cast("string"), F.lit(project), F.lit(query)), "body")
+    return body.select(F.when(F.col("n") > 0, found).otherwise(F.lit(RESULTS_NONE.format(query, project))).alias("markdown"))
 
 
 #: Headings of a session's context, in order.

@@ -340,3 +340,11 @@ def test_session_markdown(spark):
     assert got.count("[Decision]") == 5 and got.endswith("r4**: x\n") and "r8**" in got
     bare = browse.session_markdown(m.limit(0), c.select("session_id", *[F.lit(None).cast(k).alias(n) for n, k in c.dtypes[1:]]), "P").first().markdown
     assert bare == "## Session Context for P\n\n### Current State\n"
+
+
+def test_results_markdown(spark):
+    m = spark.createDataFrame([(1, "fact", "t", "c", 0.85, ["x", "y"]), (2, "task", "u", "d", 0.5, [])], "id bigint, memory_type string, title string, content string, confidence double, tags array<string>")
+    got = browse.results_markdown(m, "P", "q", F.desc("confidence")).first().markdown
+    assert got == "Found 2 memories in project 'P' for query 'q':\n\n1. [Fact] t (confidence: 85%)\n   c\n   Tags: x, y\n\n2. [Task] u (confidence: 50%)\n   d\n\n"
+    assert browse.results_markdown(m.limit(0), "P", None, F.desc("confidence")).first().markdown == "No memories found in project 'P'."
+    assert browse.results_markdown(m.limit(0), "P", "q", F.desc("confidence")).first().markdown == "No memories found for query 'q' in project 'P'."
