@@ -42,7 +42,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .automaton import SuffixAutomaton
-from .common import WordIds, as_bytes, mapped, stored
+from .common import as_bytes, mapped, stored
 
 SPAN = 50
 GRAM = 10
@@ -51,6 +51,34 @@ MEET_ROWS = 100
 MIX = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F))
 
 
+SPACE = np.isin(np.arange(256), [0x20, *range(0x09, 0x0E)])
+BLOCK = 4 << 20
+
+
+def word_hashes(text: bytes) -> np.ndarray:
+    """A 64-bit hash of each word in order, by bytes at once: no word becomes an object. Long texts go in blocks, cut at spaces."""
+    whole, at, parts = np.frombuffer(text, np.uint8), 0, []
+    while at < len(whole):
+        stop = next((i for i in range(at + BLOCK, len(whole)) if SPACE[whole[i]]), len(whole))
+        parts.append(_hashed(whole[at:stop]))
+        at = stop
+    return np.concatenate(parts) if parts else np.zeros(0, np.uint64)
+
+
+def _hashed(b: np.ndarray) -> np.ndarray:
+    inside = ~SPACE[b]
+    turn = np.flatnonzero(inside[1:] != inside[:-1]) + 1
+    edges = np.concatenate([[0] if inside[0] else [], turn, [len(b)] if inside[-1] else []]).astype(np.int64)
+    lengths = edges[1::2] - edges[::2]
+    if not len(lengths):
+        return np.zeros(0, np.uint64)
+    first = np.cumsum(lengths) - lengths
+    place = np.arange(int(lengths.sum())) - np.repeat(first, lengths)
+    powers = np.cumprod(np.full(int(lengths.max()), MIX[0]))
+    h = np.add.reduceat((b[inside].astype(np.uint64) + np.uint64(1)) * powers[place], first)
+    return (h ^ (h >> np.uint64(29))) * MIX[1]
+
+
 def rolled(h: np.ndarray, width: int, mix: np.uint64 = MIX[0]) -> np.ndarray:
     """Polynomial hashes of all runs of ``width``, by doubling."""
     n = len(h) - width + 1
@@ -82,12 +110,11 @@ def _anchor_rows(docs: DataFrame) -> DataFrame:
     """(doc_id, th, anchor): the distinct anchors of each document of a known id."""
 
     def run(batches: Iterator[dict]) -> Iterator[dict]:
-        ids = WordIds()
         for b in batches:
             found = []
             for text in b["text"].to_pylist():
-                words = text.split()
-                found.append(np.unique(anchors(ids.of(words))) if len(words) >= SPAN else np.zeros(0, np.uint64))
+                h = word_hashes(text)
+                found.append(np.unique(anchors(h)) if len(h) >= SPAN else h[:0])
             many = [len(x) for x in found]
             yield {
                 "doc_id": pa.array(np.repeat(b["doc_id"].to_numpy(zero_copy_only=False), many)),
@@ -102,7 +129,6 @@ def _stretches(docs: DataFrame) -> DataFrame:
     """docs (doc_id, th, text, led): the stretches of windows whose anchors lead to one first document."""
 
     def run(batches: Iterator[dict]) -> Iterator[dict]:
-        ids = WordIds()
         for b in batches:
             rows = []
             for doc, th, text, led in zip(b["doc_id"].to_pylist(), b["th"].to_pylist(), b["text"].to_pylist(), b["led"].to_pylist(), strict=True):
@@ -111,7 +137,7 @@ def _stretches(docs: DataFrame) -> DataFrame:
                 first = np.array([x["first"] for x in led], np.int64)
                 order = np.argsort(keys)
                 keys, first = keys[order], first[order]
-                mine = anchors(ids.of(words)).view(np.int64)
+                mine = anchors(word_hashes(text)).view(np.int64)
                 slot = np.minimum(np.searchsorted(keys, mine), len(keys) - 1)
                 known = keys[slot] == mine
                 turn = np.flatnonzero((known[1:] != known[:-1]) | (first[slot][1:] != first[slot][:-1])) + 1
@@ -134,7 +160,6 @@ def _matched(dealt: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[dict]) -> Iterator[dict]:
         here, machine, number = None, None, {}
-        ids = WordIds()
         for b in batches:
             out = []
             for first, salt, meets, doc, th, start, text in zip(*(b[n].to_pylist() for n in ("first", "salt", "meets", "doc_id", "th", "start", "words")), strict=True):
@@ -152,7 +177,7 @@ def _matched(dealt: DataFrame) -> DataFrame:
                     if hit[s]:
                         out.append((doc, th, start + s, start + e, 0, 0))
                 if len(left):
-                    h = ids.of(words)
+                    h = word_hashes(text)
                     one, two = (rolled(h, SPAN, m)[left].view(np.int64).tolist() for m in MIX)
                     out += [(doc, th, start + i, start + i + 1, x or 1, y) for i, x, y in zip(left.tolist(), one, two, strict=True)]
             cols = list(zip(*out, strict=True)) or [()] * 6

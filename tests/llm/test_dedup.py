@@ -77,6 +77,21 @@ def test_substring_dedup_odd_rows(odd):
     assert substring_dedup.remove(odd.limit(0)).collect() == []
 
 
+def test_word_hashes(monkeypatch, vocabulary):
+    r = random.Random(12)
+    texts = [b"", b" \n", b"a", b" a", b"a ", b"\x0ba\x0c\rb\tcc", "é ü\x85x 漢字".encode()] + [" ".join(r.choices(vocabulary, k=r.randint(1, 60))).encode() for _ in range(40)]
+    by_word = {}
+    for t in texts:
+        h = substring_dedup.word_hashes(t).tolist()
+        assert len(h) == len(t.split())
+        for w, x in zip(t.split(), h):
+            assert by_word.setdefault(w, x) == x
+    assert len(set(by_word.values())) == len(by_word)
+    whole = [substring_dedup.word_hashes(t).tolist() for t in texts]
+    monkeypatch.setattr(substring_dedup, "BLOCK", 7)
+    assert [substring_dedup.word_hashes(t).tolist() for t in texts] == whole
+
+
 def test_automaton_matching_statistics():
     r = random.Random(1)
     for _ in range(30):
