@@ -48,6 +48,7 @@ SPAN = 50
 GRAM = 10
 MEET_BYTES = 1 << 20
 MEET_ROWS = 100
+TASK_BYTES = 64 << 20
 MIX = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F))
 
 
@@ -208,7 +209,11 @@ def spans(docs: DataFrame) -> DataFrame:
     # A shard is sent out again only for as many bytes, at least, that meet it.
     load = found.groupBy("first").agg(F.ceil(F.greatest(F.least(wanted, size(False) / size(True)), F.lit(1.0))).alias("salts"))
     salted = found.join(load, "first").withColumn("salt", F.explode(F.when(F.col("meets"), F.array(F.pmod(F.xxhash64("doc_id", "start"), F.col("salts")))).otherwise(F.sequence(F.lit(0).cast("bigint"), F.col("salts") - 1))))
-    dealt = salted.repartition("first", "salt").sortWithinPartitions("first", "salt", "meets").select("first", "salt", "meets", "doc_id", "th", "start", "words")
+    # Automata take more time than their bytes suggest, so these partitions are not to be put together.
+    spark = docs.sparkSession
+    total = found.agg(F.coalesce(F.sum(F.length("words")), F.lit(0))).first()[0]
+    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-total // TASK_BYTES))
+    dealt = salted.repartition(tasks, "first", "salt").sortWithinPartitions("first", "salt", "meets").select("first", "salt", "meets", "doc_id", "th", "start", "words")
     met = stored(_matched(dealt))
 
     left = met.where("one <> 0")
