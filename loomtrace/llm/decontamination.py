@@ -79,6 +79,8 @@ def band_edits(piece: np.ndarray, region: np.ndarray, k: int) -> int:
     steps = np.arange(n + 1, dtype=np.int32)
     for i in range(m):
         lo, hi = max(0, i + 1 - k), min(n, i + 1 + slack)
+        if lo > n:  # the region is shorter than what is done of the piece, less the budget
+            return k + 1
         new = np.full(n + 1, m + 1, np.int32)
         part = np.minimum(row[lo : hi + 1] + 1, np.concatenate([[m + 1] if lo == 0 else row[lo - 1 : lo] + (region[lo - 1] != piece[i]), row[lo:hi] + (region[lo:hi] != piece[i])]))
         new[lo : hi + 1] = np.minimum.accumulate(part - steps[: hi - lo + 1]) + steps[: hi - lo + 1]

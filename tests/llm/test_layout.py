@@ -189,6 +189,25 @@ def test_lemma_filter_loses_no_piece(vocabulary):
         assert {i: (k, e) for i, k, e, _ in index.search(text)} == {i: (len(v), min(v)) for i, v in want.items()}
 
 
+def test_beginnings_of_items_at_every_length(make, spark, vocabulary):
+    """A document that is itself a part of an item, shorter than a piece: as the full table has it, and no error."""
+    r = random.Random(13)
+    k = decontamination.budget(decontamination.PIECE)
+    item = decontamination.normal(" ".join(r.choices(vocabulary, k=60)))
+    index = decontamination.Index.build([(1, item)])
+    piece = item[: decontamination.PIECE]
+    docs = [(n, item[at : at + n]) for at in (0, 5, 9) for n in range(1, 140)]
+    for _, text in docs:
+        want = edits(piece, decontamination.normal(text))
+        got = decontamination.band_edits(decontamination.codes(piece), decontamination.codes(decontamination.normal(text)), k)
+        assert got == want if want <= k else got > k
+        found = [(i, least) for i, _, least, _ in index.search(text)]
+        assert found == [(1, want)] if want <= k else not any(least < want for _, least in found)
+    bench = spark.createDataFrame([(1, item)], "item_id bigint, text string")
+    held = {x.doc_id for x in decontamination.find(make([(n, item[:n]) for n in range(1, 140)]), bench).collect()}
+    assert held == set(range(decontamination.PIECE - k, 140))
+
+
 def test_decontamination_over_tables(make, spark, vocabulary, monkeypatch):
     r = random.Random(12)
     items = [(i, " ".join(r.choices(vocabulary, k=30))) for i in range(12)]
