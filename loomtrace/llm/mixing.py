@@ -9,6 +9,11 @@
    ``r mod blocks``, in pass ``r div blocks``; slots past ``cap`` passes stay empty.
 3. *Blocks*: each source's documents, in an order shuffled by a hash, form one
    stream of words, cut into blocks of equal size (the last may be short).
+4. *Small sources*: blocks grow with the corpus. Where they are above the least
+   size, a source whose size or target is less than ``FEW`` of them has blocks of
+   its own, about ``1 / FEW`` of the lesser; as many as make up its target are
+   spread evenly over the row, several to a slot, in place of the slots drawn for
+   it. So its words taken are its target to within half a block of its own.
 
 Slots meet blocks in an equi-join on (source, block). A document's words taken
 are its overlaps with the blocks taken, once for each time.
@@ -39,6 +44,7 @@ GOLDEN = 0.6180339887498949
 GRID = 4096
 SLOTS = 1 << 18
 BLOCK_RANGE = (16, 1 << 16)
+FEW = 1024
 RUN = 8192
 ROWS_PER_BUCKET = 50_000
 LEAST_BUCKETS = 256
@@ -46,7 +52,7 @@ LEAST_BUCKETS = 256
 
 @dataclass
 class Mix:
-    """docs: a row per document with its offset in its source's stream; schedule: a row per slot."""
+    """docs: a row per document with its offset in its source's stream; schedule: a row per block taken (for sources of the common block: per slot)."""
 
     docs: DataFrame
     sources: DataFrame
@@ -94,10 +100,27 @@ def targets(rows: DataFrame, weights: tuple[int, ...] = (5, 2, 1), cap: int = 3)
     )
 
 
+def steps(sources: DataFrame, block: int) -> DataFrame:
+    """``sources`` with step: the block of each source."""
+    least = F.least(F.col("source_size").cast("double"), "target")
+    few = (least < FEW * block) & F.lit(block > BLOCK_RANGE[0])
+    return sources.withColumn("step", F.when(few, F.greatest(F.floor(least / FEW), F.lit(1))).otherwise(F.lit(block)).cast("bigint"))
+
+
+def _own(small: DataFrame, slots: int, cap: int) -> DataFrame:
+    """(slot, source_no, pass, block) of sources with blocks of their own, as many as make up the target."""
+    blocks = F.ceil(F.col("source_size") / F.col("step"))
+    full = F.least(F.floor(F.col("target") / F.col("source_size")), F.lit(cap))
+    n = F.least(full * blocks + F.round((F.col("target") - full * F.col("source_size")) / F.col("step")), blocks * cap).cast("bigint")
+    each = small.where("source_size > 0").select("source_no", blocks.alias("blocks"), n.alias("n")).where("n > 0")
+    ranked = each.withColumn("rank", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("n") - 1)))
+    return ranked.select(F.floor((F.col("rank") + 0.5) * slots / F.col("n")).alias("slot"), "source_no", F.floor(F.col("rank") / F.col("blocks")).alias("pass"), (F.col("rank") % F.col("blocks")).alias("block"))
+
+
 def schedule(sources: DataFrame, slots: int, block: int, cap: int) -> DataFrame:
     """(slot, source_no, pass, block): what each slot takes."""
     spark = sources.sparkSession
-    cells = sources.where(F.col("hi") > F.col("lo")).select(
+    cells = sources.where((F.col("hi") > F.col("lo")) & (F.col("step") == block)).select(
         "source_no", "source_size", "lo", "hi",
         F.explode(F.sequence(F.floor(F.col("lo") * GRID), F.least(F.floor(F.col("hi") * GRID), F.lit(GRID - 1)))).alias("cell"),
     )
@@ -108,16 +131,17 @@ def schedule(sources: DataFrame, slots: int, block: int, cap: int) -> DataFrame:
     runs = drawn.groupBy("source_no", "run").agg(F.count("*").alias("n")).select("source_no", "run", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("first"))
     ranked = drawn.withColumn("place", F.row_number().over(W.partitionBy("source_no", "run").orderBy("id"))).join(runs, ["source_no", "run"])
     rank, blocks = F.col("first") + F.col("place") - 1, F.ceil(F.col("source_size") / block)
-    return ranked.select(F.col("id").alias("slot"), "source_no", F.floor(rank / blocks).alias("pass"), (rank % blocks).alias("block")).where(F.col("pass") < cap)
+    common = ranked.select(F.col("id").alias("slot"), "source_no", F.floor(rank / blocks).alias("pass"), (rank % blocks).alias("block")).where(F.col("pass") < cap)
+    return common.unionByName(_own(sources.where(F.col("step") < block), slots, cap))
 
 
 def mix(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), cap: int = 3, seed: int = 0) -> Mix:
     rows = stored(sizes(docs))  # narrow: no text
     total, n = rows.agg(F.coalesce(F.sum("size"), F.lit(0)), F.count("*")).first()
     block = min(max(total // SLOTS, BLOCK_RANGE[0]), BLOCK_RANGE[1])
-    sources = stored(targets(rows, weights, cap))  # a row per source
+    sources = stored(steps(targets(rows, weights, cap), block))  # a row per source
     buckets = max(LEAST_BUCKETS, -(-n // ROWS_PER_BUCKET))
-    known = rows.join(sources.select("source_no", "source", "source_size", "target"), rows["source"].eqNullSafe(sources["source"])).drop(sources["source"])
+    known = rows.join(sources.select("source_no", "source", "source_size", "target", "step"), rows["source"].eqNullSafe(sources["source"])).drop(sources["source"])
     name = F.concat(F.lit(f"{seed}/"), F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lit("/"), F.col("text_hash"))
     draw = F.conv(F.substring(F.md5(name.cast("binary")), 1, 13), 16, 10).cast("bigint")
     dealt = known.withColumn("draw", draw).withColumn("bucket", F.col("draw") % buckets)
@@ -126,15 +150,15 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), cap: int = 3, see
     order = W.partitionBy("source_no", "bucket").orderBy("draw", F.col("doc_id").asc_nulls_last(), "text_hash", "size")
     own = F.sum("size").over(order.rowsBetween(W.unboundedPreceding, W.currentRow)) - F.col("size")
     placed = dealt.withColumn("own", own).join(first, ["source_no", "bucket"]).withColumn("start", F.col("first") + F.col("own"))
-    return Mix(placed.select("doc_id", "text_hash", "source_no", "size", "source_size", "target", "start"), sources, schedule(sources, -(-total // block), block, cap), block)
+    return Mix(placed.select("doc_id", "text_hash", "source_no", "size", "source_size", "target", "step", "start"), sources, schedule(sources, -(-total // block), block, cap), block)
 
 
 def taken(m: Mix) -> DataFrame:
     """(doc_id, text_hash, size, source_size, target, taken): a row per document."""
     times = m.schedule.groupBy("source_no", "block").agg(F.count("*").alias("times"))
     end = F.col("start") + F.col("size")
-    parts = m.docs.where("size > 0").withColumn("block", F.explode(F.sequence(F.floor(F.col("start") / m.block), F.floor((end - 1) / m.block))))
-    words = F.least(end, (F.col("block") + 1) * m.block) - F.greatest(F.col("start"), F.col("block") * m.block)
+    parts = m.docs.where("size > 0").withColumn("block", F.explode(F.sequence(F.floor(F.col("start") / F.col("step")), F.floor((end - 1) / F.col("step")))))
+    words = F.least(end, (F.col("block") + 1) * F.col("step")) - F.greatest(F.col("start"), F.col("block") * F.col("step"))
     got = (
         parts.withColumn("words", words).join(times, ["source_no", "block"], "left")
         .groupBy("source_no", "start", "doc_id", "text_hash", "size", "source_size", "target")

@@ -127,6 +127,27 @@ def test_mix_matches_a_schedule_walked_slot_by_slot(make):
     assert {r.doc_id: r.taken for r in mixing.taken(m).collect()} == {i: taken[i] for i, *_ in rows}
 
 
+def test_small_sources_of_a_large_corpus_reach_their_targets(make, monkeypatch):
+    """Blocks far above the small sources' sizes: each takes its target, at most cap times each word."""
+    monkeypatch.setattr(mixing, "SLOTS", 256)
+    sizes = {"a": 200, "b": 1000, "c": 3000, "d": 20_000, "e": 60_000, "f": 416_000, "g": 7}
+    rows, left = [], dict(sizes)
+    while any(left.values()):
+        for s in sizes:
+            if n := min(left[s], 97 if sizes[s] < 10_000 else 970):
+                rows.append((len(rows), " ".join(["w"] * n), "en", s))
+                left[s] -= n
+    m = mixing.mix(make(rows))
+    assert m.block > 1900
+    source, taken = {i: s for i, _, _, s in rows}, Counter()
+    for x in mixing.taken(m).collect():
+        taken[source[x.doc_id]] += x.taken
+        assert 0 <= x.taken <= 3 * x["size"]
+    want = brute_targets(sizes)
+    assert all(taken[s] == pytest.approx(want[s], abs=2, rel=0.01) for s in sizes)
+    assert {source[x.doc_id] for x in mixing.copies(make(rows)).select("doc_id").collect()} == set(sizes)
+
+
 def test_copies_are_whole_rows(make):
     docs = make(mixture(5))
     times = {r.doc_id: int(r.taken / r["size"] + 0.5) for r in mixing.taken(mixing.mix(docs)).collect() if r["size"]}
