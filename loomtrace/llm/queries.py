@@ -173,7 +173,7 @@ def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("op6_line_dedup")
 def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = line_dedup.remove(read(spark, sf_dir, "documents"))
+    found = line_dedup.remove(read(spark, sf_dir, "documents"), every=True)
     return found.select("doc_id", "n_lines", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
 
 

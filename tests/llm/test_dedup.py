@@ -256,6 +256,40 @@ def test_line_dedup_hot_block(make, monkeypatch):
     assert all(got[i] == (2, f"own line {i}\nlast {i}") for i in range(1, 60))
 
 
+def brute_every(rows):
+    """(lines, removed) with each text's first document aligned with every earlier document."""
+    own = {i: [x.strip() for x in t.encode().split(b"\n") if x.strip()] for i, t in rows}
+    texts, out = {}, {}
+    for i, t in sorted(rows):
+        ls = own[i]
+        size = lambda s, e, ls=ls: e - s >= 2 or sum(len(x.split()) for x in ls[s:e]) >= 20
+        if texts.setdefault(t, i) != i:
+            gone = len(ls) if size(0, len(ls)) else 0
+        else:
+            gone = len({k for e in own if e < i for s, stop in blocks(align(ls, own[e])) if size(s, stop) for k in range(s, stop)})
+        out[i] = (len(ls), gone)
+    return out
+
+
+@pytest.mark.parametrize("rare", [64, 4])
+def test_line_dedup_against_every_earlier_document(make, monkeypatch, rare):
+    """Blocks that the first partner does not align with: passages twice and in another order, from several holders."""
+    monkeypatch.setattr(line_dedup, "RARE", rare)
+    rows = []
+    for seed in (2, 5):
+        rows += [(1000 * seed + i, t) for i, t in line_rows(seed)]
+    r = random.Random(8)
+    passages = [f"first of {k}\nsecond of {k}\nthird of {k}" for k in range(6)]
+    for i in range(40):
+        held = r.choices(passages, k=r.randint(1, 4))
+        rows.append((10_000 + i, "\n".join(x for k, p in enumerate(held) for x in (f"own {i} {k}", p))))
+    first = {x.doc_id: x.n_removed for x in line_dedup.remove(make(rows)).collect()}
+    got = {x.doc_id: (x.n_lines, x.n_removed) for x in line_dedup.remove(make(rows), every=True).collect()}
+    want = brute_every(rows)
+    assert got == want
+    assert sum(n for _, n in want.values()) > sum(first.values())
+
+
 def test_line_dedup_odd_rows(odd):
     got = sorted((r.doc_id is None, r.doc_id or 0, r.n_lines, r.n_removed) for r in line_dedup.remove(odd).collect())
     assert got == [(False, 1, 0, 0), (False, 2, 0, 0), (False, 3, 0, 0), (False, 4, 1, 0), (False, 4, 1, 0), (False, 5, 1, 0), (False, 6, 1, 1), (False, 7, 1, 0), (True, 0, 0, 0), (True, 0, 1, 0)]
