@@ -1,34 +1,33 @@
 """Line dedup by pairwise alignment.
 
 Lines are cut at ``\\n``; a line counts if it has a word, and is compared without
-white space at its ends. A document loses a *block*, a run of lines that patience
-diff aligns with a run of an earlier document (smaller id), if the block has
-``MIN_LINES`` lines or ``MIN_WORDS`` words.
-
-Which documents are aligned: those that share a *rare* line, one that at most
-``RARE`` texts hold, a run of two lines, or a line of ``MIN_WORDS`` words. Of the
-documents that share such a key each meets the earliest. Where a key is in more
-than ``RARE`` documents, these are dealt by hash into about as many groups as a
-group has rows; each meets the earliest of its group, and that one the earliest
-of all. So every holder of a key but the first meets an earlier one, the pairs
-number at most the lines, and no document meets more than the square root of a
-key's holders. No pair of a group is listed but these.
-
-That is the first round. ``remove(docs, every=True)``, as op6 has it, aligns each
-document as if with *every* earlier one: what holds a key in common with an earlier
-document and is not all removed meets, in a second round, all earlier holders of
-that key, one of each class. A class is of holders that are equal once all runs of
-lines that no document of the second round has are put as one mark; such holders
-align alike, so the earliest stands for all and nothing is lost.
+white space at its ends. A *block* is a run of lines that stands in two documents
+and has ``MIN_LINES`` lines or ``MIN_WORDS`` words. A document loses the blocks
+it has in common with an earlier document (smaller id).
+
+Which documents are aligned: those that share a *key*, the hash of two lines in a
+row or of one line of ``MIN_WORDS`` words; every block has one. Each holder of a
+key meets the earliest. Where a key is in more than ``RARE`` documents, these are
+dealt by hash into about as many groups as a group has rows; each meets the
+earliest of its group, and that one the earliest of all. So every holder of a key
+but the first meets an earlier one that has it, the pairs number at most the keys
+held, and no document meets more than about the square root of a key's holders.
+
+How a pair is aligned: patience diff, then, for what one alignment leaves (a
+passage held twice, or in another order), the widest common run around each key
+that is still there. So a pair's common blocks all go; and as each key of a
+document is met in some earlier holder, the result is that of aligning every
+document with all earlier ones in this way.
 
 Exact copies are found first, by md5; they lose every block against the first
 copy at once, and only the first copy is aligned with others. Alignments see
-line hashes; texts are read once to hash and once to cut. Joins are by key
-only, so hot keys split at run time.
+line hashes (64 bits); texts are read once to hash and once to cut. Joins are by
+key only, so hot keys split at run time.
 
 Defined results: null or empty text has no lines; rows of null ids keep all and
-take nothing; rows of one id do not meet; repeated rows are treated alike; an
-empty table gives no rows. Blocks are judged on the input, not on what is left.
+take nothing; rows of one id do not meet; repeated rows are treated alike; very
+long texts are read whole; an empty table gives no rows; other columns are
+ignored. Blocks are judged on the input, not on what is left.
 """
 
 from __future__ import annotations
@@ -38,11 +37,11 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import as_bytes, mapped, stored
-from .patience import align, blocks
+from .patience import align, anchored, blocks
 
 RARE = 64
 MIN_LINES = 2
@@ -71,32 +70,31 @@ def _hashed(docs: DataFrame) -> DataFrame:
     return mapped(docs.select("doc_id", "th", "text"), "doc_id bigint, th bigint, h array<bigint>, words array<int>", run)
 
 
-def _who() -> Column:
-    return F.struct("doc_id", "th").alias("who")
-
-
-def _pair(i: Column) -> Column:
-    """The key of the lines at ``i`` and after it."""
-    return F.xxhash64(F.get("h", i), F.get("h", i + 1))
-
-
 def _holders(lines: DataFrame) -> DataFrame:
-    """(who, key, wide, least, sub): the holders of each key that brings documents together, with its earliest and their group."""
-    single = F.transform("h", lambda x, i: F.struct(x.alias("key"), (F.get("words", i) >= MIN_WORDS).alias("wide")))
-    double = F.when(F.size("h") > 1, F.transform(F.sequence(F.lit(0), F.size("h") - 2), lambda i: F.struct(_pair(i).alias("key"), F.lit(True).alias("wide")))).otherwise(F.array().cast("array<struct<key:bigint,wide:boolean>>"))
-    keys = lines.select(_who(), F.explode(F.array_distinct(F.concat(single, double))).alias("k")).select("who", "k.key", "k.wide")
-    held = stored(keys.groupBy("key", "wide").agg(F.count("*").alias("n"), F.min("who").alias("least")).where((F.col("n") > 1) & (F.col("wide") | (F.col("n") <= RARE))))
+    """(who, key, least, sub): the holders of each key that brings documents together, with its earliest and their group."""
+    single = F.filter(F.transform("h", lambda x, i: F.when(F.get("words", i) >= MIN_WORDS, F.xxhash64(x))), lambda k: k.isNotNull())
+    double = F.transform(F.slice("h", 1, F.greatest(F.size("h") - 1, F.lit(0))), lambda x, i: F.xxhash64(x, F.get("h", i + 1)))
+    keys = lines.select(F.struct("doc_id", "th").alias("who"), F.explode(F.array_distinct(F.concat(single, double))).alias("key"))
+    held = stored(keys.groupBy("key").agg(F.count("*").alias("n"), F.min("who").alias("least")).where("n > 1"))
     subs = F.when(F.col("n") <= RARE, F.lit(1).cast("bigint")).otherwise(F.ceil(F.sqrt("n")))
     # Written, so that the join stands alone and a key of many holders can be split.
-    return stored(keys.join(held, ["key", "wide"]).select("who", "key", "wide", "least", F.pmod(F.xxhash64("who"), subs).alias("sub")))
+    return stored(keys.join(held, "key").select("who", "key", "least", F.pmod(F.xxhash64("who"), subs).alias("sub")))
 
 
 def meetings(dealt: DataFrame) -> DataFrame:
-    """(late, early): which documents, as structs of id and text hash, are aligned in the first round."""
-    tops = dealt.groupBy("key", "wide", "sub").agg(F.min("who").alias("early"), F.first("least").alias("least"))
-    to_top = dealt.select("who", "key", "wide", "sub").join(tops, ["key", "wide", "sub"]).select(F.col("who").alias("late"), "early")
-    to_all = tops.select(F.col("early").alias("late"), F.col("least").alias("early"))
-    return to_top.unionByName(to_all).where("early.doc_id < late.doc_id").distinct()
+    """(late, early): which documents, as structs of id and text hash, are aligned."""
+    tops = stored(dealt.groupBy("key", "sub").agg(F.min("who").alias("top")))
+    met = dealt.join(tops, ["key", "sub"])
+    # The earliest of a group, and others of its id, meet the earliest of all.
+    early = F.when(F.col("top.doc_id") < F.col("who.doc_id"), F.col("top")).otherwise(F.col("least"))
+    return met.select(F.col("who").alias("late"), early.alias("early")).where("early.doc_id < late.doc_id").distinct()
+
+
+def common(h: list[int], words: list[int], other: list[int]) -> list[tuple[int, int]]:
+    """The runs [start, stop) of h that are blocks in common with ``other``."""
+    enough = lambda s, e: e - s >= MIN_LINES or sum(words[s:e]) >= MIN_WORDS
+    runs = [r for r in blocks(align(h, other)) if enough(*r)]
+    return runs + [r for r in anchored(h, other, runs) if enough(*r)]
 
 
 def _aligned(pairs: DataFrame) -> DataFrame:
@@ -106,56 +104,21 @@ def _aligned(pairs: DataFrame) -> DataFrame:
         for b in batches:
             out = []
             for doc, th, h, words, other in zip(*(b[n].to_pylist() for n in ("doc_id", "th", "h", "words", "other")), strict=True):
-                out += [(doc, th, s, e) for s, e in blocks(align(h, other)) if e - s >= MIN_LINES or sum(words[s:e]) >= MIN_WORDS]
+                out += [(doc, th, s, e) for s, e in common(h, words, other)]
             cols = list(zip(*out, strict=True)) or [()] * 4
             yield {n: pa.array(list(v), pa.int64()) for n, v in zip(("doc_id", "th", "start", "stop"), cols, strict=True)}
 
     return mapped(pairs, "doc_id bigint, th bigint, start bigint, stop bigint", run)
 
 
-def _left(leads: DataFrame, dealt: DataFrame, gone: DataFrame) -> DataFrame:
-    """(late, key): the wide keys, held by an earlier document, too, of lines that are not all in the blocks ``gone``."""
-    held = stored(dealt.where("wide AND least.doc_id < who.doc_id").select(F.col("who").alias("late"), "key").distinct())
-    ids = held.select("late.doc_id", "late.th").distinct()
-    rest = stored(leads.join(ids, ["doc_id", "th"], "left_semi").join(gone, ["doc_id", "th"], "left"))
-    goes = lambda i: F.coalesce(F.exists("blocks", lambda r: (r["start"] <= i) & (i < r["stop"])), F.lit(False))
-    at = rest.select(_who(), "h", "words", "blocks", F.explode(F.sequence(F.lit(0), F.size("h") - 1)).alias("i")).withColumn("stays", ~goes(F.col("i"))).withColumn("next", ~goes(F.col("i") + 1))
-    long = F.when(F.col("stays") & (F.get("words", F.col("i")) >= MIN_WORDS), F.get("h", F.col("i")))
-    pair = F.when((F.col("stays") | F.col("next")) & (F.col("i") + 1 < F.size("h")), _pair(F.col("i")))
-    open_keys = at.select(F.col("who").alias("late"), F.explode(F.array(long, pair)).alias("key")).where("key IS NOT NULL").distinct()
-    return stored(held.join(stored(open_keys), ["late", "key"]))
-
-
-def _more(leads: DataFrame, dealt: DataFrame, left: DataFrame) -> DataFrame:
-    """(late, early): each document of ``left`` and the earliest of each class of earlier holders of its keys."""
-    asked = left.select("key").distinct()
-    holders = stored(dealt.where("wide").select("who", "key").distinct().join(asked, "key", "left_semi"))
-    late = leads.join(left.select("late.doc_id", "late.th").distinct(), ["doc_id", "th"], "left_semi")
-    lines = stored(late.select(F.explode("h").alias("x")).distinct().withColumn("seen", F.lit(True)))
-    parts = stored(leads.join(holders.select("who.doc_id", "who.th").distinct(), ["doc_id", "th"], "left_semi").select(_who(), F.posexplode("h").alias("i", "x")))
-    marked = parts.join(lines, "x", "left").groupBy("who").agg(F.array_sort(F.collect_list(F.struct("i", F.when(F.col("seen"), F.col("x")).alias("x")))).alias("p"))
-    runs = F.filter("p", lambda e, i: e["x"].isNotNull() | (i == 0) | F.get("p", i - 1)["x"].isNotNull())
-    classes = stored(marked.select("who", F.md5(F.concat_ws(",", F.transform(runs, lambda e: F.coalesce(e["x"].cast("string"), F.lit("-"))))).alias("class")))
-    first = classes.groupBy("class").agg(F.min("who").alias("early"))
-    led = stored(classes.join(first, "class").select("who", "early"))
-    early = stored(holders.join(led, "who").select("key", "early").distinct())
-    return left.join(early, "key").where("early.doc_id < late.doc_id").select("late", "early").distinct()
-
-
-def removals(docs: DataFrame, every: bool = False) -> DataFrame:
+def removals(docs: DataFrame) -> DataFrame:
     """(doc_id, th, blocks): for documents that lose lines; null blocks: all lines, if they are enough for one."""
     lines = stored(_hashed(docs))
     digests = docs.select("doc_id", "th", F.md5("text").alias("digest"))
     firsts = stored(digests.groupBy("digest").agg(F.min("doc_id").alias("least")))
     placed = stored(digests.join(firsts, "digest").select("doc_id", "th", (F.col("doc_id") == F.col("least")).alias("leads")).distinct())
     leads = stored(lines.where(F.size("h") > 0).join(placed.where("leads").select("doc_id", "th"), ["doc_id", "th"]).dropDuplicates(["doc_id", "th"]))
-    dealt = _holders(leads)
-    met = stored(meetings(dealt))
-    partly = _blocks(leads, met)
-    if every:
-        partly = stored(partly)
-        more = _more(leads, dealt, _left(leads, dealt, partly)).join(met, ["late", "early"], "left_anti")
-        partly = partly.unionByName(_blocks(leads, stored(more))).groupBy("doc_id", "th").agg(F.array_distinct(F.flatten(F.collect_list("blocks"))).alias("blocks"))
+    partly = _blocks(leads, stored(meetings(_holders(leads))))
     copies = placed.where("NOT leads").select("doc_id", "th").withColumn("blocks", F.lit(None).cast(partly.schema["blocks"].dataType))
     return partly.unionByName(copies)
 
@@ -168,13 +131,10 @@ def _blocks(leads: DataFrame, met: DataFrame) -> DataFrame:
     return _aligned(both).groupBy("doc_id", "th").agg(F.collect_set(F.struct("start", "stop")).alias("blocks"))
 
 
-def remove(docs: DataFrame, every: bool = False) -> DataFrame:
-    """(doc_id, n_lines, n_removed, kept_text) for every row of ``docs``; lines without a word stay.
-
-    ``every``: aligned as with every earlier document, not only those of the first round.
-    """
+def remove(docs: DataFrame) -> DataFrame:
+    """(doc_id, n_lines, n_removed, kept_text) for every row of ``docs``; lines without a word stay."""
     texts = docs.select("doc_id", as_bytes()).withColumn("th", F.xxhash64("text"))
-    gone = removals(texts.where("doc_id IS NOT NULL"), every).withColumn("known", F.lit(True))
+    gone = removals(texts.where("doc_id IS NOT NULL")).withColumn("known", F.lit(True))
 
     def run(batches: Iterator[dict]) -> Iterator[dict]:
         for b in batches:

@@ -85,3 +85,30 @@ def blocks(pairs: list[tuple[int, int]]) -> list[tuple[int, int]]:
             out.append([i, i + 1])
         last = (i, j)
     return [(s, e) for s, e in out]
+
+
+def anchored(a: list[int], b: list[int], done: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """Runs of a, outside those ``done``, that stand in b too: around each line or pair of lines that is left, the widest."""
+    gone = bytearray(len(a) + 1)
+    for s, e in done:
+        gone[s:e] = b"\1" * (e - s)
+    if gone.count(0) == 1:
+        return []
+    line, pair = {x: j for j, x in enumerate(b)}, {x: j for j, x in enumerate(zip(b, b[1:]))}
+    out = []
+    for i in range(len(a)):
+        if i + 1 < len(a) and not (gone[i] and gone[i + 1]) and (a[i], a[i + 1]) in pair:
+            j = pair[a[i], a[i + 1]]
+        elif not gone[i] and a[i] in line:
+            j = line[a[i]]
+        else:
+            continue
+        s, e, t, u = i, i, j, j
+        while s and t and a[s - 1] == b[t - 1]:
+            s, t = s - 1, t - 1
+        while e < len(a) and u < len(b) and a[e] == b[u]:
+            e, u = e + 1, u + 1
+        out.append((s, e))
+        if e - s > 1:
+            gone[s:e] = b"\1" * (e - s)
+    return out

@@ -37,6 +37,21 @@ SELECT doc_id, len(w)::BIGINT AS n_words, (len(w) - coalesce(n, 0))::BIGINT AS n
 FROM d LEFT JOIN kept USING (r)
 """
 
+#: Lines with a word, less white space at their ends; a line goes if it is part of a pair of lines, or is a line of 20 words, that an earlier document has.
+OP6_SQL = r"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS t FROM documents),
+a AS (SELECT r, doc_id, unnest(string_split(t, chr(10))) AS raw, generate_subscripts(string_split(t, chr(10)), 1) AS p FROM d),
+l AS (SELECT r, doc_id, raw, p, row_number() OVER (PARTITION BY r ORDER BY p) AS i, regexp_replace(raw, '^[\x20\x09-\x0D]+|[\x20\x09-\x0D]+$', '', 'g') AS s
+      FROM a WHERE regexp_matches(raw, '[^\x20\x09-\x0D]')),
+k AS (SELECT r, doc_id, i, 2 AS n, s || chr(10) || lead(s) OVER (PARTITION BY r ORDER BY i) AS k FROM l
+      UNION ALL SELECT r, doc_id, i, 1, s FROM l WHERE len(regexp_split_to_array(s, '[\x20\x09-\x0D]+')) >= 20),
+g AS (SELECT DISTINCT r, unnest(range(i, i + n)) AS i FROM k JOIN (SELECT n, k, min(doc_id) AS m FROM k GROUP BY ALL) USING (n, k) WHERE m < doc_id),
+x AS (SELECT l.r, p FROM l JOIN g USING (r, i)),
+kept AS (SELECT a.r, string_agg(raw, chr(10) ORDER BY p) AS kept FROM a ANTI JOIN x USING (r, p) GROUP BY a.r)
+SELECT doc_id, coalesce(n, 0)::BIGINT AS n_lines, coalesce(m, 0)::BIGINT AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256
+FROM d LEFT JOIN kept USING (r) LEFT JOIN (SELECT r, count(*) AS n FROM l GROUP BY r) USING (r) LEFT JOIN (SELECT r, count(*) AS m FROM x GROUP BY r) USING (r)
+"""
+
 OP3_SQL = r"""
 WITH d AS (SELECT row_number() OVER () AS r, doc_id, lang, coalesce(text, '') AS t,
     list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda w: w <> '') AS w,
@@ -171,9 +186,9 @@ def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
 
 
-@query("op6_line_dedup")
+@query("op6_line_dedup", OP6_SQL)
 def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = line_dedup.remove(read(spark, sf_dir, "documents"), every=True)
+    found = line_dedup.remove(read(spark, sf_dir, "documents"))
     return found.select("doc_id", "n_lines", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
 
 

@@ -191,36 +191,14 @@ def test_patience_alignment():
 
 
 def brute_lines(rows):
-    """Few enough holders of each key for one group: each meets the earliest."""
-    own = {i: [x.strip() for x in t.encode().split(b"\n") if x.strip()] for i, t in rows}
+    """(lines, removed) from the strings alone: every run of two lines, or line of 20 words, that any earlier document has."""
+    own = [(i, [x.strip() for x in t.encode().split(b"\n") if x.strip()]) for i, t in rows]
+    keys = lambda ls: [(k, k + 1, (x,)) for k, x in enumerate(ls) if len(x.split()) >= 20] + [(k, k + 2, p) for k, p in enumerate(zip(ls, ls[1:]))]
     first = {}
-    for i in sorted(own):
-        first.setdefault(tuple(own[i]), i)
-    leads = [i for i in sorted(own) if first[tuple(own[i])] == i or True]
-    texts = {}
-    for i, t in sorted(rows):
-        texts.setdefault(t, i)
-    meet = {}
-    holders = {}
-    for i in leads:
-        if texts[dict(rows)[i]] != i:
-            continue
-        ls = own[i]
-        for key in {*[(x,) for x in ls], *zip(ls, ls[1:])}:
-            holders.setdefault(key, []).append(i)
-    for held in holders.values():
-        for i in held[1:]:
-            meet.setdefault(i, set()).add(min(held))
-    out = {}
-    for i, t in rows:
-        ls = own[i]
-        size = lambda s, e, ls=ls: e - s >= 2 or sum(len(x.split()) for x in ls[s:e]) >= 20
-        if texts[t] != i:
-            gone = len(ls) if size(0, len(ls)) else 0
-        else:
-            gone = len({k for e in meet.get(i, ()) for s, e2 in blocks(align([hash(x) for x in ls], [hash(x) for x in own[e]])) if size(s, e2) for k in range(s, e2)})
-        out[i] = (len(ls), gone)
-    return out
+    for i, ls in own:
+        for _, _, key in keys(ls):
+            first[key] = min(first.get(key, i), i)
+    return {i: (len(ls), len({k for s, e, key in keys(ls) if first[key] < i for k in range(s, e)})) for i, ls in own}
 
 
 def line_rows(seed, n=90):
@@ -256,25 +234,8 @@ def test_line_dedup_hot_block(make, monkeypatch):
     assert all(got[i] == (2, f"own line {i}\nlast {i}") for i in range(1, 60))
 
 
-def brute_every(rows):
-    """(lines, removed) with each text's first document aligned with every earlier document."""
-    own = {i: [x.strip() for x in t.encode().split(b"\n") if x.strip()] for i, t in rows}
-    texts, out = {}, {}
-    for i, t in sorted(rows):
-        ls = own[i]
-        size = lambda s, e, ls=ls: e - s >= 2 or sum(len(x.split()) for x in ls[s:e]) >= 20
-        if texts.setdefault(t, i) != i:
-            gone = len(ls) if size(0, len(ls)) else 0
-        else:
-            gone = len({k for e in own if e < i for s, stop in blocks(align(ls, own[e])) if size(s, stop) for k in range(s, stop)})
-        out[i] = (len(ls), gone)
-    return out
-
-
-@pytest.mark.parametrize("rare", [64, 4])
-def test_line_dedup_against_every_earlier_document(make, monkeypatch, rare):
-    """Blocks that the first partner does not align with: passages twice and in another order, from several holders."""
-    monkeypatch.setattr(line_dedup, "RARE", rare)
+def in_any_order():
+    """Passages twice and in another order, from several holders, among other documents."""
     rows = []
     for seed in (2, 5):
         rows += [(1000 * seed + i, t) for i, t in line_rows(seed)]
@@ -283,11 +244,39 @@ def test_line_dedup_against_every_earlier_document(make, monkeypatch, rare):
     for i in range(40):
         held = r.choices(passages, k=r.randint(1, 4))
         rows.append((10_000 + i, "\n".join(x for k, p in enumerate(held) for x in (f"own {i} {k}", p))))
-    first = {x.doc_id: x.n_removed for x in line_dedup.remove(make(rows)).collect()}
-    got = {x.doc_id: (x.n_lines, x.n_removed) for x in line_dedup.remove(make(rows), every=True).collect()}
-    want = brute_every(rows)
-    assert got == want
-    assert sum(n for _, n in want.values()) > sum(first.values())
+    return rows
+
+
+@pytest.mark.parametrize("rare", [64, 4])
+def test_line_dedup_in_any_order(make, monkeypatch, rare):
+    monkeypatch.setattr(line_dedup, "RARE", rare)
+    rows = in_any_order()
+    got = {x.doc_id: (x.n_lines, x.n_removed) for x in line_dedup.remove(make(rows)).collect()}
+    assert got == brute_lines(rows)
+
+
+def test_line_dedup_has_all_that_alignment_with_every_earlier_document_removes():
+    """Plain patience diff with each earlier document finds no line that the rule leaves; the rule finds more."""
+    rows = [(i, [x.strip() for x in t.split("\n") if x.strip()]) for i, t in in_any_order()]
+    plain = closed = 0
+    for n, (_, ls) in enumerate(rows):
+        words = [len(x.split()) for x in ls]
+        lost = lambda runs: {k for s, e in runs for k in range(s, e)}
+        enough = lambda s, e, words=words: e - s >= 2 or sum(words[s:e]) >= 20
+        one = set().union(*(lost(x for x in blocks(align(ls, e)) if enough(*x)) for _, e in rows[:n]))
+        all_ = set().union(*(lost(line_dedup.common(ls, words, e)) for _, e in rows[:n]))
+        assert one <= all_
+        plain, closed = plain + len(one), closed + len(all_)
+    assert 0.8 * closed < plain < closed
+
+
+def test_line_dedup_of_repeated_ids(make, monkeypatch):
+    """Rows of one id do not meet, and still meet the earlier document behind them."""
+    monkeypatch.setattr(line_dedup, "RARE", 3)
+    shared = "first shared line\nsecond shared line"
+    rows = [(3, f"a\n{shared}"), *((5, f"own {k}\n{shared}") for k in range(30))]
+    got = sorted((x.doc_id, x.n_removed) for x in line_dedup.remove(make(rows)).collect())
+    assert got == [(3, 0), *[(5, 2)] * 30]
 
 
 def test_line_dedup_odd_rows(odd):
