@@ -224,6 +224,56 @@ def test_license_inside_a_long_line(make, vocabulary):
     assert got == {1: {"GPL"}, 2: set()}
 
 
+def test_several_families_in_a_line(make, vocabulary):
+    """Far apart in a long line, and side by side within a piece."""
+    r = random.Random(3)
+    words = lambda n: " ".join(r.choices(vocabulary, k=n))
+    rows = [
+        (1, f"Released under the MIT License. {words(200)} Licensed under the Apache License, Version 2.0."),
+        (2, f"{words(5)} Released under the MIT License. Licensed under the Apache License, Version 2.0. {words(9)}"),
+        (3, f"{words(30)}\nAll rights reserved.\n{words(4)} all of the reserved rights {words(4)}"),
+    ]
+    docs = make(rows)
+    got = {x.doc_id: {(h.line, h.family) for h in x.hits if h.confirmed} for x in licenses.scan(docs, licenses.train(docs)).collect()}
+    assert got == {1: {(0, "MIT"), (0, "Apache-2.0")}, 2: {(0, "MIT"), (0, "Apache-2.0")}, 3: {(1, "proprietary")}}
+
+
+def test_license_bound_loses_no_paragraph(vocabulary):
+    """Against the full score of every piece, confirmed or not; unconfirmed hits are reported."""
+    r = random.Random(6)
+    scanner = licenses.learn([" ".join(r.choices(vocabulary, k=30)).encode() for _ in range(200)])
+    ids, template_words = WordIds(), [w for ts in licenses.TEMPLATES.values() for t in ts for w in t.split()]
+    named = refused = 0
+    for _ in range(600):
+        words = licenses.words_of(" ".join(r.choices(template_words if r.random() < 0.5 else vocabulary, k=r.randint(1, licenses.PIECE))).encode())[: licenses.PIECE]
+        full = scanner.probabilities(licenses.grams(ids.of(words)))
+        n, hits = scanner.scan(b" ".join(words), ids)
+        assert n == 1 and bool(hits) == (full[1:].max() >= scanner.bar)
+        named, refused = named + bool(hits), refused + any(not h[4] for h in hits)
+    assert named > 20 and refused > 0
+
+
+def test_licenses_of_the_given_tables(spark):
+    """Every family's notices among 10,000 documents, and no other line."""
+    notices = {
+        "This work is licensed under the GNU General Public License, version 3.": "GPL", "All rights reserved.": "proprietary", "Licensed under CC BY-NC 4.0.": "CC-BY-NC",
+        "Released under the MIT License.": "MIT", "Licensed under the Apache License, Version 2.0.": "Apache-2.0",
+    }
+    docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet")
+    scanner = licenses.train(docs)
+    found, planted, wrong = Counter(), Counter(), 0
+    texts = {x.doc_id: x.text for x in docs.where("text IS NOT NULL").collect()}
+    for x in licenses.scan(docs, scanner).collect():
+        lines = (texts.get(x.doc_id) or "").split("\n")
+        want = {(k, f) for k, t in enumerate(lines) for n, f in notices.items() if n in t}
+        got = {(h.line, h.family) for h in x.hits if h.confirmed}
+        planted.update(f for _, f in want)
+        found.update(f for _, f in want & got)
+        wrong += len(got - want)
+    assert len(planted) == 5 and all(found[f] >= 0.95 * planted[f] for f in planted)
+    assert wrong == 0
+
+
 def test_licenses_odd_rows(odd):
     scanner = licenses.train(odd)
     rows = licenses.scan(odd, scanner).collect()
