@@ -43,7 +43,7 @@ from .common import WordIds, as_bytes, mapped
 from .toxicity import PLAIN
 
 PIECE = 64
-BITS = 16
+BITS = 20
 BACKGROUND = 500
 LINES = 10_000
 LINE_BYTES = 2048
@@ -173,6 +173,7 @@ def shares(own: set, template: set) -> float:
 @dataclass
 class Scanner:
     families: list[str]
+    slot: np.ndarray  # per hash cell its row of weights; row 0 is of n-grams that no template has
     weights: np.ndarray
     bias: np.ndarray
     temperature: float
@@ -186,13 +187,13 @@ class Scanner:
         self.asked = self.temperature * np.log(self.bar / (1 - self.bar)) - float((self.bias[1:] - self.bias[0]).max())
 
     def probabilities(self, at: np.ndarray) -> np.ndarray:
-        z = (self.bias + self.weights[np.unique(at)].sum(axis=0)) / self.temperature
+        z = (self.bias + self.weights[self.slot[np.unique(at)]].sum(axis=0)) / self.temperature
         z = np.exp(z - z.max())
         return z / z.sum()
 
     def hopeful(self, h: np.ndarray, starts: list[int], stops: list[int]) -> list[int]:
         """Which of the pieces of a text, given by their places in its word hashes, could reach ``bar``."""
-        reach = sum(np.concatenate([g, np.zeros(len(h) - len(g))]) for g in (self.gain[x] for x in gram_parts(h)))
+        reach = sum(np.concatenate([g, np.zeros(len(h) - len(g))]) for g in (self.gain[self.slot[x]] for x in gram_parts(h)))
         total = np.concatenate([[0.0], np.cumsum(reach)])
         return np.flatnonzero(total[stops] - total[starts] >= self.asked - 1e-6).tolist()
 
@@ -266,14 +267,13 @@ def learn(background: list[bytes], bar: float = 0.5, near: float = 0.5, epochs:
     families = [UNKNOWN, *TEMPLATES]
     ids = WordIds()
     made = examples(background)
-    seen = np.zeros(1 << BITS, bool)
-    for ts in TEMPLATES.values():
-        for t in ts:
-            seen[grams(ids.of(words_of(t.encode())))] = True
-    rows = [(np.unique(g[seen[g]]), c) for w, c in made for g in [grams(ids.of(w))]]
+    cells = np.unique(np.concatenate([grams(ids.of(words_of(t.encode()))) for ts in TEMPLATES.values() for t in ts]))
+    slot = np.zeros(1 << BITS, np.int16)
+    slot[cells] = np.arange(1, len(cells) + 1)
+    rows = [(at[at > 0], c) for w, c in made for at in [slot[np.unique(grams(ids.of(w)))]]]
     share = [sum(c > 0 for _, c in rows) / max(1, sum(c == 0 for _, c in rows)), 1.0]
     held, kept = rows[::5], [x for i, x in enumerate(rows) if i % 5]
-    w, b = np.zeros((1 << BITS, len(families))), np.zeros(len(families))
+    w, b = np.zeros((len(cells) + 1, len(families))), np.zeros(len(families))
     gw, gb = np.full_like(w, 1e-2), np.full_like(b, 1e-2)
     r = Random(1)
     for _ in range(epochs):
@@ -297,7 +297,7 @@ def learn(background: list[bytes], bar: float = 0.5, near: float = 0.5, epochs:
         s = s - s.max(axis=1, keepdims=True)
         return float((np.log(np.exp(s).sum(axis=1)) - s[np.arange(len(y)), y]).mean())
 
-    return Scanner(families, w.astype(np.float32), b, min(np.geomspace(0.25, 8, 41), key=loss), bar, near)
+    return Scanner(families, slot, w.astype(np.float32), b, min(np.geomspace(0.25, 8, 41), key=loss), bar, near)
 
 
 def train(docs: DataFrame, background: int = BACKGROUND, lines: int = LINES, **settings) -> Scanner:
