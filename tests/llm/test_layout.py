@@ -4,6 +4,7 @@ import random
 import zlib
 from collections import Counter, defaultdict
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -166,14 +167,13 @@ def test_mix_odd_rows(odd):
 
 
 def edits(piece, region):
-    """Least edits between piece and any stretch of region."""
-    row = [0] * (len(region) + 1)
+    """Least edits between piece and any stretch of region, by the full table, a row at a time."""
+    c, steps = np.array([*map(ord, region)], dtype=np.int64), np.arange(len(region) + 1)
+    row = np.zeros(len(region) + 1, dtype=np.int64)
     for i, p in enumerate(piece):
-        new = [i + 1]
-        for j, c in enumerate(region):
-            new.append(min(row[j] + (p != c), row[j + 1] + 1, new[j] + 1))
-        row = new
-    return min(row)
+        new = np.concatenate([[i + 1], np.minimum(row[:-1] + (c != ord(p)), row[1:] + 1)])
+        row = np.minimum.accumulate(new - steps) + steps
+    return int(row.min())
 
 
 def test_banded_alignment_matches_the_full_table():
@@ -190,58 +190,103 @@ def test_banded_alignment_matches_the_full_table():
         assert got == want if want <= k and slack >= 0 else got > k
 
 
-def test_lemma_filter_loses_no_piece(vocabulary):
-    """Against a full table over every document: pieces within the budget are found, others are not."""
+def edited(r, text, rate=0.15):
+    s = list(text)
+    for _ in range(r.randrange(int(len(s) * rate) + 1)):
+        s[r.randrange(len(s))] = r.choice(["", "x", "yz", " "])
+    return "".join(s)
+
+
+@pytest.mark.parametrize("hits", [1 << 20, 50])
+def test_lemma_filter_loses_no_piece(vocabulary, monkeypatch, hits):
+    """Against a full table over every document: pieces within the budget are found, others are not; however few hits are held at once."""
+    monkeypatch.setattr(decontamination, "HITS", hits)
     r = random.Random(10)
-    items = [(i, " ".join(r.choices(vocabulary, k=r.randint(6, 40)))) for i in range(25)]
+    common = " ".join(r.choices(vocabulary, k=18))
+    items = [(i, decontamination.normal(" ".join(r.choices(vocabulary, k=r.randint(2, 40))) + (f" {common} tail" if i % 3 == 0 else ""))) for i in range(25)]
+    items += [(100, items[3][1]), (101, "tail")]
     index = decontamination.Index.build(items)
+    pieces = [(index.text[s : s + m], int(e), int(k)) for s, m, e, k in zip(index.start, index.length, index.edits, index.owner)]
     for n in range(60):
         text = decontamination.normal(" ".join(r.choices(vocabulary, k=r.randint(0, 60))))
         if n % 3:
-            s = list(decontamination.normal(r.choice(items)[1]))
-            for _ in range(r.randrange(int(len(s) * 0.15) + 1)):
-                s[r.randrange(len(s))] = r.choice(["", "x", "yz", " "])
-            text = decontamination.normal(text + " " + "".join(s) + " " + " ".join(r.choices(vocabulary, k=9)))
+            text = decontamination.normal(text + " " + edited(r, r.choice(items)[1]) + " " + " ".join(r.choices(vocabulary, k=9)))
         want = defaultdict(list)
-        for p, piece in enumerate(index.plain):
+        for piece, budget, k in pieces:
             e = edits(piece, text)
-            if e <= index.edits[p]:
-                want[index.item[p]].append(e)
-        assert {i: (k, e) for i, k, e, _ in index.search(text)} == {i: (len(v), min(v)) for i, v in want.items()}
+            if e <= budget:
+                for i in index.items[k]:
+                    want[i].append(e)
+        short = {101} if " tail " in f" {text} " else set()
+        got = index.search(text)
+        assert {i: (k, e) for i, k, e, _ in got if i != 101} == {i: (len(v), min(v)) for i, v in want.items()}
+        assert {i for i, *_ in got} - set(want) == short
+        assert index.holds(text) == bool(got)
+
+
+def test_start_is_where_the_match_begins(vocabulary):
+    r = random.Random(4)
+    item = decontamination.normal(" ".join(r.choices(vocabulary, k=16)))[: decontamination.PIECE]
+    index = decontamination.Index.build([(1, item)])
+    for _ in range(40):
+        before = decontamination.normal(" ".join(r.choices(vocabulary, k=r.randint(1, 80)))) + " "
+        at = r.randrange(10, 60)
+        for inside in (item, item[:at] + "#" + item[at + 1 :]):
+            [(_, _, e, start)] = index.search(before + inside + " end")
+            assert (e, start) == (int(inside != item), len(before))
 
 
-def test_beginnings_of_items_at_every_length(make, spark, vocabulary):
+def test_parts_of_items_at_every_length(make, spark, vocabulary):
     """A document that is itself a part of an item, shorter than a piece: as the full table has it, and no error."""
     r = random.Random(13)
     k = decontamination.budget(decontamination.PIECE)
     item = decontamination.normal(" ".join(r.choices(vocabulary, k=60)))
-    index = decontamination.Index.build([(1, item)])
     piece = item[: decontamination.PIECE]
     docs = [(n, item[at : at + n]) for at in (0, 5, 9) for n in range(1, 140)]
     for _, text in docs:
         want = edits(piece, decontamination.normal(text))
         got = decontamination.band_edits(decontamination.codes(piece), decontamination.codes(decontamination.normal(text)), k)
         assert got == want if want <= k else got > k
-        found = [(i, least) for i, _, least, _ in index.search(text)]
-        assert found == [(1, want)] if want <= k else not any(least < want for _, least in found)
     bench = spark.createDataFrame([(1, item)], "item_id bigint, text string")
     held = {x.doc_id for x in decontamination.find(make([(n, item[:n]) for n in range(1, 140)]), bench).collect()}
     assert held == set(range(decontamination.PIECE - k, 140))
+    # Any passage of PIECE + STRIDE characters holds a whole piece.
+    passage = decontamination.PIECE + decontamination.STRIDE
+    index = decontamination.Index.build([(1, item)])
+    assert all(index.holds(f"xx {item[at : at + passage]} yy") for at in range(len(item) - passage + 1))
 
 
 def test_decontamination_over_tables(make, spark, vocabulary, monkeypatch):
+    """One index, and twenty blocks of the benchmark one after another; short items, null ids, an item in parts."""
     r = random.Random(12)
-    items = [(i, " ".join(r.choices(vocabulary, k=30))) for i in range(12)]
+    items = [(i, " ".join(r.choices(vocabulary, k=30))) for i in range(20)]
     rows = [(i, " ".join(r.choices(vocabulary, k=80))) for i in range(60)]
     for i in range(0, 60, 6):
         rows[i] = (i, rows[i][1] + "\n" + items[i // 6][1].upper().replace(" ", "  ", 3))
-    docs, bench = make(rows), spark.createDataFrame([*items, (90, None), (91, ""), (92, "tiny"), (None, "null id is no item at all")], "item_id bigint, text string")
-    want = {(i, i // 6) for i in range(0, 60, 6)}
-    assert {(x.doc_id, x.item_id) for x in decontamination.find(docs, bench).collect()} == want
-    monkeypatch.setattr(decontamination, "MAX_BYTES", 500)
-    assert len(list(decontamination.blocks(bench, 500))) > 3
-    kept = decontamination.keep_clean(docs, bench)
-    assert {x.doc_id for x in kept.collect()} == {i for i in range(60) if i % 6}
+    rows += [(60, rows[1][1] + " null id is an item too"), (61, rows[2][1] + " Ab Cde"), (62, rows[3][1] + " abxcde")]
+    docs, bench = make(rows), spark.createDataFrame([*items, (90, None), (91, ""), (92, "tiny"), (93, "ab  cde"), (93, "ab  cde"), (None, "null id is an item too")], "item_id bigint, text string")
+    want = sorted([*((i, i // 6) for i in range(0, 60, 6)), (60, None), (61, 93)])
+    one = sorted((x.doc_id, x.item_id, x.n_pieces, x.edits, x.start) for x in decontamination.find(docs, bench).collect())
+    assert [x[:2] for x in one] == want
+    assert {x.doc_id for x in decontamination.keep_clean(docs, bench).collect()} == {i for i in range(63) if i > 60 or i % 6}
+    assert {x.doc_id for x in decontamination.keep_clean(docs, bench, least=1).collect()} == {i for i in range(63) if i > 61 or i < 60 and i % 6}
+    monkeypatch.setattr(decontamination, "BLOCK", 250)
+    monkeypatch.setattr(decontamination, "PART", 250)
+    n, indexes = decontamination.blocks(bench)
+    assert n >= 20 and max(len(x.text) for x in indexes) <= 250
+    assert sorted((x.doc_id, x.item_id, x.n_pieces, x.edits, x.start) for x in decontamination.find(docs, bench).collect()) == one
+    monkeypatch.setattr(decontamination, "BLOCK", 1500)
+    assert decontamination.blocks(bench)[0] >= 3
+    assert {x.doc_id for x in decontamination.keep_clean(docs, bench).collect()} == {i for i in range(63) if i > 60 or i % 6}
+
+
+def test_size_of_an_index(vocabulary):
+    """About 16 bytes a character, as the docstring has it."""
+    import pickle
+
+    r = random.Random(2)
+    index = decontamination.Index.build([(i, " ".join(r.choices(vocabulary, k=60))) for i in range(2000)])
+    assert 12 < len(pickle.dumps(index)) / len(index.text) < 20
 
 
 def test_decontamination_odd_rows(odd, spark):
