@@ -13,18 +13,21 @@ pairs from growing with the square of the corpus, the tiles lie in *buckets*:
 the 64 bits are cut into ``RADIUS + c`` blocks, of which two linked fingerprints
 share at least ``c``, so a bucket for each choice of ``c`` blocks and their
 value loses no link. ``c`` follows from the number of fingerprints. A bucket of
-up to ``CELL`` rows is compared in one place. A larger one is dealt out: its
-rows fall into tiles by population count and hash, and each pair of tiles within
-the radius becomes a cell of its own.
+up to ``CELL`` rows is compared in one place. A larger one is cut finer in the
+same way, by the bits its rows need not share (``LEVELS`` times at most, for
+fingerprints that have most bits in common). What is too large even then is dealt
+out: its rows fall into tiles by population count and hash, and each pair of
+tiles within the radius becomes a cell of its own.
 
 A cell reports a spanning forest of its links, no more rows than it has, and
 star contraction (`components`) joins the forests up. Nothing but the number of
 fingerprints reaches the driver.
 
 Defined results: null or empty text has fingerprint zero, linked like any other;
-texts of one to three words have one shingle; repeated rows each get a row; null
-ids name no group: ``component_id`` is the least id reachable other than null,
-null if there is none; an empty table gives no rows.
+texts of one to three words have one shingle; very long texts are read whole;
+repeated rows each get a row; null ids name no group: ``component_id`` is the
+least id reachable other than null, null if there is none; other columns are
+ignored, and kept by ``keep_one``; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -35,7 +38,7 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import as_bytes, mapped, stored
@@ -43,6 +46,7 @@ from .components import components
 
 RADIUS = 4
 CELL = 4096
+LEVELS = 3
 TILE = 256
 SHINGLE = 4
 
@@ -65,15 +69,17 @@ def fingerprint(text: bytes) -> int:
     return int(np.packbits(counts * 2 > n, bitorder="little").view("<u8")[0])
 
 
-def fingerprints(docs: DataFrame) -> DataFrame:
-    """(doc_id, fp): the fingerprint as a signed long."""
+def fingerprints(docs: DataFrame, *more: Column) -> DataFrame:
+    """(doc_id, fp, *more): the fingerprint as a signed long; ``more`` are columns of longs to carry along."""
+    kept = docs.select("doc_id", as_bytes(), *more)
+    names = kept.columns[2:]
 
     def run(batches: Iterator[dict]) -> Iterator[dict]:
         for b in batches:
             fp = np.array([fingerprint(t) for t in b["text"].to_pylist()], np.uint64)
-            yield {"doc_id": b["doc_id"].cast(pa.int64()), "fp": pa.array(fp.view(np.int64))}
+            yield {"doc_id": b["doc_id"].cast(pa.int64()), "fp": pa.array(fp.view(np.int64)), **{n: b[n] for n in names}}
 
-    return mapped(docs.select("doc_id", as_bytes()), "doc_id bigint, fp bigint", run)
+    return mapped(kept, ", ".join(f"{n} bigint" for n in ("doc_id", "fp", *names)), run)
 
 
 def block_masks(n: int) -> list[int]:
@@ -90,6 +96,12 @@ def block_masks(n: int) -> list[int]:
     return [sum(pick) for pick in combinations(blocks, c)]
 
 
+def finer(mask: int) -> list[int]:
+    """The bits outside ``mask`` in RADIUS + 1 parts, of which two linked fingerprints share one at least."""
+    rest = [b for b in range(64) if not mask >> b & 1]
+    return [sum(1 << b for b in rest[i :: RADIUS + 1]) for i in range(RADIUS + 1)]
+
+
 def tile_links(a: np.ndarray, b: np.ndarray, radius: int = RADIUS) -> np.ndarray:
     """Which of a (rows) and b (columns) differ in at most ``radius`` bits."""
     return np.bitwise_count(a[:, None] ^ b[None, :]) <= radius
@@ -165,36 +177,57 @@ def _compare(rows: DataFrame) -> DataFrame:
     return mapped(rows.repartition("cell").sortWithinPartitions("cell").select("cell", "side", "fp"), "u bigint, v bigint", run)
 
 
+def _keyed(rows: DataFrame, masks: list[list[int]]) -> DataFrame:
+    """rows (no, bucket, fp) -> the same of the next level: a row for each mask in ``masks[no]``."""
+    table = F.array(*[F.array(*[F.lit(m - (1 << 64) if m >> 63 else m) for m in own]) for own in masks])
+    parts = rows.select("no", "bucket", "fp", F.posexplode(F.get(table, F.col("no"))).alias("at", "mask"))
+    no = (F.col("no") * len(masks[0]) + F.col("at")).alias("no")
+    return parts.select(no, F.xxhash64("bucket", "mask", F.col("fp").bitwiseAND(F.col("mask"))).alias("bucket"), "fp")
+
+
 def links(fps: DataFrame, n: int) -> DataFrame:
     """(u, v): a forest that connects exactly the distinct fingerprints ``fp`` that links connect."""
-    masks = block_masks(n)
-    keyed = fps.select("fp", F.bit_count("fp").alias("pop"), F.posexplode(F.array(*[F.col("fp").bitwiseAND(F.lit(m - (1 << 64) if m >> 63 else m)) for m in masks])).alias("no", "key"))
-    # A row per (bucket, population count); buckets beyond CELL rows are few by their size.
-    per_pop = stored(keyed.groupBy("no", "key", "pop").agg(F.count("*").alias("n")))
-    buckets = per_pop.groupBy("no", "key").agg(F.sum("n").alias("rows"))
-    large = stored(per_pop.join(buckets.where(F.col("rows") > CELL), ["no", "key"]).select("no", "key", "pop", F.ceil(F.col("n") / (CELL // 2)).alias("subs")))
-    cell = lambda *parts: F.xxhash64(*parts).alias("cell")
-    small = keyed.join(large.select("no", "key").distinct(), ["no", "key"], "left_anti").select(cell("no", "key"), F.lit(0).alias("side"), "fp")
-    found = _compare(small)
-    if large.isEmpty():
-        return found
+    used = block_masks(n)
+    rows = _keyed(fps.select(F.lit(0).alias("no"), F.lit(0).cast("bigint").alias("bucket"), "fp"), [used])
+    found, cell = None, lambda *parts: F.xxhash64(*parts).alias("cell")
+    for level in range(LEVELS):
+        large = stored(rows.groupBy("bucket").agg(F.count("*").alias("n")).where(F.col("n") > CELL).select("bucket"))
+        near = _compare(rows.join(large, "bucket", "left_anti").select(cell("bucket"), F.lit(0).alias("side"), "fp"))
+        found = near if found is None else found.unionByName(near)
+        if large.isEmpty():
+            return found
+        rows = stored(rows.join(large, "bucket", "left_semi"))
+        if level + 1 < LEVELS:
+            parts = [finer(m) for m in used]
+            rows, used = _keyed(rows, parts), [m | x for m, own in zip(used, parts, strict=True) for x in own]
+    return found.unionByName(_compare(_dealt(rows)))
+
+
+def _dealt(rows: DataFrame) -> DataFrame:
+    """rows (bucket, fp) of large buckets -> (cell, side, fp): each in tiles, a cell for each pair of tiles."""
+    rows = rows.select("bucket", "fp", F.bit_count("fp").alias("pop"))
+    large = stored(rows.groupBy("bucket", "pop").agg(F.ceil(F.count("*") / (CELL // 2)).alias("subs")))
     tiles = large.withColumn("sub", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("subs") - 1)))
-    a, b = (tiles.select("no", "key", F.col("pop").alias(f"pop_{x}"), F.col("sub").alias(f"sub_{x}")) for x in "ab")
+    a, b = (tiles.select("bucket", F.col("pop").alias(f"pop_{x}"), F.col("sub").alias(f"sub_{x}")) for x in "ab")
     near = (F.col("pop_b") - F.col("pop_a")).between(0, RADIUS) & ((F.col("pop_a") < F.col("pop_b")) | (F.col("sub_a") <= F.col("sub_b")))
-    pairs = a.join(b, ["no", "key"]).where(near).withColumn("cell", cell("no", "key", "pop_a", "sub_a", "pop_b", "sub_b"))
+    pairs = a.join(b, "bucket").where(near).withColumn("cell", F.xxhash64("bucket", "pop_a", "sub_a", "pop_b", "sub_b"))
     same = (F.col("pop_a") == F.col("pop_b")) & (F.col("sub_a") == F.col("sub_b"))
-    ends = pairs.select("no", "key", "cell", F.explode(F.when(same, F.array(F.struct(F.lit(0).alias("side"), F.col("pop_a").alias("pop"), F.col("sub_a").alias("sub")))).otherwise(F.array(
-        F.struct(F.lit(1).alias("side"), F.col("pop_a").alias("pop"), F.col("sub_a").alias("sub")), F.struct(F.lit(2).alias("side"), F.col("pop_b").alias("pop"), F.col("sub_b").alias("sub"))))).alias("e")).select("no", "key", "cell", "e.*")
-    dealt = keyed.join(large, ["no", "key", "pop"]).withColumn("sub", F.pmod(F.xxhash64("fp"), F.col("subs")))
-    return found.unionByName(_compare(dealt.join(ends, ["no", "key", "pop", "sub"]).select("cell", "side", "fp")))
+    end = lambda side, x: F.struct(F.lit(side).alias("side"), F.col(f"pop_{x}").alias("pop"), F.col(f"sub_{x}").alias("sub"))
+    ends = pairs.select("bucket", "cell", F.explode(F.when(same, F.array(end(0, "a"))).otherwise(F.array(end(1, "a"), end(2, "b")))).alias("e")).select("bucket", "cell", "e.*")
+    dealt = rows.join(large, ["bucket", "pop"]).withColumn("sub", F.pmod(F.xxhash64("fp"), F.col("subs")))
+    return dealt.join(ends, ["bucket", "pop", "sub"]).select("cell", "side", "fp")
+
+
+def _rooted(distinct: DataFrame) -> DataFrame:
+    """``distinct`` (fp, ...), written, with the root of each fingerprint's component."""
+    star = components(links(distinct.select("fp"), distinct.count()))
+    return distinct.join(star, distinct["fp"] == star["u"], "left").withColumn("root", F.coalesce("v", "fp")).drop("u", "v")
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """(doc_id, fp, component_id) for every row of ``docs``."""
     prints = stored(fingerprints(docs))
-    distinct = stored(prints.groupBy("fp").agg(F.min("doc_id").alias("first_id")))
-    star = components(links(distinct, distinct.count()))
-    rooted = distinct.join(star, distinct["fp"] == star["u"], "left").select("fp", "first_id", F.coalesce("v", "fp").alias("root"))
+    rooted = _rooted(stored(prints.groupBy("fp").agg(F.min("doc_id").alias("first_id"))))
     # A group's least id: summed up before it is shuffled, as one group may hold most rows, and
     # written before the join, so that the join stands alone and the group's rows can be split.
     least = stored(rooted.groupBy("root").agg(F.min("first_id").alias("component_id")))
@@ -203,10 +236,22 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
-    """One row of ``docs`` for each group: that of the least id. Rows of null ids stay: no id names them."""
-    found = stored(near_duplicates(docs))
-    chosen = found.where("doc_id = component_id").groupBy("doc_id").agg(F.count("*").alias("rows"))
-    named = docs.join(chosen.select("doc_id"), "doc_id", "left_semi")
-    if not chosen.where("rows > 1").isEmpty():
-        named = named.dropDuplicates(["doc_id"])
-    return named.unionByName(docs.where("doc_id IS NULL"))
+    """One row of ``docs`` for each group: that of the least id, null the last, and of that id's rows that of the least hash of all columns.
+
+    Rows are told apart by id and hash (64 bits; maps are left out), so texts that share an id
+    are judged each by itself, and equal rows count as one.
+    """
+    plain = [c for c, kind in docs.dtypes if "map<" not in kind]
+    row = F.xxhash64(*[F.col(f"`{c}`") for c in plain])
+    prints = stored(fingerprints(docs, row.alias("row")))
+    each = prints.groupBy("fp", "doc_id", "row").agg(F.count("*").alias("n"))
+    best = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row", "n"))
+    rooted = _rooted(stored(each.groupBy("fp").agg(best.alias("best"))))
+    chosen = stored(rooted.groupBy("root").agg(F.min("best").alias("best")).select("best.*"))
+    named = docs.select(F.struct("*").alias("whole"), F.col("doc_id").alias("own_id"), row.alias("own_row"))
+    rows = lambda which: named.join(chosen.where(which), F.col("own_id").eqNullSafe(F.col("doc_id")) & (F.col("own_row") == F.col("row")), "left_semi")
+    once = rows("n = 1").select("whole.*")
+    if chosen.where("n > 1").isEmpty():
+        return once
+    again = stored(rows("n > 1")).groupBy("own_id", "own_row").agg(F.first("whole").alias("whole"))
+    return once.unionByName(again.select("whole.*"))

@@ -133,9 +133,11 @@ def test_simhash_matches_brute_force(make, vocabulary):
     assert {r.doc_id: r.component_id for r in got} == brute_groups(prints)
 
 
-def test_simhash_large_buckets_lose_no_link(spark, monkeypatch):
-    """With tiny cells every bucket is dealt out in tiles by population count."""
+@pytest.mark.parametrize("levels", [1, 3])
+def test_simhash_large_buckets_lose_no_link(spark, monkeypatch, levels):
+    """With tiny cells every bucket is cut finer, and what stays large dealt out in tiles by population count."""
     monkeypatch.setattr(simhash, "CELL", 6)
+    monkeypatch.setattr(simhash, "LEVELS", levels)
     r = random.Random(2)
     fps = {r.getrandbits(64) for _ in range(30)}
     for f in list(fps)[:12]:
@@ -159,6 +161,16 @@ def test_block_masks_cover_every_pair_within_the_radius():
             assert any(flips & m == 0 for m in masks)
 
 
+def test_finer_parts_cover_every_pair_within_the_radius():
+    r = random.Random(4)
+    for mask in simhash.block_masks(1 << 25):
+        parts = simhash.finer(mask)
+        assert sum(parts) == (1 << 64) - 1 - mask
+        for _ in range(50):
+            flips = sum(1 << b for b in r.sample([b for b in range(64) if not mask >> b & 1], 4))
+            assert any(flips & m == 0 for m in parts)
+
+
 def test_simhash_odd_rows(odd):
     got = simhash.near_duplicates(odd).collect()
     assert len(got) == 10
@@ -166,10 +178,45 @@ def test_simhash_odd_rows(odd):
     assert zero == {1}
     kept = simhash.keep_one(odd)
     assert kept.columns == odd.columns
-    assert sorted(r.doc_id for r in kept.where("doc_id is not null").select("doc_id").collect()) == [1, 4, 5, 7]
+    assert sorted((r.doc_id or 0, r.text) for r in kept.select("doc_id", "text").collect()) == sorted((r.doc_id or 0, r.text) for r in odd.where("doc_id IN (1, 4, 5, 7) OR length(text) > 20 AND doc_id IS NULL").distinct().select("doc_id", "text").collect())
     assert simhash.near_duplicates(odd.limit(0)).collect() == []
 
 
+def brute_kept(rows):
+    """rows (doc_id, text), repeated ids among them: of each group a row of the least id, null the last."""
+    prints = [(k, brute_fingerprint(t)) for k, (_, t) in enumerate(rows)]
+    label = brute_groups(prints)
+    groups = {}
+    for k, row in enumerate(rows):
+        groups.setdefault(label[k], []).append(row)
+    return [{t for i, t in g if i == min((i for i, _ in g), key=lambda i: (i is None, i))} for g in groups.values()], [min((i for i, _ in g), key=lambda i: (i is None, i)) for g in groups.values()]
+
+
+def test_keep_one_of_repeated_ids(make):
+    """Ids that are repeated with other texts: no text is lost, no copy stays, however the rows lie."""
+    a, b, c, d = (" ".join(random.Random(k).choices("abcdefghijklmnop", k=60)) for k in range(4))
+    for rows, want in [
+        ([(5, a), (5, b), (6, c)], [(5, a), (5, b), (6, c)]),
+        ([(1, a), (2, a), (2, b), (3, b)], [(1, a), (2, b)]),
+        ([(None, a), (None, a), (7, a), (None, b), (7, c), (7, c), (8, d), (None, d)], [(7, a), (None, b), (7, c), (8, d)]),
+    ]:
+        for parts in (1, 7):
+            got = simhash.keep_one(make(rows).repartition(parts)).select("doc_id", "text").collect()
+            assert sorted(map(tuple, got), key=str) == sorted(want, key=str)
+
+
+def test_keep_one_matches_brute_force(make, vocabulary):
+    r = random.Random(3)
+    rows = [(r.choice([None, *range(40)]), t) for _, t in corpus(vocabulary, 6, 30)]
+    texts, ids = brute_kept(rows)
+    kept = []
+    for parts in (1, 6):
+        kept.append(sorted(map(tuple, simhash.keep_one(make(rows).repartition(parts)).select("doc_id", "text").collect()), key=str))
+    assert kept[0] == kept[1]
+    assert sorted((i for i, _ in kept[0]), key=str) == sorted(ids, key=str)
+    assert sorted(sum(t in own for _, t in kept[0]) for own in texts) == [1] * len(texts)
+
+
 def test_components_of_a_chain(spark):
     n = 40
     edges = spark.createDataFrame([(i, i + 1) for i in range(n)], "u bigint, v bigint")
