@@ -38,7 +38,7 @@ class Engine:
         after = changes.delete(tables, name, where)
         if "session_messages" in after:
             gone = tables["sessions"].join(after["sessions"].select("id"), "id", "left_anti").select(F.col("id").alias("session_id"))
-            self.store.replace_sessions(self.store.empty("session_messages"), gone)
+            self.store.replace("session_messages", self.store.empty("session_messages"), gone)
         # Children first: what they are joined with is still there.
         order = sorted((n for n in after if n != "session_messages"), key=lambda n: (n == name, n in changes.CHILDREN))
         for n in order:
@@ -110,15 +110,15 @@ class Engine:
 
     def append_messages(self, rows: DataFrame) -> None:
         """rows: session_id, place, and columns of a message."""
-        stored = self.table("session_messages")
+        stored = self.store.of("session_messages", rows)
         self.store.append("session_messages", self.store._shaped(changes.appended(stored, rows), "session_messages"))
         more = rows.groupBy(F.col("session_id").alias("id")).agg(F.count("*").alias("_n"))
-        old = self.store.read("sessions")
-        self.store.write("sessions", old.join(more, "id", "left").withColumn("message_count", F.coalesce("message_count", F.lit(0)) + F.coalesce("_n", F.lit(0))).select(old.columns))
+        old = self.store.of("sessions", more)
+        self.store.replace("sessions", old.join(more, "id", "left").withColumn("message_count", F.coalesce("message_count", F.lit(0)) + F.coalesce("_n", F.lit(0))).select(old.columns), more)
 
     def agent_summary(self, rows: DataFrame) -> None:
-        stored = self.table("session_messages").join(rows.select("session_id").distinct(), "session_id", "left_semi")
-        self.store.replace_sessions(changes.agent_summaries(stored, rows), rows.select("session_id").distinct())
+        stored = self.store.of("session_messages", rows)
+        self.store.replace("session_messages", changes.agent_summaries(stored, rows), rows.select("session_id").distinct())
 
     # Search
 

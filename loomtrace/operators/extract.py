@@ -158,7 +158,7 @@ def ask(prompts: DataFrame, make: Callable[[], Model], key: list[str], permits:
             yield part[key].assign(answer=answers, error=errors)
 
     kinds = dict(prompts.dtypes)
-    return prompts.select(*key, "prompt").coalesce(permits).mapInPandas(run, ", ".join(f"{k} {kinds[k]}" for k in key) + ", answer string, error string")
+    return prompts.select(*key, "prompt").repartition(permits).mapInPandas(run, ", ".join(f"{k} {kinds[k]}" for k in key) + ", answer string, error string")
 
 
 def find_json(answer: str | None, wrapper: str) -> str | None:

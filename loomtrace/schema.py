@@ -33,13 +33,14 @@ TABLES: dict[str, str] = {
     "instance_metadata": "id bigint, uuid string, instance_name string, created_at timestamp",
     "file_state": "path string, session_id string, file_size bigint, message_count bigint, max_sequence bigint, next_line bigint",
     "memory_access": "memory_id bigint, accessed_at timestamp",
+    "calls": "session_id string, id string, call_name string, call_input string, is_call boolean, line_no bigint",
     "service_events": "event string, session_id string, payload string, at timestamp",
 }
 
 #: Primary keys, and child table -> (own column, parent table) for cascading deletes.
 KEYS = {
     "projects": ["id"], "sessions": ["id"], "session_messages": ["session_id", "sequence_num"], "memories": ["id"], "memory_embeddings": ["memory_id"], "memory_settings": ["id"], "skills": ["id"],
-    "skill_embeddings": ["skill_id"], "skill_sessions": ["skill_id", "session_id"], "session_markers": ["id"], "session_context": ["session_id"], "instance_metadata": ["id"], "file_state": ["path"],
+    "skill_embeddings": ["skill_id"], "skill_sessions": ["skill_id", "session_id"], "session_markers": ["id"], "session_context": ["session_id"], "instance_metadata": ["id"], "file_state": ["path"], "calls": ["session_id", "id"],
 }
 CHILDREN = {
     "projects": [("sessions", "project_id"), ("memories", "project_id"), ("skills", "project_id"), ("session_context", "project_id")],

@@ -93,17 +93,28 @@ def read_changes(spark: SparkSession, folder: str, changed: DataFrame) -> DataFr
     return _cut(found, False).join(wanted.select("path", "action"), "path")
 
 
-def content_at(spark: SparkSession, messages: DataFrame, sessions: DataFrame) -> DataFrame:
+#: Paths that `content_at` takes from the driver.
+FEW_PATHS = 1000
+
+
+def content_at(spark: SparkSession, messages: DataFrame, sessions: DataFrame, folders: list[str] | None = None) -> DataFrame:
     """Each message's own bytes in its session's file; bytes that are no JSON come as ``{"raw": ...}``.
 
-    An archived copy of the file takes precedence.
+    An archived copy of the file takes precedence. The files lie somewhere under ``folders`` and are
+    joined by path; without these at most ``FEW_PATHS`` files are asked for, by name.
     """
     where = sessions.select(F.col("id").alias("session_id"), F.coalesce("archived_file_path", "file_path").alias("path"))
     wanted = messages.select("session_id", "sequence_num", "byte_offset", "byte_length").join(where, "session_id")
-    paths = [r.path for r in wanted.select("path").distinct().collect()]
-    if not paths:
-        return wanted.select("session_id", "sequence_num", F.lit(None).cast("string").alias("content"))
-    found = spark.read.format("binaryFile").load(paths).select(F.regexp_replace("path", "^file:/*", "/").alias("path"), "content")
+    if folders is None:
+        paths = [r.path for r in wanted.select("path").distinct().limit(FEW_PATHS + 1).collect()]
+        if len(paths) > FEW_PATHS:
+            raise ValueError(f"messages of more than {FEW_PATHS} files: name the folders that they lie in")
+        if not paths:
+            return wanted.select("session_id", "sequence_num", F.lit(None).cast("string").alias("content"))
+        read = spark.read.format("binaryFile").load(paths)
+    else:
+        read = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(folders)
+    found = read.select(F.regexp_replace("path", "^file:/*", "/").alias("path"), "content")
     raw = F.decode(F.col("content").substr(F.col("byte_offset").cast("int") + 1, F.col("byte_length").cast("int")), "UTF-8")
     text = F.regexp_replace(raw, r"\r?\n$", "")
     whole = F.when(F.try_parse_json(text).isNotNull(), text).otherwise(F.to_json(F.struct(text.alias("raw"))))

@@ -3,7 +3,7 @@
 `apply_lines` takes one batch of lines, wherever they come from: a streaming
 micro-batch of the tail source or a poll by file sizes. It may run twice on the
 same batch: messages are added by key, and sessions are rolled up from what is
-stored, so nothing is counted twice.
+stored, so nothing is counted twice; events of a batch are told once.
 """
 
 from __future__ import annotations
@@ -17,10 +17,14 @@ from ..operators import changes, rollups
 from ..operators.extract import Policy
 from ..operators.store import Store
 from ..sources import lines as src
-from ..sources.messages import Format, of_tool
+from ..sources.messages import Format, errors, of_tool
 from ..sources.tail_source import TailSource
 
 
+#: What is told of a session, by name.
+EVENTS = {"new": "session:new", "changed": "session:changed", "parsed": "session:parsed", "error": "watcher:error"}
+
+
 def sessions_from(messages: DataFrame, files: DataFrame, tool: str, now: Column) -> DataFrame:
     """Session rows rolled up from messages. ``files``: session_id, path, file_size."""
     s, m = rollups.stats(messages), rollups.metadata(messages)
@@ -34,55 +38,57 @@ def sessions_from(messages: DataFrame, files: DataFrame, tool: str, now: Column)
     )
 
 
-def apply_lines(store: Store, batch: DataFrame, tool: str, now: Column | None = None) -> None:
-    """batch: session_id, path, line_no, byte_offset, byte_length, line, restarted."""
+def apply_lines(store: Store, batch: DataFrame, tool: str, now: Column | None = None, batch_id: str | None = None) -> None:
+    """batch: session_id, path, line_no, byte_offset, byte_length, line, restarted.
+
+    Reads and rewrites only the buckets that the batch's sessions lie in. A batch that comes again under its
+    ``batch_id``, after a failure, leaves what it left before.
+    """
     fmt: Format | None = of_tool(tool)
     if fmt is None:
         raise ValueError(f"no format for tool {tool!r}")
     now = F.current_timestamp() if now is None else now
-    spark = store.spark
     # What is kept in memory is let go at the end: Spark would take it for the next batch's, read from the same paths.
     batch = batch.persist()
     kept = [batch]
     try:
         touched = batch.groupBy("session_id").agg(F.first("path").alias("path"), F.bool_or("restarted").alias("restarted"), F.max(F.col("byte_offset") + F.col("byte_length")).alias("file_size"), (F.max("line_no") + 1).alias("next_line")).persist()
         kept.append(touched)
+        ids = touched.select(F.col("session_id").alias("id"))
         restarted = touched.where("restarted").select("session_id")
-        # Calls that later batches may answer are found again in what the files' own lines said.
-        calls_path = f"{store.root}/calls"
+        # Calls that later batches may answer; of calls noted twice (a file read anew) the latest counts.
         own = fmt.calls(batch)
-        earlier = spark.read.schema(dict_schema(own)).parquet(calls_path) if store._children(calls_path) else own.limit(0)
-        # Of calls noted twice (a batch run again, a file read anew) the latest counts.
-        earlier = earlier.groupBy("session_id", "id").agg(F.max_by(F.struct("call_name", "call_input", "is_call", "line_no"), "line_no").alias("c")).select("session_id", "id", "c.*")
+        earlier = store.of("calls", touched).groupBy("session_id", "id").agg(F.max_by(F.struct("call_name", "call_input", "is_call", "line_no"), "line_no").alias("c")).select("session_id", "id", "c.*")
         messages = fmt.parse(batch, earlier).persist()
         kept.append(messages)
         if not restarted.isEmpty():
-            store.replace_sessions(messages.join(restarted, "session_id", "left_semi"), restarted)
+            store.replace("session_messages", messages.join(restarted, "session_id", "left_semi"), restarted)
         store.append("session_messages", messages)
-        own.write.mode("append").parquet(calls_path)
-
-        stored = store.of_sessions(touched)
-        fresh = sessions_from(stored, touched, tool, now)
-        old = store.read("sessions")
-        store.write("sessions", changes.merged_session(old, store._shaped(fresh, "sessions")))
+        store.append("calls", own, batch_id)
+
+        stored = store.of("session_messages", touched)
+        fresh = sessions_from(stored, touched, tool, now).persist()
+        kept.append(fresh)
+        old = store.of("sessions", ids)
+        if not store.has_batch("service_events", batch_id):  # told before the sessions are written, so that what was new is told as new
+            is_new = ids.join(old.select("id"), "id", "left_anti").withColumn("is_new", F.lit(True))
+            told = ids.join(is_new, "id", "left").select(F.when(F.col("is_new"), EVENTS["new"]).otherwise(EVENTS["changed"]).alias("event"), F.col("id").alias("session_id"), F.lit("{}").alias("payload"), now.alias("at"))
+            read = fresh.select(F.lit(EVENTS["parsed"]).alias("event"), F.col("id").alias("session_id"), F.to_json(F.struct("message_count")).alias("payload"), now.alias("at"))
+            bad = errors(batch).groupBy("session_id").agg(F.count("*").alias("lines")).select(F.lit(EVENTS["error"]).alias("event"), "session_id", F.to_json(F.struct("lines")).alias("payload"), now.alias("at"))
+            store.append("service_events", told.unionByName(read).unionByName(bad), batch_id)
+        store.replace("sessions", changes.merged_session(old, store._shaped(fresh, "sessions")), ids)
         folders = fresh.select(F.regexp_replace("file_path", "/[^/]*$", "").alias("folder_path")).distinct().withColumn("folder", F.element_at(F.split("folder_path", "/"), -1))
-        projects = store.read("projects")
-        store.write("projects", projects.unionByName(store._shaped(changes.new_projects(folders, projects, now), "projects")))
+        projects = changes.new_projects(folders, store.read("projects"), now)
+        if not projects.isEmpty():
+            store.append("projects", projects)
         counts = stored.groupBy("session_id").agg(F.count("*").alias("message_count"), F.max("sequence_num").alias("max_sequence"))
         state = touched.join(counts, "session_id", "left").select("path", "session_id", "file_size", F.coalesce("message_count", F.lit(0)).alias("message_count"), F.coalesce("max_sequence", F.lit(-1)).alias("max_sequence"), "next_line")
-        store.write("file_state", changes.upsert(store.read("file_state"), store._shaped(state, "file_state"), ["path"]))
-        is_new = fresh.select("id").join(old.select("id"), "id", "left_anti").withColumn("event", F.lit("session_new"))
-        seen = touched.select(F.col("session_id").alias("id")).join(is_new, "id", "left").select(F.coalesce("event", F.lit("session_updated")).alias("event"), F.col("id").alias("session_id"), F.lit("{}").alias("payload"), now.alias("at"))
-        store.append("service_events", seen)
+        store.replace("file_state", changes.upsert(store.of("file_state", touched), store._shaped(state, "file_state"), ["path"]), touched)
     finally:
         for frame in reversed(kept):
             frame.unpersist()
 
 
-def dict_schema(frame: DataFrame) -> str:
-    return ", ".join(f"{n} {k}" for n, k in frame.dtypes)
-
-
 def poll(spark: SparkSession, folder: str, store: Store, tool: str, now: Column | None = None) -> DataFrame:
     """One round over the folder by names and sizes, for any store that Spark reads. Returns what each file needed."""
     path = f"{store.root}/last_poll"
@@ -98,7 +104,7 @@ def watch(spark: SparkSession, folder: str, store: Store, tool: str, checkpoint:
     """Follow the folder; every micro-batch goes through `apply_lines`."""
     spark.dataSource.register(TailSource)
     stream = spark.readStream.format("jsonl_tail").load(folder)
-    writer = stream.writeStream.foreachBatch(lambda batch, _: apply_lines(store, batch, tool) if not batch.isEmpty() else None).option("checkpointLocation", checkpoint)
+    writer = stream.writeStream.foreachBatch(lambda batch, n: apply_lines(store, batch, tool, batch_id=f"{checkpoint}/{n}") if not batch.isEmpty() else None).option("checkpointLocation", checkpoint)
     return (writer.trigger(availableNow=True) if once else writer.trigger(processingTime=f"{seconds} seconds")).start()
 
 

@@ -7,6 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from loomtrace.api import Engine
+from loomtrace.operators import store as store_of
 from loomtrace.operators import vectors
 from loomtrace.operators.store import Store
 from loomtrace.sources.normalize import event_to_a, to_format_a
@@ -75,7 +76,7 @@ def test_a_file_that_grows_and_shrinks(spark, tmp_path, now, how):
     assert store.read("session_messages").where("session_id = 's2'").count() == 1
     s = store.read("sessions").where("id = 's1'").first()
     assert (s.message_count, s.title) == (1, "hello")  # the title stays, as before
-    assert {r.event for r in store.read("service_events").collect()} == {"session_new", "session_updated"}
+    assert {r.event for r in store.read("service_events").collect()} == {"session:new", "session:changed", "session:parsed"}
 
 
 def test_a_batch_applied_twice_counts_once(spark, tmp_path, now):
@@ -83,8 +84,9 @@ def test_a_batch_applied_twice_counts_once(spark, tmp_path, now):
     line = event(0).strip()
     batch = spark.createDataFrame([("s", "/p/s.jsonl", 0, 0, len(line) + 1, line, False)], "session_id string, path string, line_no bigint, byte_offset bigint, byte_length bigint, line string, restarted boolean")
     for _ in range(2):
-        ingest.apply_lines(store, batch, "claude_code", now)
+        ingest.apply_lines(store, batch, "claude_code", now, batch_id="q/0")
     assert store.read("session_messages").count() == 1 and store.read("sessions").first().message_count == 1
+    assert sorted(r.event for r in store.read("service_events").collect()) == ["session:new", "session:parsed"]
     with pytest.raises(ValueError):
         ingest.apply_lines(store, batch, "unknown", now)
 
@@ -95,7 +97,48 @@ def test_snapshots(spark, tmp_path):
     for n in (1, 2, 3):
         store.write("skills", spark.createDataFrame([(n, "p")], "id bigint, project_id string").unionByName(store.read("skills").select("id", "project_id")))
     assert sorted(r.id for r in store.read("skills").collect()) == [1, 2, 3]
-    assert len(store._snapshots("skills")) == 2
+    assert len(store._versions("skills")) == 2 and len(store._children(f"{tmp_path}/skills/data")) == 2
+
+
+def messages(spark, *rows):
+    return spark.createDataFrame(list(rows), "session_id string, sequence_num bigint, search_content string")
+
+
+def test_other_buckets_stay_unread_and_untouched(spark, tmp_path):
+    store = Store(spark, str(tmp_path), buckets=8)
+    store.append("session_messages", messages(spark, *[(f"s{i}", 0, "a") for i in range(40)]))
+    before = store._version("session_messages")["parts"]
+    key = messages(spark, ("s7", 0, "b")).select("session_id")
+    [own] = store._touched("session_messages", key, 8)
+    assert all(f"bucket={own}/" in f for f in store.of("session_messages", key).inputFiles())
+    store.replace("session_messages", messages(spark, ("s7", 0, "b"), ("s7", 1, "c")), key)
+    store.append("session_messages", messages(spark, ("s7", 1, "again"), ("s7", 2, "d")))
+    after = store._version("session_messages")["parts"]
+    assert {b for b in after if after[b] != before.get(b)} == {own}
+    assert sorted(r.search_content for r in store.read("session_messages").where("session_id = 's7'").collect()) == ["b", "c", "d"]
+    assert store.read("session_messages").count() == 42
+
+
+def test_appends_are_merged_and_a_batch_counts_once(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(store_of, "FAN", 3)
+    store = Store(spark, str(tmp_path), buckets=2)
+    row = lambda i: spark.createDataFrame([(f"s{i}", f"c{i}")], "session_id string, id string")
+    for i in range(10):
+        for _ in range(2):
+            store.append("calls", row(i), f"b{i}")
+        assert store.has_batch("calls", f"b{i}")
+    assert sorted(r.id for r in store.read("calls").collect()) == sorted(f"c{i}" for i in range(10))
+    assert all(len(x) < 6 for x in store._version("calls")["parts"].values())
+
+
+def test_a_second_writer_fails(spark, tmp_path, monkeypatch):
+    store = Store(spark, str(tmp_path))
+    store.write("skills", spark.createDataFrame([(1, "p")], "id bigint, project_id string"))
+    monkeypatch.setattr(store, "_versions", lambda name: [])
+    with pytest.raises(RuntimeError):
+        store.write("skills", spark.createDataFrame([(2, "p")], "id bigint, project_id string"))
+    monkeypatch.undo()
+    assert store.read("skills").first().id == 1
 
 
 def test_normalised_events(spark):
