@@ -146,10 +146,3 @@ def greedy_dedup(spark: SparkSession, d: str) -> DataFrame:
     """What clean-up removes, oldest first."""
     m = memories(spark, d).where("state <> 'removed'")
     return similar.leaders(m, similar.MEMORY_CLEANUP, ["extracted_at"], tokens=plain_terms).select("id", "project_id")
-
-
-@query("insert_dedup")
-def insert_dedup(spark: SparkSession, d: str) -> DataFrame:
-    """Memories of odd ids as new ones against those of even ids; stems as the engine has them."""
-    m = memories(spark, d)
-    return similar.admit(m.where("id % 2 = 1").select("id", "project_id", "title", "content"), m.where("id % 2 = 0"), similar.MEMORY)
