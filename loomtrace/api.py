@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .functions.tokens import terms
 from .operators import analytics, browse, changes, extract, ranking, search, similar, vectors
 from .operators.staging import stored
 from .operators.store import Store
@@ -122,14 +123,22 @@ class Engine:
 
     # Search
 
-    def index(self, name: str = "session_messages") -> DataFrame:
+    def _texts(self, name: str) -> tuple[DataFrame, str, Column]:
+        """What is searched of a table: its rows, their key, and their terms."""
         if name == "session_messages":
-            m = self.table(name).withColumn("doc", F.struct("session_id", "sequence_num"))
-            return search.postings(m, "doc", "search_content")
-        t = self.table(name)
-        columns = {"memories": ("title", "content", "context"), "skills": ("name", "description")}[name]
-        lists = {"memories": "tags", "skills": "steps"}[name]
-        return search.postings(t.withColumn("_list", F.array_join(lists, " ")), "id", *columns, "_list")
+            return self.table(name).withColumn("doc", F.struct("session_id", "sequence_num")), "doc", terms(F.col("search_content"))
+        columns, lists = {"memories": (("title", "content", "context"), "tags"), "skills": (("name", "description"), "steps")}[name]
+        return self.table(name), "id", terms(F.concat_ws(" ", *columns, F.array_join(lists, " ")))
+
+    def index(self, name: str = "session_messages") -> DataFrame:
+        """Postings of a table, to be stored and given to searches."""
+        rows, key, found = self._texts(name)
+        return search.postings(rows, key, tokens=found)
+
+    def _hits(self, name: str, query: str, index: DataFrame | None, among: DataFrame | None = None) -> DataFrame:
+        """By an index, or without one in a single pass over the texts."""
+        rows, key, found = self._texts(name)
+        return search.scan(rows, key, found, query, among=among) if index is None else search.search(index, key, query, among=among)
 
     def search_messages(self, query: str, project_id: str | None = None, session_id: str | None = None, role: str | None = None, has_code: bool = False, limit: int = 100, index: DataFrame | None = None) -> DataFrame:
         scoped = self.table("session_messages").where(search.message_scope(role, has_code))
@@ -137,10 +146,10 @@ class Engine:
         s = self.table("sessions").select(F.col("id").alias("session_id"), "project_id", "title")
         s = s if project_id is None else s.where(F.col("project_id") == project_id)
         scoped = scoped.join(s, "session_id").withColumn("doc", F.struct("session_id", "sequence_num"))
-        hits = search.search(self.index() if index is None else index, "doc", query)
+        hits = self._hits("session_messages", query, index)
         return hits.join(scoped, "doc").drop("doc").orderBy("bm25", "session_id", "sequence_num").limit(limit)
 
-    def search_memories(self, query: str | None, project_id: str | None, types: list[str] = (), tags: list[str] = (), limit: int = 20, track: bool = True) -> DataFrame:
+    def search_memories(self, query: str | None, project_id: str | None, types: list[str] = (), tags: list[str] = (), limit: int = 20, track: bool = True, index: DataFrame | None = None) -> DataFrame:
         """Keywords fused with vectors where there are some; across projects keywords alone; without a query the best."""
         m = self.table("memories")
         if query is None:
@@ -150,7 +159,7 @@ class Engine:
             own = own if project_id is None else own.where(F.col("project_id") == project_id)
             own = browse.among(own, "memory_type", list(types)) if types else own
             own = own.where(browse.has_all_tags(list(tags), False))
-            hits = search.search(self.index("memories"), "id", search.prefix_query(query), among=own)
+            hits = self._hits("memories", search.prefix_query(query), index, own)
             near = None
             if project_id is not None and self.embedder is not None:
                 vector = [float(x) for x in self.embedder()([query])[0]]

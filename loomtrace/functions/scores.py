@@ -82,13 +82,18 @@ def next_state(now: Column, score: Column, k: Limits = Limits()) -> Column:
     )
 
 
+def two_places(x: Column) -> Column:
+    """A number with two places, rounded by its exact binary value (``format_string`` rounds its shortest decimal)."""
+    return F.format_number(x, 2)
+
+
 #: How a move is told, by state left and state entered.
 REASONS = {
-    ("new", "high"): "Score %.2f >= %.2f with %d accesses",
-    ("new", "removed"): "Score %.2f < %.2f after %d days with 0 accesses",
-    ("new", "low"): "Score %.2f < %.2f after %d days",
-    ("low", "high"): "Score improved to %.2f with %d accesses",
-    ("high", "low"): "Score dropped to %.2f, stale for %d days",
+    ("new", "high"): "Score %s >= %s with %d accesses",
+    ("new", "removed"): "Score %s < %s after %d days with 0 accesses",
+    ("new", "low"): "Score %s < %s after %d days",
+    ("low", "high"): "Score improved to %s with %d accesses",
+    ("high", "low"): "Score dropped to %s, stale for %d days",
 }
 
 
@@ -96,10 +101,10 @@ def transition_reason(now: Column, score: Column, to: Column, k: Limits = Limits
     age = whole_days(now, F.col("extracted_at"))
     stale = F.coalesce(whole_days(now, F.col("last_accessed_at")), age)
     figures = {
-        ("new", "high"): [F.lit(k.high), F.col("access_count")], ("new", "removed"): [F.lit(k.remove), age], ("new", "low"): [F.lit(k.demote), age],
+        ("new", "high"): [two_places(F.lit(k.high)), F.col("access_count")], ("new", "removed"): [two_places(F.lit(k.remove)), age], ("new", "low"): [two_places(F.lit(k.demote)), age],
         ("low", "high"): [F.col("access_count")], ("high", "low"): [stale],
     }
     told = F.when(F.lit(False), F.lit(None).cast("string"))
     for (left, entered), text in REASONS.items():
-        told = told.when((F.col("state") == left) & (to == entered), F.format_string(text, score, *figures[left, entered]))
+        told = told.when((F.col("state") == left) & (to == entered), F.format_string(text, two_places(score), *figures[left, entered]))
     return told

@@ -5,8 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..api import Engine
 from ..functions.scores import memory_score, next_state, transition_reason
 from ..operators import analytics, browse, ranking
+from ..operators.staging import shared_folder
 from .registry import query, table
 from .tables import MEMORIES_SQL, NOW, SKILLS_SQL, memories, skill_links, skills
 
@@ -86,14 +88,28 @@ def transition_tally(spark: SparkSession, d: str) -> DataFrame:
     return ranking.report(ranking.evaluate(ranking.batch(memories(spark, d), now()), now())).drop("transitions")
 
 
-@query("transition_reasons")
+@query("transition_reasons", MEM + ", " + SCORE_SQL + """ SELECT id, state, to_state, CASE WHEN state = 'new' AND to_state = 'high' THEN printf('Score %.2f >= 0.70 with %d accesses', score, access_count)
+  WHEN state = 'new' AND to_state = 'removed' THEN printf('Score %.2f < 0.30 after %d days with 0 accesses', score, age) WHEN state = 'new' THEN printf('Score %.2f < 0.40 after %d days', score, age)
+  WHEN state = 'low' THEN printf('Score improved to %.2f with %d accesses', score, access_count) ELSE printf('Score dropped to %.2f, stale for %d days', score, stale) END AS reason FROM tr WHERE to_state IS NOT NULL""")
 def transition_reasons(spark: SparkSession, d: str) -> DataFrame:
-    """The moves with their reasons; wording is tested, figures are in the queries above."""
+    """The moves with their reasons."""
     rows = ranking.batch(memories(spark, d), now()).withColumn("score", memory_score(now()))
     moved = rows.withColumn("to_state", next_state(now(), F.col("score"))).where("to_state IS NOT NULL")
     return moved.select("id", "state", "to_state", transition_reason(now(), F.col("score"), F.col("to_state")).alias("reason"))
 
 
+TALLY_SQL = """ SELECT project_id, count(*) AS memories_evaluated, count(*) FILTER (WHERE to_state = 'high') AS promoted, count(*) FILTER (WHERE to_state = 'low') AS demoted,
+  count(*) FILTER (WHERE to_state = 'removed') AS removed, count(*) FILTER (WHERE to_state IS NULL) AS unchanged FROM tr GROUP BY 1"""
+
+
+@query("ranking_sweep", MEM + ", " + SCORE_SQL + TALLY_SQL)
+def ranking_sweep(spark: SparkSession, d: str) -> DataFrame:
+    """All projects in one job of the service; its report."""
+    e = Engine(spark, shared_folder(spark), now=now())
+    e.store.write("memories", memories(spark, d))
+    return e.rank().drop("transitions")
+
+
 @query("ranking_batch", MEM + " SELECT id FROM (SELECT id, row_number() OVER (PARTITION BY project_id ORDER BY extracted DESC, id DESC) AS n FROM mem WHERE state <> 'removed') WHERE n <= 20")
 def ranking_batch(spark: SparkSession, d: str) -> DataFrame:
     """The newest of each project, as a batch parameter takes them."""

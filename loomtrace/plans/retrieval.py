@@ -5,9 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..api import Engine
 from ..functions import scores
 from ..functions.tokens import plain_terms
 from ..operators import search, similar, vectors
+from ..operators.staging import shared_folder
 from .registry import query, table
 from .tables import MEMORIES_SQL, TALK_SQL, memories, talk
 
@@ -59,13 +61,73 @@ def phrase_scan(spark: SparkSession, d: str) -> DataFrame:
     return _shown(search.scan(table(spark, d, "documents"), "doc_id", plain_terms(F.col("text")), '"under th"*', stemmed=False))
 
 
-@query("stemmed_search")
+#: Terms as the stemmed index counts them: runs of letters and digits. The words below are those of English that share a stem.
+STEM_SQL = r"""tok AS (SELECT doc_id, unnest(regexp_extract_all(lower(text), '[\p{L}\p{N}]+')) AS term FROM documents),
+dl AS (SELECT doc_id, count(*) AS n FROM tok GROUP BY 1), st AS (SELECT count(*) AS docs, avg(n) AS mean FROM dl)"""
+LICENS = "'licens', 'license', 'licensed', 'licenses', 'licensing'"
+RELEAS = "'releas', 'release', 'released', 'releases', 'releasing'"
+
+
+@query("stemmed_search", f"WITH {STEM_SQL}, " + _bm25(f"SELECT 'a' AS leaf, doc_id, count(*) AS tf FROM tok WHERE term IN ({LICENS}) GROUP BY 1, 2 UNION ALL SELECT 'b', doc_id, count(*) FROM tok WHERE term IN ({RELEAS}) GROUP BY 1, 2") + SHOWN + "sco WHERE k = 2 ORDER BY 2, 1 LIMIT 100")
 def stemmed_search(spark: SparkSession, d: str) -> DataFrame:
-    """With stems, which SQL has not; the stemmer is tested against published examples."""
+    """With stems: words of one stem count as one."""
     index = search.postings(table(spark, d, "documents"), "doc_id", "text")
     return _shown(search.search(index, "doc_id", "licensed releases"))
 
 
+SAID_SQL = "WITH " + TALK_SQL + r""", tok AS (SELECT session_id, sequence_num, unnest(regexp_extract_all(lower(search_content), '[\p{L}\p{N}]+')) AS term FROM t),
+dl AS (SELECT session_id, sequence_num, count(*) AS n FROM tok GROUP BY 1, 2), st AS (SELECT count(*) AS docs, avg(n) AS mean FROM dl),
+lf AS (SELECT session_id, sequence_num, count(*) AS tf FROM tok WHERE term IN ('the', 'la', 'las') GROUP BY 1, 2), df AS (SELECT count(*) AS df FROM lf),
+hits AS (SELECT session_id, sequence_num, role, -greatest(ln((docs - df + 0.5) / (df + 0.5)), 1e-6) * tf * 2.2 / (tf + 1.2 * (1 - 0.75 + 0.75 * n / mean)) AS bm25 FROM lf JOIN dl USING (session_id, sequence_num) JOIN t USING (session_id, sequence_num), st, df
+  WHERE role <> 'system' AND NOT coalesce(tool_type = 'use' AND tool_name IN ('Write', 'Edit'), false))"""
+
+
+def _talk_engine(spark: SparkSession, d: str) -> Engine:
+    e = Engine(spark, shared_folder(spark))
+    e.store.buckets = 4
+    rows = talk(spark, d)
+    e.store.write("session_messages", rows)
+    e.store.write("sessions", rows.select(F.col("session_id").alias("id")).distinct().withColumn("project_id", F.expr("concat('p', cast(id AS int) % 3)")))
+    return e
+
+
+@query("session_search", SAID_SQL.replace("('the', 'la', 'las')", "('the')") + " SELECT session_id, sequence_num, round(bm25, 6) AS bm25 FROM hits WHERE session_id::INT % 3 = 1")
+def session_search(spark: SparkSession, d: str) -> DataFrame:
+    """Through the service: messages of one project's sessions, scores by all messages."""
+    return _talk_engine(spark, d).search_messages("the", project_id="p1", limit=1_000_000).select("session_id", "sequence_num", F.round("bm25", 6).alias("bm25"))
+
+
+@query("one_session_search", SAID_SQL.replace("('the', 'la', 'las')", "('la', 'las')") + " SELECT session_id, sequence_num, round(bm25, 6) AS bm25 FROM hits WHERE session_id = '0' AND role = 'user' ORDER BY 3, 1, 2 LIMIT 50")
+def one_session_search(spark: SparkSession, d: str) -> DataFrame:
+    """Within a session, one side's messages."""
+    return _talk_engine(spark, d).search_messages("la", session_id="0", role="user", limit=50).select("session_id", "sequence_num", F.round("bm25", 6).alias("bm25"))
+
+
+KNOWN_SQL = f"WITH {MEMORIES_SQL}" + r""", tok AS (SELECT id, unnest(regexp_extract_all(lower(title || ' ' || content || ' ' || array_to_string(tags, ' ')), '[\p{L}\p{N}]+')) AS term FROM mem),
+dl AS (SELECT id, count(*) AS n FROM tok GROUP BY 1), st AS (SELECT count(*) AS docs, avg(n) AS mean FROM dl),
+lf AS (SELECT id, count(*) AS tf FROM tok WHERE starts_with(term, 'lic') GROUP BY 1), df AS (SELECT count(*) AS df FROM lf),
+hits AS (SELECT id, -greatest(ln((docs - df + 0.5) / (df + 0.5)), 1e-6) * tf * 2.2 / (tf + 1.2 * (1 - 0.75 + 0.75 * n / mean)) AS bm25 FROM lf JOIN dl USING (id) JOIN mem USING (id), st, df WHERE state <> 'removed' AND {which})
+SELECT id, round(1 / (61 + r), 6) AS score FROM (SELECT id, row_number() OVER (ORDER BY bm25, id) - 1 AS r FROM hits) WHERE r < 20"""
+
+
+def _known(spark: SparkSession, d: str, project: str | None, types: list[str]) -> DataFrame:
+    e = Engine(spark, shared_folder(spark))
+    e.store.write("memories", memories(spark, d))
+    return e.search_memories("lic", project, types).select("id", F.round("score", 6).alias("score"))
+
+
+@query("memory_search_everywhere", KNOWN_SQL.replace("{which}", "true"))
+def memory_search_everywhere(spark: SparkSession, d: str) -> DataFrame:
+    """Across projects, by keywords alone."""
+    return _known(spark, d, None, [])
+
+
+@query("memory_search_typed", KNOWN_SQL.replace("{which}", "project_id = 'src1' AND memory_type IN ('decision', 'context')"))
+def memory_search_typed(spark: SparkSession, d: str) -> DataFrame:
+    """In a project, of some types; without an embedder keywords stand alone."""
+    return _known(spark, d, "src1", ["decision", "context"])
+
+
 @query("message_search_scoped", "WITH " + TALK_SQL + r""", tok AS (SELECT session_id, sequence_num, unnest(regexp_extract_all(lower(search_content), '[a-z0-9]+')) AS term FROM t),
 dl AS (SELECT session_id, sequence_num, count(*) AS n FROM tok GROUP BY 1, 2), st AS (SELECT count(*) AS docs, avg(n) AS mean FROM dl),
 lf AS (SELECT session_id, sequence_num, count(*) AS tf FROM tok WHERE term = 'the' GROUP BY 1, 2), df AS (SELECT count(*) AS df FROM lf)
