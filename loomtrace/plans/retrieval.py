@@ -62,7 +62,7 @@ def phrase_scan(spark: SparkSession, d: str) -> DataFrame:
 
 
 #: Terms as the stemmed index counts them: runs of letters and digits. The words below are those of English that share a stem.
-STEM_SQL = r"""tok AS (SELECT doc_id, unnest(regexp_extract_all(lower(text), '[\p{L}\p{N}]+')) AS term FROM documents),
+STEM_SQL = r"""tok AS (SELECT doc_id, unnest(regexp_extract_all(strip_accents(lower(text)), '[\p{L}\p{N}]+')) AS term FROM documents),
 dl AS (SELECT doc_id, count(*) AS n FROM tok GROUP BY 1), st AS (SELECT count(*) AS docs, avg(n) AS mean FROM dl)"""
 LICENS = "'licens', 'license', 'licensed', 'licenses', 'licensing'"
 RELEAS = "'releas', 'release', 'released', 'releases', 'releasing'"
@@ -75,7 +75,7 @@ def stemmed_search(spark: SparkSession, d: str) -> DataFrame:
     return _shown(search.search(index, "doc_id", "licensed releases"))
 
 
-SAID_SQL = "WITH " + TALK_SQL + r""", tok AS (SELECT session_id, sequence_num, unnest(regexp_extract_all(lower(search_content), '[\p{L}\p{N}]+')) AS term FROM t),
+SAID_SQL = "WITH " + TALK_SQL + r""", tok AS (SELECT session_id, sequence_num, unnest(regexp_extract_all(strip_accents(lower(search_content)), '[\p{L}\p{N}]+')) AS term FROM t),
 dl AS (SELECT session_id, sequence_num, count(*) AS n FROM tok GROUP BY 1, 2), st AS (SELECT count(*) AS docs, avg(n) AS mean FROM dl),
 lf AS (SELECT session_id, sequence_num, count(*) AS tf FROM tok WHERE term IN ('the', 'la', 'las') GROUP BY 1, 2), df AS (SELECT count(*) AS df FROM lf),
 hits AS (SELECT session_id, sequence_num, role, -greatest(ln((docs - df + 0.5) / (df + 0.5)), 1e-6) * tf * 2.2 / (tf + 1.2 * (1 - 0.75 + 0.75 * n / mean)) AS bm25 FROM lf JOIN dl USING (session_id, sequence_num) JOIN t USING (session_id, sequence_num), st, df
@@ -91,7 +91,7 @@ def _talk_engine(spark: SparkSession, d: str) -> Engine:
     return e
 
 
-@query("session_search", SAID_SQL.replace("('the', 'la', 'las')", "('the')") + " SELECT session_id, sequence_num, round(bm25, 6) AS bm25 FROM hits WHERE session_id::INT % 3 = 1")
+@query("session_search", SAID_SQL.replace("('the', 'la', 'las')", "('the', 'thes')") + " SELECT session_id, sequence_num, round(bm25, 6) AS bm25 FROM hits WHERE session_id::INT % 3 = 1")
 def session_search(spark: SparkSession, d: str) -> DataFrame:
     """Through the service: messages of one project's sessions, scores by all messages."""
     return _talk_engine(spark, d).search_messages("the", project_id="p1", limit=1_000_000).select("session_id", "sequence_num", F.round("bm25", 6).alias("bm25"))
@@ -103,7 +103,7 @@ def one_session_search(spark: SparkSession, d: str) -> DataFrame:
     return _talk_engine(spark, d).search_messages("la", session_id="0", role="user", limit=50).select("session_id", "sequence_num", F.round("bm25", 6).alias("bm25"))
 
 
-KNOWN_SQL = f"WITH {MEMORIES_SQL}" + r""", tok AS (SELECT id, unnest(regexp_extract_all(lower(title || ' ' || content || ' ' || array_to_string(tags, ' ')), '[\p{L}\p{N}]+')) AS term FROM mem),
+KNOWN_SQL = f"WITH {MEMORIES_SQL}" + r""", tok AS (SELECT id, unnest(regexp_extract_all(strip_accents(lower(title || ' ' || content || ' ' || array_to_string(tags, ' '))), '[\p{L}\p{N}]+')) AS term FROM mem),
 dl AS (SELECT id, count(*) AS n FROM tok GROUP BY 1), st AS (SELECT count(*) AS docs, avg(n) AS mean FROM dl),
 lf AS (SELECT id, count(*) AS tf FROM tok WHERE starts_with(term, 'lic') GROUP BY 1), df AS (SELECT count(*) AS df FROM lf),
 hits AS (SELECT id, -greatest(ln((docs - df + 0.5) / (df + 0.5)), 1e-6) * tf * 2.2 / (tf + 1.2 * (1 - 0.75 + 0.75 * n / mean)) AS bm25 FROM lf JOIN dl USING (id) JOIN mem USING (id), st, df WHERE state <> 'removed' AND {which})
