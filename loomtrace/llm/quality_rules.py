@@ -1,17 +1,21 @@
 """Quality rules with risk-controlled cutoffs, in DataFrame functions only.
 
 Each rule compares one measure of a text with a cutoff from a short fixed list,
-lenient to strict. On labelled rows held out for this, the false rejections of a
-cutoff in a stratum (good documents that it would reject) are counted; the
-cutoff is *certified* if the exact binomial tail says that a rule with a false
-rejection rate above its limit would show so few at most with probability
-``delta / (rules * strata)``. Cutoffs of one rule are tested from lenient to
-strict until the first fails (fixed sequence, so no correction within it);
-Bonferroni covers rules and strata. So with probability ``1 - delta`` no stratum
-loses more than ``limit`` of its good documents to all rules together. Among the
-certified cutoffs of a rule the one with the best count of bad documents
-rejected, less ``cost`` for each good one, is used; a rule that gains nothing,
-or has too few labels, is not used in that stratum.
+lenient to strict. What is certified is all rules together: they are tightened
+one step at a time along a fixed path (rules in the order below, each from its
+most lenient cutoff to its strictest), and at every step the false rejections,
+good labelled documents that some rule in force would reject, are counted in each
+stratum. A step is *certified* if the exact binomial tail says that rules with a
+false rejection rate above ``limit`` would show so few at most with a probability
+no greater than the stratum's share of ``delta``. Steps are tested in order until
+the first fails (fixed sequence, so no correction along the path); across strata
+``delta`` is shared out by the number of good labelled rows (weighted Bonferroni).
+So with probability ``1 - delta`` no stratum loses more than ``limit`` of its good
+documents to all rules together. Laxer rules reject no more, so within what is
+certified each rule takes the cutoff with the best count of bad documents
+rejected, less ``cost`` for each good one; a rule that gains nothing is not used.
+A stratum needs about ``ln(delta * share) / ln(1 - limit)`` good labelled rows (200
+or so) before anything can be certified; below, the base rule stands alone.
 
 The texts are read once: the measures, a few numbers a document, are written to
 the shared folder, and all that follows reads them there. Counts are summed up
@@ -34,14 +38,18 @@ from pyspark.sql import functions as F
 
 from .common import SPACES, stored
 
-#: Rule -> (measure, +1: high is bad, -1: low is bad; cutoffs from lenient to strict).
+#: Rule -> (measure, +1: high is bad, -1: low is bad; cutoffs from lenient to strict). In the order of the path:
+#: marks and word lengths that ordinary prose hardly shows come first, repetition, which it does show, last.
 RULES: dict[str, tuple[str, int, tuple[float, ...]]] = {
     "symbols": ("n_symbols / n_words", 1, (2.0, 1.0, 0.7, 0.5, 0.3, 0.2, 0.1, 0.05)),
-    "dup_lines": ("n_dup_lines / n_lines", 1, (0.9, 0.7, 0.5, 0.4, 0.3, 0.2, 0.1)),
-    "repeats": ("n_repeat_words / n_words", 1, (0.18, 0.15, 0.12, 0.1, 0.07, 0.05, 0.03)),
     "long_words": ("word_chars / n_words", 1, (40.0, 25.0, 16.0, 12.0, 10.0, 9.0, 8.0)),
     "short_words": ("word_chars / n_words", -1, (1.2, 1.6, 2.0, 2.4, 2.8, 3.2)),
+    "dup_lines": ("n_dup_lines / n_lines", 1, (0.9, 0.7, 0.5, 0.4, 0.3, 0.2, 0.1)),
+    "repeats": ("n_repeat_words / n_words", 1, (0.18, 0.15, 0.12, 0.1, 0.07, 0.05, 0.03)),
 }
+#: Where each rule's steps begin on the path.
+BEFORE = {rule: sum(len(c) for _, _, c in list(RULES.values())[:i]) for i, rule in enumerate(RULES)}
+STEPS = sum(len(c) for _, _, c in RULES.values())
 SYMBOLS = "#*$%&|<>"
 WINDOW = 5
 
@@ -113,26 +121,26 @@ def _log_tail(n: Column, k: Column, p: float) -> Column:
 def cutoffs(labelled: DataFrame, stratum: str, risk: Risk = Risk()) -> DataFrame:
     """(stratum, rule, level): the number of the cutoff in use; rows of ``labelled`` carry measures and ``good``."""
     judged = labelled.where(~F.col("base_failed") & F.col(stratum).isNotNull())
-    levels = F.explode(F.array(*[F.struct(F.lit(r).alias("rule"), _level(r).alias("level")) for r in RULES]))
-    counts = (
+    # The step of the path from which a row is rejected; null: never.
+    first = F.least(*[F.when(_level(r) <= len(c), F.lit(BEFORE[r]) + _level(r)) for r, (_, _, c) in RULES.items()])
+    levels = F.explode(F.array(*[F.struct(F.lit(r).alias("rule"), _level(r).alias("level")) for r in RULES], F.struct(F.lit("").alias("rule"), F.coalesce(first, F.lit(STEPS + 1)).alias("level"))))
+    counts = stored(
         judged.select(F.col(stratum).alias("stratum"), "good", levels.alias("x")).groupBy("stratum", "x.rule", "x.level")
         .agg(F.count_if("good").alias("n_good"), F.count_if(~F.col("good")).alias("n_bad"))
     )
-    # Rejected at cutoff j: all rows of level j or less. The tables from here on have rows per stratum, rule and level.
-    grid = F.map_from_arrays(F.array(*map(F.lit, RULES)), F.array(*[F.lit(len(c)) for _, _, c in RULES.values()]))
-    each = counts.groupBy("stratum", "rule").agg(F.sum("n_good").alias("n"), F.collect_list(F.struct("level", "n_good", "n_bad")).alias("got"))
-    each = each.withColumn("j", F.explode(F.sequence(F.lit(1), F.element_at(grid, F.col("rule")))))
+    # The tables from here on have rows per stratum, rule and level.
+    each = counts.groupBy("stratum", "rule").agg(F.sum("n_good").cast("bigint").alias("n"), F.collect_list(F.struct("level", "n_good", "n_bad")).alias("got"))
     total = lambda field: F.aggregate(F.filter("got", lambda x: x["level"] <= F.col("j")), F.lit(0).cast("bigint"), lambda a, x: a + x[field])
-    each = each.select("stratum", "rule", "j", F.col("n").cast("bigint").alias("n"), total("n_good").alias("k"), total("n_bad").alias("bad"))
-    strata = counts.agg(F.count_distinct("stratum").alias("strata")).scalar()
-    p = risk.limit / len(RULES)
-    few = F.when(F.col("k") >= F.col("n") * p, F.lit(0.0)).otherwise(_log_tail(F.col("n"), F.col("k"), p))
-    tested = each.withColumn("passed", few <= F.ln(F.lit(risk.delta) / (len(RULES) * strata)))
-    so_far = W.partitionBy("stratum", "rule").orderBy("j")
-    certified = tested.withColumn("certified", F.min("passed").over(so_far)).where("certified")
-    gain = F.col("bad") - risk.cost * F.col("k")
-    best = certified.withColumn("gain", gain).where("gain > 0").groupBy("stratum", "rule").agg(F.max_by("j", F.struct("gain", -F.col("j"))).alias("level"))
-    return best
+    good = counts.where("rule = ''").agg(F.sum("n_good")).scalar()
+    steps = each.where("rule = ''").withColumn("j", F.explode(F.sequence(F.lit(1), F.lit(STEPS)))).select("stratum", "j", "n", total("n_good").alias("k"))
+    few = F.when(F.col("k") >= F.col("n") * risk.limit, F.lit(0.0)).otherwise(_log_tail(F.col("n"), F.col("k"), risk.limit))
+    tested = steps.withColumn("passed", F.coalesce(few <= F.ln(F.lit(risk.delta) * F.col("n") / good), F.lit(False)))
+    so_far = W.partitionBy("stratum").orderBy("j")
+    certified = tested.withColumn("certified", F.min("passed").over(so_far)).where("certified").groupBy("stratum").agg(F.max("j").alias("steps"))
+    size, start = (F.element_at(F.create_map(*[x for r in RULES for x in (F.lit(r), F.lit(of(r)))]), F.col("rule")) for of in (lambda r: len(RULES[r][2]), BEFORE.get))
+    tries = each.where("rule <> ''").withColumn("j", F.explode(F.sequence(F.lit(1), size))).join(certified, "stratum").where(start + F.col("j") <= F.col("steps"))
+    gain = total("n_bad") - risk.cost * total("n_good")
+    return tries.withColumn("gain", gain).where("gain > 0").groupBy("stratum", "rule").agg(F.max_by("j", F.struct("gain", -F.col("j"))).alias("level"))
 
 
 def judge(measured: DataFrame, chosen: DataFrame, stratum: str) -> DataFrame:

@@ -68,12 +68,14 @@ rr AS (SELECT g.*, rule, j, CASE rule WHEN 'symbols' THEN CASE WHEN n_words > 0
     WHEN 'dup_lines' THEN CASE WHEN n_lines > 0 THEN n_dup_lines / n_lines ELSE 0 END WHEN 'repeats' THEN CASE WHEN n_words > 0 THEN n_repeat_words / n_words ELSE 0 END
     ELSE CASE WHEN n_words > 0 THEN word_chars / n_words ELSE 0 END END * sign > cutoff * sign AS fails FROM g, rules),
 l AS (SELECT doc_id, max(quality) = 1 AS good FROM labels WHERE quality IS NOT NULL AND doc_id IS NOT NULL GROUP BY doc_id),
-c AS (SELECT lang AS stratum, rule, j, count(*) FILTER (WHERE good) AS n, count(*) FILTER (WHERE good AND fails) AS k, count(*) FILTER (WHERE NOT good AND fails) AS bad
+c AS (SELECT lang AS stratum, rule, j, count(*) FILTER (WHERE good AND fails) AS k, count(*) FILTER (WHERE NOT good AND fails) AS bad
     FROM rr JOIN l USING (doc_id) WHERE NOT base_failed AND lang IS NOT NULL GROUP BY ALL),
-p AS (SELECT *, CASE WHEN k >= n * {p} THEN 0.0 ELSE (SELECT ln(sum(exp(lgamma(n + 1) - lgamma(i + 1) - lgamma(n - i + 1) + i * ln({p}) + (n - i) * ln(1 - {p})))) FROM range(k + 1) y(i)) END
-    <= ln({delta} / ({rule_count} * (SELECT count(DISTINCT stratum) FROM c))) AS passed FROM c),
-q AS (SELECT *, bool_and(passed) OVER (PARTITION BY stratum, rule ORDER BY j) AS certified, bad - {cost} * k AS gain FROM p),
-u AS (SELECT stratum, rule, arg_max(j, (gain, -j)) AS j FROM q WHERE certified AND gain > 0 GROUP BY ALL),
+path AS (SELECT rule, j, row_number() OVER (ORDER BY list_position([{names}], rule), j) AS step FROM rules),
+f1 AS (SELECT r, lang AS stratum, good, min(step) FILTER (WHERE fails) AS first FROM rr JOIN l USING (doc_id) JOIN path USING (rule, j) WHERE NOT base_failed AND lang IS NOT NULL GROUP BY ALL),
+p AS (SELECT stratum, step, n, k, CASE WHEN k >= n * {p} THEN 0.0 ELSE (SELECT ln(sum(exp(lgamma(n + 1) - lgamma(i + 1) - lgamma(n - i + 1) + i * ln({p}) + (n - i) * ln(1 - {p})))) FROM range(k + 1) y(i)) END AS tail
+    FROM (SELECT stratum, step, count(*) FILTER (WHERE good) AS n, count(*) FILTER (WHERE good AND first <= step) AS k FROM f1, path GROUP BY ALL)),
+q AS (SELECT stratum, step, bool_and(n > 0 AND tail <= ln({delta} * greatest(n, 1) / (SELECT count(*) FILTER (WHERE good) FROM f1))) OVER (PARTITION BY stratum ORDER BY step) AS certified FROM p),
+u AS (SELECT stratum, rule, arg_max(j, (bad - {cost} * k, -j)) AS j FROM c JOIN path USING (rule, j) JOIN q USING (stratum, step) WHERE certified AND bad - {cost} * k > 0 GROUP BY ALL),
 x AS (SELECT rr.r, string_agg(rr.rule, ',' ORDER BY list_position([{names}], rr.rule)) AS failed_rules FROM rr JOIN u ON u.stratum = rr.lang AND u.rule = rr.rule AND u.j = rr.j WHERE fails GROUP BY rr.r)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND failed_rules IS NULL AS kept, lang, coalesce(failed_rules, '') AS failed_rules
 FROM g LEFT JOIN x USING (r)
@@ -83,7 +85,7 @@ FROM g LEFT JOIN x USING (r)
 def _op3_sql() -> str:
     risk, rules = quality_rules.Risk(), quality_rules.RULES
     rows = ", ".join(f"('{r}', {j}, {sign}, {c})" for r, (_, sign, cutoffs) in rules.items() for j, c in enumerate(cutoffs, 1))
-    return OP3_SQL.format(rules=rows, p=risk.limit / len(rules), delta=risk.delta, rule_count=len(rules), cost=risk.cost, names=", ".join(f"'{r}'" for r in rules))
+    return OP3_SQL.format(rules=rows, p=risk.limit, delta=risk.delta, cost=risk.cost, names=", ".join(f"'{r}'" for r in rules))
 
 
 OP8_SQL = """

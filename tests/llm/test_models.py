@@ -164,28 +164,49 @@ def test_rules_are_certified_where_labels_suffice(judged):
     assert by["de", True, False] == 0  # 100 labels certify nothing at this limit
 
 
-def test_rules_hold_the_limit_by_brute_force(judged):
+def brute_cutoffs(rows, risk):
+    """rows: of judged documents, with good and lang. All rules along the path, each stratum at its share of delta."""
+    good = sum(r.good for r in rows)
+    path = [(rule, j) for rule, (_, _, c) in quality_rules.RULES.items() for j in range(1, len(c) + 1)]
+
+    def fails(r, rule, j):
+        measure, sign, cutoffs = quality_rules.RULES[rule]
+        a, b = measure.split(" / ")
+        return j > 0 and (r[a] / r[b] if r[b] else 0.0) * sign > cutoffs[j - 1] * sign
+
+    want = {}
+    for lang in {r.lang for r in rows}:
+        own = [r for r in rows if r.lang == lang]
+        n, at = sum(r.good for r in own), dict.fromkeys(quality_rules.RULES, 0)
+        for rule, j in path:
+            k = sum(r.good and any(fails(r, x, j if x == rule else level) for x, level in at.items()) for r in own)
+            if sum(comb(n, i) * risk.limit**i * (1 - risk.limit) ** (n - i) for i in range(k + 1)) > risk.delta * n / good or k >= n * risk.limit:
+                break
+            at[rule] = j
+        for rule, most in at.items():
+            gains = [(sum(not r.good and fails(r, rule, j) for r in own) - risk.cost * sum(r.good and fails(r, rule, j) for r in own), -j) for j in range(1, most + 1)]
+            if gains and max(gains)[0] > 0:
+                want[lang, rule] = -max(gains)[1]
+    return want
+
+
+@pytest.mark.parametrize("risk", [quality_rules.Risk(), quality_rules.Risk(0.05, 0.1, 1.0), quality_rules.Risk(0.3, 0.5, 0.5)])
+def test_rules_hold_the_limit_by_brute_force(judged, risk):
     docs, labels = judged
-    risk = quality_rules.Risk()
     m = quality_rules.measures(docs, ["doc_id", "lang"]).join(labels.select("doc_id", (F.col("quality") == 1).alias("good")), "doc_id")
-    rows = m.collect()
-    want = {}
-    for lang in ("en", "de"):
-        for rule, (measure, sign, cutoffs) in quality_rules.RULES.items():
-            a, b = measure.split(" / ")
-            of = [((r[a] / r[b]) * sign, r.good) for r in rows if r.lang == lang and not r.base_failed]
-            n, best = sum(g for _, g in of), (0, None)
-            for j, c in enumerate(cutoffs, 1):
-                k = sum(g and v > c * sign for v, g in of)
-                p = risk.limit / len(quality_rules.RULES)
-                if sum(comb(n, i) * p**i * (1 - p) ** (n - i) for i in range(k + 1)) > risk.delta / (len(quality_rules.RULES) * 2):
-                    break
-                gain = sum(not g and v > c * sign for v, g in of) - risk.cost * k
-                if gain > best[0]:
-                    best = (gain, j)
-            if best[1]:
-                want[lang, rule] = best[1]
-    assert {(r["stratum"], r["rule"]): r["level"] for r in quality_rules.cutoffs(m, "lang").collect()} == want
+    got = {(r["stratum"], r["rule"]): r["level"] for r in quality_rules.cutoffs(m, "lang", risk).collect()}
+    assert got == brute_cutoffs([r for r in m.collect() if not r.base_failed], risk) and got
+
+
+def test_rules_in_use_on_the_given_tables(spark):
+    """The cutoffs of sf0.01 by brute force: one stratum has labels enough there; sf0.1 certifies all."""
+    for sf, strata in (("sf0.01", {"en"}), ("sf0.1", {"en", "de", "fr", "es"})):
+        docs, labels = (spark.read.parquet(f"/root/testdata/{sf}/{t}.parquet") for t in ("documents", "labels"))
+        m = quality_rules.stored(quality_rules.measures(docs, ["doc_id", "lang"])).join(labels.select("doc_id", (F.col("quality") == 1).alias("good")), "doc_id")
+        got = {(r["stratum"], r["rule"]): r["level"] for r in quality_rules.cutoffs(m, "lang").collect()}
+        assert {s for s, _ in got} == strata
+        if sf == "sf0.01":
+            assert got == brute_cutoffs([r for r in m.collect() if not r.base_failed and r.lang is not None], quality_rules.Risk())
 
 
 def test_rules_odd_rows(odd, spark):
