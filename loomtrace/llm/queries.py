@@ -114,27 +114,36 @@ FROM q
 
 OP9_SQL = r"""
 WITH d AS (SELECT doc_id, source, len(list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda w: w <> ''))::BIGINT AS size, md5(coalesce(text, '')) AS th FROM documents),
-n AS (SELECT sum(size)::BIGINT AS total, least(greatest(sum(size) // 262144, 16), 65536)::BIGINT AS block, greatest(256, ceil(count(*) / 50000))::BIGINT AS buckets FROM d),
+n AS (SELECT sum(size)::BIGINT AS total, least(greatest(sum(size) // {slots}, {low}), {high})::BIGINT AS block, greatest(256, ceil(count(*) / 50000))::BIGINT AS buckets FROM d),
 s0 AS (SELECT source, sum(size)::BIGINT AS source_size, row_number() OVER (ORDER BY source NULLS LAST) - 1 AS no FROM d GROUP BY source),
 s1 AS (SELECT *, [5, 2, 1][no % 3 + 1]::DOUBLE AS w, source_size * 3.0::DOUBLE AS most FROM s0),
 s2 AS (SELECT *, sum(most) OVER (ORDER BY most / w, no) AS full_here, sum(w) OVER () - sum(w) OVER (ORDER BY most / w, no) AS rest FROM s1),
 s3 AS (SELECT s2.*, full_here + most / w * rest <= total AS capped, total FROM s2, n),
 s4 AS (SELECT *, CASE WHEN capped THEN most ELSE w * (total - sum(CASE WHEN capped THEN most ELSE 0 END) OVER ()) / sum(CASE WHEN capped THEN 0 ELSE w END) OVER () END AS target FROM s3),
 s5 AS (SELECT *, CASE WHEN no = max(no) OVER () THEN 1.0 ELSE sum(target) OVER (ORDER BY no ROWS UNBOUNDED PRECEDING) / CASE WHEN total > 0 THEN total ELSE 1 END END AS hi FROM s4),
-s6 AS (SELECT *, coalesce(lag(hi) OVER (ORDER BY no), 0.0) AS lo FROM s5),
+s6 AS (SELECT s5.*, coalesce(lag(hi) OVER (ORDER BY no), 0.0) AS lo,
+  CASE WHEN block > {low} AND least(source_size, target) < {few} * block THEN greatest(floor(least(source_size, target) / {few}), 1) ELSE block END::BIGINT AS step FROM s5, n),
 sl AS (SELECT i, i * 0.6180339887498949::DOUBLE - floor(i * 0.6180339887498949::DOUBLE) AS u FROM (SELECT unnest(range(ceil(total / block)::BIGINT)) AS i FROM n)),
-dr AS (SELECT no, source_size, row_number() OVER (PARTITION BY no ORDER BY i) - 1 AS rk FROM sl JOIN s6 ON u >= lo AND u < hi),
-bl AS (SELECT no, rk % ceil(source_size / block)::BIGINT AS b, count(*) AS times FROM dr, n WHERE rk // ceil(source_size / block)::BIGINT < 3 GROUP BY ALL),
-o AS (SELECT d.*, no, source_size, target, ('0x' || substr(md5('0/' || coalesce(doc_id::VARCHAR, '') || '/' || th), 1, 13))::BIGINT AS draw FROM d JOIN s6 ON d.source IS NOT DISTINCT FROM s6.source),
+dr AS (SELECT no, source_size, row_number() OVER (PARTITION BY no ORDER BY i) - 1 AS rk FROM sl JOIN s6 ON u >= lo AND u < hi, n WHERE step = block),
+ow AS (SELECT no, source_size, step, target, least(floor(target / source_size), 3) AS times_whole, ceil(source_size / step) AS blocks FROM s6, n WHERE step < block AND source_size > 0),
+ox AS (SELECT no, blocks, least(times_whole * blocks + round((target - times_whole * source_size) / step), blocks * 3)::BIGINT AS n_own FROM ow),
+bl AS (SELECT no, rk % ceil(source_size / block)::BIGINT AS b, count(*) AS times FROM dr, n WHERE rk // ceil(source_size / block)::BIGINT < 3 GROUP BY ALL
+  UNION ALL SELECT no, rk % blocks::BIGINT, count(*) FROM (SELECT no, blocks, unnest(range(n_own)) AS rk FROM ox) GROUP BY ALL),
+o AS (SELECT d.*, no, source_size, target, step, ('0x' || substr(md5('0/' || coalesce(doc_id::VARCHAR, '') || '/' || th), 1, 13))::BIGINT AS draw FROM d JOIN s6 ON d.source IS NOT DISTINCT FROM s6.source),
 st AS (SELECT o.*, row_number() OVER () AS r, sum(size) OVER (PARTITION BY no ORDER BY draw % buckets, draw, doc_id NULLS LAST, th, size ROWS UNBOUNDED PRECEDING) - size AS start FROM o, n),
-fr AS (SELECT st.r, no, unnest(range((start // block)::BIGINT, ((start + size - 1) // block)::BIGINT + 1)) AS b, start, size FROM st, n WHERE size > 0),
-tk AS (SELECT r, sum((least(start + size, (b + 1) * block) - greatest(start, b * block)) * times)::BIGINT AS taken FROM fr JOIN bl USING (no, b), n GROUP BY r)
+fr AS (SELECT st.r, no, unnest(range((start // step)::BIGINT, ((start + size - 1) // step)::BIGINT + 1)) AS b, start, size, step FROM st WHERE size > 0),
+tk AS (SELECT r, sum((least(start + size, (b + 1) * step) - greatest(start, b * step)) * times)::BIGINT AS taken FROM fr JOIN bl USING (no, b) GROUP BY r)
 SELECT doc_id, size, source_size, round(target, 6) AS target, coalesce(taken, 0) AS taken FROM st LEFT JOIN tk USING (r)
 """
 
 TREE = sharding.Tree.regular(2, 2, 4)
 
 
+def op9_sql() -> str:
+    low, high = mixing.BLOCK_RANGE
+    return OP9_SQL.format(slots=mixing.SLOTS, low=low, high=high, few=mixing.FEW)
+
+
 def _tree_rows() -> str:
     rows = [(n, node, child, w) for n, tree in ((16, TREE), (17, TREE.grown())) for level in tree.levels() for node, below in level.items() for child, w in below.items()]
     return ",\n".join(f"({n}, '{node}', '{child}', {w})" for n, node, child, w in rows)
@@ -158,7 +167,7 @@ def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-@query("op9_mixing", OP9_SQL)
+@query("op9_mixing", op9_sql())
 def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.taken(mixing.mix(read(spark, sf_dir, "documents"))).drop("text_hash").withColumn("target", F.round("target", 6))
 

@@ -4,7 +4,9 @@ import random
 import zlib
 from collections import Counter, defaultdict
 
+import duckdb
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -131,7 +133,7 @@ def test_mix_matches_a_schedule_walked_slot_by_slot(make):
 def test_small_sources_of_a_large_corpus_reach_their_targets(make, monkeypatch):
     """Blocks far above the small sources' sizes: each takes its target, at most cap times each word."""
     monkeypatch.setattr(mixing, "SLOTS", 256)
-    sizes = {"a": 200, "b": 1000, "c": 3000, "d": 20_000, "e": 60_000, "f": 416_000, "g": 7}
+    sizes = {"a": 200, "b": 1000, "c": 3000, "d": 20_000, "e": 60_000, "f": 416_000, "g": 7, "h": 2100, "i": 1}
     rows, left = [], dict(sizes)
     while any(left.values()):
         for s in sizes:
@@ -140,6 +142,11 @@ def test_small_sources_of_a_large_corpus_reach_their_targets(make, monkeypatch):
                 left[s] -= n
     m = mixing.mix(make(rows))
     assert m.block > 1900
+    db = duckdb.connect()
+    documents = pa.table({k: [r[i] for r in rows] for i, k in enumerate(("doc_id", "text", "lang", "source"))})  # noqa: F841  read by name
+    db.register("documents", documents)
+    twin = {r[0]: r[4] for r in db.sql(queries.op9_sql()).select("doc_id, size, source_size, target, taken").fetchall()}
+    assert {x.doc_id: x.taken for x in mixing.taken(m).collect()} == twin
     source, taken = {i: s for i, _, _, s in rows}, Counter()
     for x in mixing.taken(m).collect():
         taken[source[x.doc_id]] += x.taken
@@ -368,8 +375,6 @@ def test_every_stage_takes_odd_and_empty_tables(spark, odd, tmp_path):
 
 def test_oracles_match(spark, tmp_path):
     """The SQL twins over the smallest tables."""
-    import duckdb
-
     d, db = "/root/testdata/sf0.001", duckdb.connect()
     for t in ("documents", "labels"):
         db.sql(f"CREATE VIEW {t} AS SELECT * FROM '{d}/{t}.parquet'")
