@@ -13,23 +13,32 @@ size squared. So texts are first routed:
    anchor; they are summed up by hash to the least id that holds each, its
    *first* document.
 2. *Reference shards.* What a first document holds around its anchors is a
-   reference shard, as large as that document at most. A suffix automaton is
-   built of it, and every other document streams the stretches whose anchors
-   lead there through it for matching statistics: windows where these reach
-   ``SPAN`` are removed. Shards that many documents meet are sent to many tasks,
-   each of which gets ``MEET_BYTES`` or ``MEET_ROWS`` of the documents or so.
+   reference shard, as large as that document at most; that of a document of
+   many anchors is cut by anchor into parts of about ``PART_ANCHORS``. A suffix
+   automaton is built of it, and every other document streams the stretches whose
+   anchors lead there through it for matching statistics: windows where these
+   reach ``SPAN`` are removed. Shards that many documents meet are sent to many
+   tasks, each of which gets ``MEET_BYTES`` or ``MEET_ROWS`` of the documents or so.
 3. *The rest.* Stretches that share an anchor with the first document but do not
    match it may still match a third one. Their windows, mostly those that stick
-   out at the ends of a repeated passage, are settled by 128-bit hashes: the
-   least id of each is found by a sum by key, and later documents lose them.
+   out at the ends of a repeated passage, are routed once more, now by 128-bit
+   hashes of the windows themselves: the least id that holds a window is its first
+   document, what that holds of such windows its shard, and the others stream
+   theirs through the automaton of it. So hashes only say where to look; what is
+   removed is what an automaton has matched. (Two windows that differ and have
+   equal hashes could hide a third; hashes of words have 64 bits, so that may
+   happen once in some 2^64 pairs of words.)
 
 Exact copies are found first, by md5, and go as a whole; only the first copy
 takes part in the rest. Joins are by key only, so hot keys split at run time.
+An automaton takes some 500 bytes a word of its shard; of a shard above
+``LARGE`` states only windows that it has not yet are added, so endless
+repetition adds nothing.
 
 Defined results: null or empty text has no words; texts shorter than ``SPAN``
 words keep all; rows of null ids keep all and remove nothing; rows of one id do
-not remove each other's words; repeated rows are treated alike; an empty table
-gives no rows.
+not remove each other's words; repeated rows are treated alike; very long texts
+are read whole; other columns are ignored; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -49,6 +58,9 @@ GRAM = 10
 MEET_BYTES = 1 << 20
 MEET_ROWS = 100
 TASK_BYTES = 64 << 20
+PART_ANCHORS = 1024
+LARGE = 50_000
+CHUNK = 5_000
 MIX = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F))
 
 
@@ -126,65 +138,116 @@ def _anchor_rows(docs: DataFrame) -> DataFrame:
     return mapped(docs.select("doc_id", "th", "text"), "doc_id bigint, th bigint, anchor bigint", run)
 
 
+FOUND = "first bigint, part bigint, meets boolean, doc_id bigint, th bigint, start bigint, words binary"
+
+
+def _runs(to: np.ndarray, part: np.ndarray) -> Iterator[tuple[int, int]]:
+    """Runs [start, stop) of windows that lead to one shard; windows of -1 lead nowhere."""
+    turn = np.flatnonzero((to[1:] != to[:-1]) | (part[1:] != part[:-1])) + 1
+    for s, e in zip([0, *turn.tolist()], [*turn.tolist(), len(to)], strict=True):
+        if part[s] >= 0:
+            yield s, e
+
+
+def _columns(rows: list[tuple], schema: str) -> dict:
+    kinds = {"bigint": pa.int64(), "boolean": pa.bool_(), "binary": pa.binary(), "array<bigint>": pa.list_(pa.int64())}
+    fields = [f.split(" ") for f in schema.split(", ")]
+    cols = list(zip(*rows, strict=True)) or [()] * len(fields)
+    return {n: pa.array(list(v), kinds[k]) for (n, k), v in zip(fields, cols, strict=True)}
+
+
 def _stretches(docs: DataFrame) -> DataFrame:
-    """docs (doc_id, th, text, led): the stretches of windows whose anchors lead to one first document."""
+    """docs (doc_id, th, text, led): the stretches of windows whose anchors lead to one shard of a first document."""
 
     def run(batches: Iterator[dict]) -> Iterator[dict]:
         for b in batches:
             rows = []
             for doc, th, text, led in zip(b["doc_id"].to_pylist(), b["th"].to_pylist(), b["text"].to_pylist(), b["led"].to_pylist(), strict=True):
                 words = text.split()
-                keys = np.array([x["anchor"] for x in led], np.int64)
-                first = np.array([x["first"] for x in led], np.int64)
+                keys, first, part = (np.array([x[n] for x in led], np.int64) for n in ("anchor", "first", "part"))
                 order = np.argsort(keys)
-                keys, first = keys[order], first[order]
+                keys, first, part = keys[order], first[order], part[order]
                 mine = anchors(word_hashes(text)).view(np.int64)
                 slot = np.minimum(np.searchsorted(keys, mine), len(keys) - 1)
                 known = keys[slot] == mine
-                turn = np.flatnonzero((known[1:] != known[:-1]) | (first[slot][1:] != first[slot][:-1])) + 1
-                for s, e in zip([0, *turn.tolist()], [*turn.tolist(), len(mine)], strict=True):
-                    if known[s]:
-                        to = int(first[slot[s]])
-                        rows.append((to, to != doc, doc, th, s, b" ".join(words[s : e + SPAN - 1])))
-            cols = list(zip(*rows, strict=True)) or [()] * 6
-            kinds = (pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.int64(), pa.binary())
-            yield {n: pa.array(list(v), k) for n, v, k in zip(("first", "meets", "doc_id", "th", "start", "words"), cols, kinds, strict=True)}
+                to = np.where(known, first[slot], 0)
+                for s, e in _runs(to, np.where(known, part[slot], -1)):
+                    rows.append((int(to[s]), int(part[slot[s]]), int(to[s]) != doc, doc, th, s, b" ".join(words[s : e + SPAN - 1])))
+            yield _columns(rows, FOUND)
+
+    return mapped(docs.select("doc_id", "th", "text", "led"), FOUND, run)
+
+
+def _left_stretches(left: DataFrame) -> DataFrame:
+    """left (doc_id, th, start, words, led): of runs that matched nothing, the stretches whose windows lead to one document that has them."""
+
+    def run(batches: Iterator[dict]) -> Iterator[dict]:
+        for b in batches:
+            rows = []
+            for doc, th, start, text, led in zip(*(b[n].to_pylist() for n in ("doc_id", "th", "start", "words", "led")), strict=True):
+                words = text.split()
+                to, part = np.zeros(len(words) - SPAN + 1, np.int64), np.full(len(words) - SPAN + 1, -1)
+                at = [x["at"] for x in led]
+                to[at], part[at] = [x["least"] for x in led], 0
+                rows += [(int(to[s]), 0, int(to[s]) != doc, doc, th, start + s, b" ".join(words[s : e + SPAN - 1])) for s, e in _runs(to, part)]
+            yield _columns(rows, FOUND)
+
+    return mapped(left.select("doc_id", "th", "start", "words", "led"), FOUND, run)
+
 
-    return mapped(docs.select("doc_id", "th", "text", "led"), "first bigint, meets boolean, doc_id bigint, th bigint, start bigint, words binary", run)
+def _learn(machine: SuffixAutomaton, words: list[int]) -> None:
+    """Add a stretch; once the automaton is large, only pieces that hold a window it has not."""
+    for s in range(0, len(words) - SPAN + 1, CHUNK):
+        piece = words[s : s + CHUNK + SPAN - 1]
+        if len(machine.length) < LARGE or min(machine.matching(piece)[SPAN - 1 :]) < SPAN:
+            machine.add(piece)
+
+
+MET = "doc_id bigint, th bigint, start bigint, stop bigint, words binary, one array<bigint>, two array<bigint>"
 
 
 def _matched(dealt: DataFrame) -> DataFrame:
-    """dealt (first, salt, ...), a shard's own stretches before those that meet it: what each stretch matches.
+    """dealt (first, part, salt, ...), a shard's own stretches before those that meet it: what each stretch matches.
 
-    Rows of hash zero are matched runs of windows [start, stop); the others are single windows left over.
+    Runs of windows [start, stop): matched, or left over and then with their words and two hashes of each window.
     """
 
     def run(batches: Iterator[dict]) -> Iterator[dict]:
         here, machine, number = None, None, {}
         for b in batches:
             out = []
-            for first, salt, meets, doc, th, start, text in zip(*(b[n].to_pylist() for n in ("first", "salt", "meets", "doc_id", "th", "start", "words")), strict=True):
-                if (first, salt) != here:
-                    here, machine, number = (first, salt), SuffixAutomaton(), {}
+            for *key, meets, doc, th, start, text in zip(*(b[n].to_pylist() for n in ("first", "part", "salt", "meets", "doc_id", "th", "start", "words")), strict=True):
+                if key != here:
+                    here, machine, number = key, SuffixAutomaton(), {}
                 words = text.split()
                 if not meets:
-                    machine.add([number.setdefault(w, len(number)) for w in words])
+                    _learn(machine, [number.setdefault(w, len(number)) for w in words])
                     continue
                 stats = np.array(machine.matching([number.get(w, -1) for w in words]))
                 hit = stats[SPAN - 1 :] >= SPAN
                 turn = np.flatnonzero(hit[1:] != hit[:-1]) + 1
-                left = np.flatnonzero(~hit)
+                hashes = None if hit.all() else [rolled(word_hashes(text), SPAN, m).view(np.int64) for m in MIX]
                 for s, e in zip([0, *turn.tolist()], [*turn.tolist(), len(hit)], strict=True):
-                    if hit[s]:
-                        out.append((doc, th, start + s, start + e, 0, 0))
-                if len(left):
-                    h = word_hashes(text)
-                    one, two = (rolled(h, SPAN, m)[left].view(np.int64).tolist() for m in MIX)
-                    out += [(doc, th, start + i, start + i + 1, x or 1, y) for i, x, y in zip(left.tolist(), one, two, strict=True)]
-            cols = list(zip(*out, strict=True)) or [()] * 6
-            yield {n: pa.array(list(v), pa.int64()) for n, v in zip(("doc_id", "th", "start", "stop", "one", "two"), cols, strict=True)}
+                    more = (None, None, None) if hit[s] else (b" ".join(words[s : e + SPAN - 1]), hashes[0][s:e], hashes[1][s:e])
+                    out.append((doc, th, start + s, start + e, *more))
+            yield _columns(out, MET)
 
-    return mapped(dealt, "doc_id bigint, th bigint, start bigint, stop bigint, one bigint, two bigint", run)
+    return mapped(dealt, MET, run)
+
+
+def _met(found: DataFrame) -> DataFrame:
+    """Stretches dealt out by the shard they lead to, and what they match; written."""
+    size = lambda own: F.sum(F.when(F.col("meets") != own, F.length("words")).otherwise(0))
+    wanted = F.greatest(size(False) / MEET_BYTES, F.count_if("meets") / MEET_ROWS)
+    # A shard is sent out again only for as many bytes, at least, that meet it.
+    load = stored(found.groupBy("first", "part").agg(F.ceil(F.greatest(F.least(wanted, size(False) / size(True)), F.lit(1.0))).alias("salts")))
+    salts = F.when(F.col("meets"), F.array(F.pmod(F.xxhash64("doc_id", "start"), F.col("salts")))).otherwise(F.sequence(F.lit(0).cast("bigint"), F.col("salts") - 1))
+    salted = found.join(load, ["first", "part"]).withColumn("salt", F.explode(salts))
+    # Automata take more time than their bytes suggest, so these partitions are not to be put together.
+    total = found.agg(F.coalesce(F.sum(F.length("words")), F.lit(0))).first()[0]
+    tasks = max(int(found.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-total // TASK_BYTES))
+    key = ["first", "part", "salt"]
+    return stored(_matched(salted.repartition(tasks, *key).sortWithinPartitions(*key, "meets").select(*key, "meets", "doc_id", "th", "start", "words")))
 
 
 def spans(docs: DataFrame) -> DataFrame:
@@ -200,26 +263,19 @@ def spans(docs: DataFrame) -> DataFrame:
 
     rows = stored(_anchor_rows(docs))
     shared = stored(rows.groupBy("anchor").agg(F.min("doc_id").alias("first"), F.min("th").alias("a"), F.max("th").alias("b")).where("a <> b").select("anchor", "first"))
-    led = rows.join(shared, "anchor").groupBy("doc_id", "th").agg(F.collect_list(F.struct("anchor", "first")).alias("led"))
+    cuts = stored(shared.groupBy("first").agg(F.ceil(F.count("*") / PART_ANCHORS).alias("parts")))
+    shared = stored(shared.join(cuts, "first").select("anchor", "first", F.pmod("anchor", "parts").alias("part")))
+    led = rows.join(shared, "anchor").groupBy("doc_id", "th").agg(F.collect_list(F.struct("anchor", "first", "part")).alias("led"))
     led = led.join(placed.where("leads").select("doc_id", "th"), ["doc_id", "th"])
-    found = stored(_stretches(docs.join(led, ["doc_id", "th"])))
-
-    size = lambda own: F.sum(F.when(F.col("meets") != own, F.length("words")).otherwise(0))
-    wanted = F.greatest(size(False) / MEET_BYTES, F.count_if("meets") / MEET_ROWS)
-    # A shard is sent out again only for as many bytes, at least, that meet it.
-    load = found.groupBy("first").agg(F.ceil(F.greatest(F.least(wanted, size(False) / size(True)), F.lit(1.0))).alias("salts"))
-    salted = found.join(load, "first").withColumn("salt", F.explode(F.when(F.col("meets"), F.array(F.pmod(F.xxhash64("doc_id", "start"), F.col("salts")))).otherwise(F.sequence(F.lit(0).cast("bigint"), F.col("salts") - 1))))
-    # Automata take more time than their bytes suggest, so these partitions are not to be put together.
-    spark = docs.sparkSession
-    total = found.agg(F.coalesce(F.sum(F.length("words")), F.lit(0))).first()[0]
-    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-total // TASK_BYTES))
-    dealt = salted.repartition(tasks, "first", "salt").sortWithinPartitions("first", "salt", "meets").select("first", "salt", "meets", "doc_id", "th", "start", "words")
-    met = stored(_matched(dealt))
-
-    left = met.where("one <> 0")
-    least = stored(left.groupBy("one", "two").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("last")).where("least < last").select("one", "two", "least"))
-    later = left.join(least, ["one", "two"]).where("doc_id > least")
-    runs = met.where("one = 0").unionByName(later.drop("least")).select("doc_id", "th", F.struct("start", "stop").alias("run"))
+    met = _met(stored(_stretches(docs.join(led, ["doc_id", "th"]))))
+
+    key = ["doc_id", "th", "start"]
+    left = met.where("words IS NOT NULL")
+    windows = left.select(*key, F.posexplode(F.arrays_zip("one", "two")).alias("at", "w")).select(*key, "at", "w.one", "w.two")
+    least = stored(windows.groupBy("one", "two").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("last")).where("least < last").select("one", "two", "least"))
+    again = stored(windows.join(least, ["one", "two"]).select(*key, "at", "least")).groupBy(*key).agg(F.collect_list(F.struct("at", "least")).alias("led"))
+    rest = _met(stored(_left_stretches(left.select(*key, "words").join(again, key))))
+    runs = met.unionByName(rest).where("words IS NULL").select("doc_id", "th", F.struct("start", "stop").alias("run"))
     partly = runs.groupBy("doc_id", "th").agg(F.collect_list("run").alias("spans"))
     return partly.unionByName(copies.withColumn("spans", F.lit(None).cast(partly.schema["spans"].dataType)))
 

@@ -55,8 +55,12 @@ def brute_spans(rows):
     return out
 
 
-@pytest.mark.parametrize("seed", [3, 4])
-def test_substring_dedup_matches_brute_force(make, vocabulary, seed):
+@pytest.mark.parametrize("seed, small", [(3, False), (4, True)])
+def test_substring_dedup_matches_brute_force(make, vocabulary, monkeypatch, seed, small):
+    """Also with shards cut into many parts and automata that are large from the start."""
+    if small:
+        for name, value in {"PART_ANCHORS": 2, "LARGE": 1, "CHUNK": 60}.items():
+            monkeypatch.setattr(substring_dedup, name, value)
     rows = corpus(vocabulary, seed)
     got = substring_dedup.remove(make(rows)).select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256)).collect()
     assert {r[0]: tuple(r[1:]) for r in got} == brute_spans(rows)
@@ -71,6 +75,15 @@ def test_substring_dedup_window_from_a_third_document(make, vocabulary):
     assert {r[0]: tuple(r[1:]) for r in got} == brute_spans(rows)
 
 
+def test_endless_repetition_adds_nothing():
+    """A long stretch of one word, or of a period, does not fill an automaton with its length."""
+    machine = SuffixAutomaton()
+    for words in ([0] * 300_000, [1, 2, 3] * 100_000):
+        substring_dedup._learn(machine, words)
+    assert len(machine.length) < 25_000
+    assert min(machine.matching([2, 3, 1] * 100)[49:]) >= 50
+
+
 def test_substring_dedup_odd_rows(odd):
     got = sorted(((r.doc_id is None, r.doc_id or 0, r.n_words, r.n_removed) for r in substring_dedup.remove(odd).collect()))
     assert got == [(False, 1, 0, 0), (False, 2, 0, 0), (False, 3, 0, 0), (False, 4, 3, 0), (False, 4, 3, 0), (False, 5, 30_000, 0), (False, 6, 30_000, 30_000), (False, 7, 3, 0), (True, 0, 0, 0), (True, 0, 6, 0)]
