@@ -33,14 +33,17 @@ def bounded_labels(docs: DataFrame, labels: DataFrame, label: str, keep: Column,
     """At most ``bound`` labelled documents, those of the smallest hashed ids: (doc_id, label, text).
 
     ``bound`` rows of (id, label) are what the broadcast join holds. Ids that the
-    labels name more than once count once, with the larger label.
+    labels name more than once count once, with the larger label; an id that
+    several documents have gives one row, with the text of the least hash.
     """
     chosen = (
         labels.where(F.col(label).isNotNull() & F.col("doc_id").isNotNull() & keep)
         .groupBy("doc_id").agg(F.max(label).cast("int").alias("label"))
         .orderBy(F.xxhash64("doc_id"), "doc_id").limit(bound)
     )
-    return docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")
+    text = F.coalesce("text", F.lit(""))
+    found = docs.select("doc_id", text.alias("text")).join(F.broadcast(chosen), "doc_id")
+    return found.groupBy("doc_id", "label").agg(F.min_by("text", F.struct(F.xxhash64("text"), F.octet_length("text"))).alias("text"))
 
 
 def as_bytes(text: str = "text") -> Column:

@@ -73,6 +73,59 @@ def test_toxicity_odd_rows(odd, spark):
     assert toxicity.score(odd.limit(0), model).collect() == []
 
 
+def brute_features(text):
+    """The set of features as tuples, unhashed."""
+    w = re.findall(r"[a-z0-9\x80-\U0010ffff]+", "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text or ""))
+    out = {("one", x) for x in w} | {("two", a, b) for a, b in zip(w, w[1:])} | {("skip", a, b) for a, b in zip(w, w[2:])}
+    return out | {("head", k, x.encode()[:k]) for k in (4, 6) for x in w if len(x.encode()) > k}
+
+
+def brute_ftrl(rows, labels, f):
+    """FTRL-proximal by its definition, a coordinate at a time; a function that scores a text."""
+    seen = Counter(x for r in rows for x in r)
+    rows = [{x for x in r if seen[x] >= f.min_docs} | {"bias"} for r in rows]
+    z, n = Counter(), Counter()
+
+    def weight(x):
+        l1 = 0.0 if x == "bias" else f.l1
+        return 0.0 if abs(z[x]) <= l1 else -(z[x] - (l1 if z[x] > 0 else -l1)) / ((f.beta + n[x] ** 0.5) / f.alpha + f.l2)
+
+    order = np.arange(len(rows))
+    for epoch in range(f.epochs):
+        np.random.default_rng(epoch).shuffle(order)
+        for i in order.tolist():
+            w = {x: weight(x) for x in rows[i]}
+            g = 1 / (1 + np.exp(-sum(w.values()))) - labels[i]
+            for x in rows[i]:
+                sigma = ((n[x] + g * g) ** 0.5 - n[x] ** 0.5) / f.alpha
+                z[x] += g - sigma * w[x]
+                n[x] += g * g
+    return lambda text: 1 / (1 + np.exp(-weight("bias") - sum(weight(x) for x in brute_features(text) if x in z)))
+
+
+def test_toxicity_matches_brute_force(make, spark, vocabulary):
+    """Learned and scored by definition over unhashed features, with texts that hold no word, a long one and repeated ids."""
+    r = random.Random(17)
+    few = vocabulary[:40] + ["nasty", "vile"]
+    rows = [(i, " ".join(r.choices(few, k=r.randint(0, 14)))) for i in range(90)] + [(900, ""), (901, None), (902, "Ünïcode ROTTEN, vile!"), (903, "a b c " * 5000), (7, "zzz"), (7, "yyy")]
+    marks = [(i, 1, int("nasty" in t or "vile" in t)) for i, t in rows[:80]] + [(901, 1, 0), (902, 1, 1), (903, 1, 0)]
+    docs, labels, ftrl = make(rows), spark.createDataFrame(marks, LABELS), toxicity.Ftrl(l1=0.3, min_docs=2, bits=22)
+    model = toxicity.train(docs, labels, "toxic", F.lit(True), ftrl=ftrl)
+    chosen = docs.join(labels.select("doc_id", "toxic"), "doc_id").groupBy("doc_id", "toxic").agg(F.min_by(F.coalesce("text", F.lit("")), F.xxhash64(F.coalesce("text", F.lit("")))).alias("text"))
+    own = chosen.select(F.xxhash64("doc_id").alias("place"), "toxic", "text").orderBy("place").collect()
+    scorer = brute_ftrl([brute_features(x.text) for x in own], [x.toxic for x in own], ftrl)
+    want = Counter((i, round(scorer(t), 9)) for i, t in rows)
+    assert Counter((x.doc_id, round(x.score, 9)) for x in toxicity.score(docs, model, ftrl.bits).collect()) == want
+    assert len({s for _, s in want}) > 20
+
+
+def test_toxicity_learns_from_no_text_of_too_many_features(make, spark, monkeypatch):
+    monkeypatch.setattr(toxicity, "MAX_FEATURES", 40)
+    docs = make([(i, "vile " + " ".join(f"w{i}x{k}" for k in range(9 if i % 2 else 90))) for i in range(40)])
+    model = toxicity.train(docs, spark.createDataFrame([(i, 1, i % 2) for i in range(40)], LABELS), "toxic", F.lit(True))
+    assert model.bias > 2  # all that it saw are toxic
+
+
 def test_gam_learns_curves_and_a_pair():
     r = np.random.default_rng(3)
     x = r.random((4000, 4))
@@ -89,6 +142,76 @@ def test_gam_learns_curves_and_a_pair():
     assert s[0] == pytest.approx(1 / (1 + np.exp(-one)))
 
 
+def brute_gam(x, y, s):
+    """Cyclic boosting by its definition: every candidate cut is tried on the rows themselves. Returns a function that scores a row."""
+    d = x.shape[1]
+    edges = [sorted(set(np.quantile(x[:, k], np.linspace(0, 1, s.bins + 1)[1:-1]))) for k in range(d)]
+    place = lambda k, v: sum(e <= v for e in edges[k])
+    bins = [[place(k, v) for v in x[:, k]] for k in range(d)]
+    size = [len(e) + 1 for e in edges]
+    rate = y.mean()
+    logit = np.full(len(y), log(rate / (1 - rate)))
+    tables = [[0.0] * n for n in size]
+
+    def leaf(g, h):
+        return g / (h + s.smooth)
+
+    def value(g, h):
+        return g * g / (h + s.smooth)
+
+    def tree(g, h, depth):
+        """g, h: sums by bin."""
+        best = (0.0, None)
+        for at in range(1, len(g)) if depth else ():
+            left, right = (sum(g[:at]), sum(h[:at])), (sum(g[at:]), sum(h[at:]))
+            if min(left[1], right[1]) >= s.least:
+                gain = value(*left) + value(*right) - value(sum(g), sum(h))
+                if gain > best[0]:
+                    best = (gain, at)
+        at = best[1]
+        return [leaf(sum(g), sum(h))] * len(g) if at is None else tree(g[:at], h[:at], depth - 1) + tree(g[at:], h[at:], depth - 1)
+
+    for _ in range(s.rounds):
+        for k in range(d):
+            p = 1 / (1 + np.exp(-logit))
+            g, h = [0.0] * size[k], [0.0] * size[k]
+            for b, r, w in zip(bins[k], y - p, np.maximum(p * (1 - p), 1e-6)):
+                g[b] += r
+                h[b] += w
+            step = [s.rate * v for v in tree(g, h, s.depth)]
+            tables[k] = [a + b for a, b in zip(tables[k], step)]
+            logit = logit + np.array([step[b] for b in bins[k]])
+    return lambda row: 1 / (1 + np.exp(-log(rate / (1 - rate)) - sum(tables[k][place(k, row[k])] for k in range(d))))
+
+
+def test_gam_matches_brute_force(make, spark, vocabulary):
+    """Tables learned by trying every cut, and every document of the query scored by adding entries one by one."""
+    r = random.Random(15)
+    rows = [(i, " ".join(x + r.choice(["", "", "#", "|"]) * (i % 3) for x in r.choices(vocabulary, k=r.randint(0, 60)))) for i in range(120)] + [(200, None), (201, "A B\nA B\nc1")]
+    docs, marks = make(rows), spark.createDataFrame([(i, int(i % 3 < 2), 0) for i in range(120)], LABELS)
+    s = quality_gam.Boosting(bins=6, rounds=8, n_pairs=0)
+    gam = quality_gam.train(docs, marks, "quality", F.lit(True), boosting=s)
+    x = np.array([quality_gam.features((t or "").encode()) for _, t in rows[:120]])
+    scorer = brute_gam(x, np.array([float(i % 3 < 2) for i in range(120)]), s)
+    got = {d.doc_id: d.score for d in quality_gam.score(docs, gam).collect()}
+    assert all(got[i] == pytest.approx(scorer(quality_gam.features((t or "").encode())), abs=1e-9) for i, t in rows)
+    assert len({round(v, 6) for v in got.values()}) > 20
+
+
+def test_gam_scores_are_sums_of_entries(make, spark, vocabulary):
+    """With pairs, for every document, one entry at a time."""
+    r = random.Random(16)
+    rows = [(i, " ".join(x + ("#" if i % 2 and r.random() < 0.5 else "") for x in r.choices(vocabulary, k=r.randint(1, 90)))) for i in range(150)]
+    docs, marks = make(rows), spark.createDataFrame([(i, int(i % 2 == 0 or len(rows[i][1]) > 300), 0) for i in range(150)], LABELS)
+    gam = quality_gam.train(docs, marks, "quality", F.lit(True), boosting=quality_gam.Boosting(bins=8, rounds=20, pair_rounds=10))
+    assert gam.pairs
+    for d in quality_gam.score(docs, gam).collect():
+        v = quality_gam.features(rows[d.doc_id][1].encode())
+        at = [sum(e <= x for e in edges) for x, edges in zip(v, gam.edges)]
+        total = gam.intercept + sum(t[b] for t, b in zip(gam.tables, at)) + sum(g[gam.coarse[i][at[i]]][gam.coarse[j][at[j]]] for (i, j), g in gam.pairs.items())
+        assert d.score == pytest.approx(1 / (1 + np.exp(-total)), abs=1e-9)
+
+
 def test_gam_held_out(make, spark, vocabulary):
     r = random.Random(5)
     rows, labels = [], []
