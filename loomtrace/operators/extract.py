@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import subprocess
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
@@ -141,6 +142,34 @@ def export_prompts(texts: DataFrame, instruction: str, most: int = 100_000) -> D
     return texts.withColumn("prompt", F.concat(F.lit(instruction + "\n\nSession content:\n"), cut(F.col("text"))))
 
 
+def command_model(argv: list[str], seconds: float = 120.0, tries: int = 2, envelope: tuple[str, ...] = ("result", "response", "text")) -> Callable[[], Model]:
+    """A model that is another program: it reads the prompt and writes the answer.
+
+    A call that takes longer than ``seconds`` is stopped, and made again at most ``tries`` times in all; so is one that fails.
+    An answer in a JSON object under one of the names of ``envelope`` is taken out of it.
+    """
+
+    def make() -> Model:
+        def model(prompt: str) -> str:
+            for left in range(tries - 1, -1, -1):
+                try:
+                    done = subprocess.run(argv, input=prompt, capture_output=True, text=True, timeout=seconds, check=True)
+                    break
+                except (subprocess.TimeoutExpired, subprocess.CalledProcessError):
+                    if not left:
+                        raise
+            try:
+                outer = json.loads(done.stdout)
+            except ValueError:
+                return done.stdout
+            inner = [outer[n] for n in envelope if isinstance(outer, dict) and isinstance(outer.get(n), str)]
+            return inner[0] if inner else done.stdout
+
+        return model
+
+    return make
+
+
 def ask(prompts: DataFrame, make: Callable[[], Model], key: list[str], permits: int = 3) -> DataFrame:
     """(key..., answer, error) for rows with ``prompt``; at most ``permits`` tasks ask at a time, one model each."""
 

@@ -68,19 +68,48 @@ def classes(items: DataFrame, like: Likeness, order: list[Column], key: str = "i
     return marked.join(first, [group, "class"]).withColumn("rep", F.col("first.k")).drop("class", "first")
 
 
-def links(reps: DataFrame, like: Likeness, key: str, group: str) -> DataFrame:
-    """(group, a, b, similarity), a < b, among rows (key, group, t1, t2)."""
-    sets = reps.select(key, group, F.col("t1" if like.strong == like.first else "t2").alias("s"))
-    each = sets.select(key, group, F.explode(F.when(F.size("s") == 0, F.array(F.lit(EMPTY))).otherwise(F.col("s"))).alias("token"))
+def _signature(tokens: str) -> Column:
+    """A set as four words of 64 bits, a bit for each token by hash."""
+    place = lambda x: F.pmod(F.xxhash64(x), F.lit(256))
+    bit = lambda x: F.call_function("shiftleft", F.lit(1).cast("bigint"), (place(x) % 64).cast("int"))
+    word = lambda k: F.aggregate(F.filter(tokens, lambda x: F.floor(place(x) / 64) == k), F.lit(0).cast("bigint"), lambda a, x: a.bitwiseOR(bit(x)))
+    return F.array(*map(word, range(4)))
+
+
+def _at_most(na: Column, nb: Column, sa: str, sb: str) -> Column:
+    """Jaccard at most: tokens whose bit the other set has not are not shared."""
+    apart = sum((F.bit_count(F.get(sa, F.lit(k)).bitwiseXOR(F.get(sb, F.lit(k)))) for k in range(4)), F.lit(0))
+    shared = F.least(na, nb, F.floor((na + nb - apart) / 2))
+    return F.when((na == 0) & (nb == 0), 1.0).when((na == 0) | (nb == 0), 0.0).otherwise(shared / (na + nb - shared))
+
+
+def candidates(reps: DataFrame, like: Likeness, key: str, group: str) -> DataFrame:
+    """(group, a, b), a < b: what can reach the threshold by sizes, shared rare tokens and their places.
+
+    A pair meets at a shared token of both prefixes only if the sizes and signatures of both fields allow the threshold.
+    Of the pairs that meet, those stay whose shared prefix tokens, with all that comes after the last of them, make up the overlap
+    that the bound asks for.
+    """
+    strong, weak = ("t1", "t2") if like.strong == like.first else ("t2", "t1")
+    heavy, light = max(like.weight_first, like.weight_second), min(like.weight_first, like.weight_second)
+    sets = reps.select(key, group, F.col(strong).alias("s"), F.struct(F.size(strong).alias("n"), F.size(weak).alias("m"), _signature(strong).alias("s"), _signature(weak).alias("w")).alias("q"))
+    each = sets.select(key, group, "q", F.explode(F.when(F.size("s") == 0, F.array(F.lit(EMPTY))).otherwise(F.col("s"))).alias("token"))
     rarity = each.groupBy(group, "token").agg(F.count("*").alias("df"))
-    ordered = each.join(rarity, [group, "token"]).groupBy(key, group).agg(F.sort_array(F.collect_list(F.struct("df", "token"))).alias("by_df"))
+    ordered = each.join(rarity, [group, "token"]).groupBy(key, group).agg(F.sort_array(F.collect_list(F.struct("df", "token"))).alias("by_df"), F.first("q").alias("q"))
     n = F.size("by_df")
     prefix = F.slice("by_df", 1, F.greatest(n - F.ceil(F.lit(like.bound) * n - 1e-9).cast("int") + 1, F.lit(1)))
-    probes = ordered.select(key, group, n.alias("n"), F.explode(F.transform(prefix, lambda x: x["token"])).alias("token"))
-    a = probes.select(group, "token", F.col(key).alias("a"), F.col("n").alias("na"))
-    b = probes.select(group, "token", F.col(key).alias("b"), F.col("n").alias("nb"))
-    near = (F.col("a") < F.col("b")) & (F.least("na", "nb") >= F.greatest("na", "nb") * like.bound - 1e-9)
-    found = a.join(b, [group, "token"]).where(near).select(group, "a", "b").distinct()
+    probes = ordered.select(key, group, n.alias("n"), "q", F.posexplode(F.transform(prefix, lambda x: x["token"])).alias("i", "token"))
+    a, b = (probes.select(group, "token", F.col(key).alias(x), F.col("n").alias(f"n{x}"), F.col("q").alias(f"q{x}"), F.col("i").alias(f"i{x}")) for x in "ab")
+    most = lambda n, s: _at_most(F.col(f"qa.{n}"), F.col(f"qb.{n}"), f"qa.{s}", f"qb.{s}")
+    near = (F.col("a") < F.col("b")) & (F.least("na", "nb") >= F.greatest("na", "nb") * like.bound - 1e-9) & (heavy * most("n", "s") + light * most("m", "w") >= like.threshold - 1e-9)
+    met = a.join(b, [group, "token"]).where(near).groupBy(group, "a", "b").agg(F.count("*").alias("shared"), F.max("ia").alias("ia"), F.max("ib").alias("ib"), F.first("na").alias("na"), F.first("nb").alias("nb"))
+    reach = F.col("shared") + F.least(F.col("na") - F.col("ia"), F.col("nb") - F.col("ib")) - 1
+    return met.where(reach >= like.bound / (1 + like.bound) * (F.col("na") + F.col("nb")) - 1e-9).select(group, "a", "b")
+
+
+def links(reps: DataFrame, like: Likeness, key: str, group: str) -> DataFrame:
+    """(group, a, b, similarity), a < b, among rows (key, group, t1, t2)."""
+    found = candidates(reps, like, key, group)
     left = reps.select(F.col(key).alias("a"), F.col("t1").alias("a1"), F.col("t2").alias("a2"))
     right = reps.select(F.col(key).alias("b"), F.col("t1").alias("b1"), F.col("t2").alias("b2"))
     sim = like.weight_first * jaccard(F.col("a1"), F.col("b1")) + like.weight_second * jaccard(F.col("a2"), F.col("b2"))

@@ -283,7 +283,59 @@ def test_watched_folders_and_jobs(spark, tmp_path, now):
 
     folders = [upkeep.Watched("~/a", "claude_code"), upkeep.Watched("/b", "openclaw", False), upkeep.Watched("/c", "other")]
     assert [w.path for w in upkeep.usable(folders)] == ["~/a"] and not folders[0].folder.startswith("~")
+    assert all(w in upkeep.usable(upkeep.DEFAULT_FOLDERS) for w in upkeep.DEFAULT_FOLDERS)
     e = Engine(spark, str(tmp_path), now=now)
     for job in upkeep.EVERY_HOURS:
         upkeep.run(e, job)
     assert e.memories().count() == 0
+
+
+def test_jobs_fall_due_one_after_another():
+    from loomtrace.streaming import upkeep
+
+    assert upkeep.due({}, 100.0, 100.0) == ["ranking"]
+    assert upkeep.due({}, 131.0, 100.0) == list(upkeep.EVERY_HOURS)
+    last = dict.fromkeys(upkeep.EVERY_HOURS, 0.0)
+    assert upkeep.due(last, 6 * 3600.0) == ["ranking"] and upkeep.due(last, 24 * 3600.0) == list(upkeep.EVERY_HOURS)
+
+
+def test_jobs_are_run_told_and_stopped(spark, tmp_path, now, monkeypatch):
+    """The loop runs what is due; a failure and a run that takes too long are events, and the loop goes on."""
+    import time
+    from threading import Event
+
+    from loomtrace.streaming import upkeep
+
+    e, stop = Engine(spark, str(tmp_path), now=now), Event()
+
+    def slow():
+        def rest(parts):
+            for p in parts:
+                time.sleep(30)
+                yield p
+
+        spark.range(4, numPartitions=2).mapInPandas(rest, "id bigint").collect()
+
+    def fails():
+        raise ValueError("no")
+
+    monkeypatch.setattr(e, "embed_missing", slow)
+    monkeypatch.setattr(e, "clean_memories", fails)
+    monkeypatch.setattr(upkeep, "STAGGER", 0)
+    monkeypatch.setitem(upkeep.MOST_SECONDS, "embedding_refresh", 2)
+    times = iter([0.0] * 6)
+    ticks = lambda: next(times, None) if not stop.is_set() else 0.0
+
+    def clock():
+        t = ticks()
+        if t is None:
+            stop.set()
+            return 0.0
+        return t
+
+    upkeep.keep_up(e, stop, clock, pause=0.0)
+    events = [(r.event, json.loads(r.payload)) for r in e.store.read("service_events").collect()]
+    by = {(n, p["job"]): p for n, p in events}
+    assert {j for n, j in by if n == upkeep.STARTED} == set(upkeep.EVERY_HOURS)
+    assert {j for n, j in by if n == upkeep.ENDED} == {"ranking", "skill_cleanup"}
+    assert by[upkeep.FAILED, "embedding_refresh"]["error"] == "took too long" and "ValueError" in by[upkeep.FAILED, "duplicate_cleanup"]["error"]

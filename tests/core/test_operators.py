@@ -348,3 +348,32 @@ def test_results_markdown(spark):
     assert got == "Found 2 memories in project 'P' for query 'q':\n\n1. [Fact] t (confidence: 85%)\n   c\n   Tags: x, y\n\n2. [Task] u (confidence: 50%)\n   d\n\n"
     assert browse.results_markdown(m.limit(0), "P", None, F.desc("confidence")).first().markdown == "No memories found in project 'P'."
     assert browse.results_markdown(m.limit(0), "P", "q", F.desc("confidence")).first().markdown == "No memories found for query 'q' in project 'P'."
+
+
+def test_a_program_as_a_model(tmp_path):
+    """Its answer is taken out of an envelope; a call that takes too long or fails is made again, then raised."""
+    import subprocess
+
+    assert extract.command_model(["cat"])()("plain") == "plain"
+    assert extract.command_model(["cat"])()('{"result": "inner"}') == "inner"
+    assert extract.command_model(["cat"])()('{"other": 1}') == '{"other": 1}'
+    marks = tmp_path / "calls"
+    second = f'echo x >> {marks}; test $(wc -l < {marks}) -ge 2 && echo "[1]"'
+    assert extract.command_model(["sh", "-c", second])()("p").strip() == "[1]"
+    with pytest.raises(subprocess.TimeoutExpired):
+        extract.command_model(["sleep", "5"], seconds=0.2)()("p")
+
+
+def test_few_candidates_beyond_the_links(spark):
+    """Sizes and places of shared tokens leave few pairs to verify, and lose none."""
+    r = random.Random(5)
+    words = [f"w{i}" for i in range(60)]
+    rows = [(i, "p", " ".join(r.choices(words, k=r.randint(2, 10))), " ".join(r.choices(words, k=r.randint(5, 40)))) for i in range(400)]
+    rows += [(1000 + i, "p", t + " more", c) for i, (_, _, t, c) in enumerate(rows[:80])]
+    frame = spark.createDataFrame(rows, "id bigint, project_id string, title string, content string")
+    own = similar.classes(frame, similar.MEMORY, [])
+    reps = own.where("id = rep")
+    sure = {(x.a, x.b) for x in similar.links(reps, similar.MEMORY, "id", "project_id").collect()}
+    tried = {(x.a, x.b) for x in similar.candidates(reps, similar.MEMORY, "id", "project_id").collect()}
+    sharing = sum(bool(set(a[2].split()) & set(b[2].split())) for k, a in enumerate(rows) for b in rows[:k])
+    assert len(sure) >= 75 and sure <= tried and len(tried) < 0.1 * sharing
