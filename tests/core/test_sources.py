@@ -142,3 +142,30 @@ def test_registry():
 def test_empty_input(spark, name, source):
     fmt = getattr(messages, name)
     assert fmt.parse(rows(spark, source).limit(0), None).collect() == []
+
+
+def test_tail_pieces_cut_anywhere(tmp_path):
+    """However the bytes arrive, every line comes once, whole, with its number and place; nothing but sizes is asked on the driver."""
+    import random
+
+    from loomtrace.sources import tail_source
+
+    r = random.Random(3)
+    content = b"".join(("x" * r.randint(0, 30) + r.choice(["", "é", "漢"])).encode() + r.choice([b"\n", b"\r\n"]) for _ in range(60))
+    want = [(n, at, size, line) for n, at, size, line in lines.cut_lines(content)]
+    for remember in (True, False):
+        path = tmp_path / f"s{remember}.jsonl"
+        reader, start, got = tail_source.TailReader(str(tmp_path)), {}, []
+        cuts = sorted({*r.sample(range(1, len(content)), 25), len(content)})
+        for stop in cuts:
+            path.write_bytes(content[:stop])
+            end = {p: v for p, v in reader.latestOffset().items() if p == str(path)}
+            for piece in reader.partitions(start, end):
+                if not remember:
+                    tail_source._COUNTED.clear()
+                got += [x[2:6] for x in reader.read(piece)]
+            start = end
+        assert got == want
+        path.write_bytes(b"anew\n")
+        end = {p: v for p, v in reader.latestOffset().items() if p == str(path)}
+        assert [x[1:] for p in reader.partitions(start, end) for x in reader.read(p)] == [(str(path), 0, 0, 5, "anew", True)]
