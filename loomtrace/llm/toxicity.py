@@ -8,9 +8,9 @@ coordinate; its L1 term leaves few weights other than zero, so the model that
 scoring tasks receive is a short list of (index, weight), at most ``2**BITS``.
 
 Learning is bounded: at most ``max_train`` labelled documents take part (those
-of the smallest hashed ids; of these none of more than ``MAX_FEATURES`` distinct
-features, some ten thousand words), featurised on the executors and learned in
-one task of 400 MB at most. Scoring is a single pass over all documents without any shuffle.
+of the smallest hashed ids), featurised on the executors and learned in one task,
+which takes them in order of these hashes until it holds ``MAX_FEATURES``
+features (256 MB; some 45,000 documents of ordinary length). Scoring is a single pass over all documents without any shuffle.
 
 Defined results: null or empty text scores the intercept; no labelled rows at
 all score 0.0; repeated rows score alike; null ids are scored like others and
@@ -31,7 +31,7 @@ from .common import WordIds, as_bytes, bounded_labels, mapped
 
 BITS = 18
 MAX_TRAIN = 12_000
-MAX_FEATURES = 8192
+MAX_FEATURES = 64 << 20
 
 #: Lower-cases A-Z, turns other ASCII marks and controls into spaces, keeps bytes above 127.
 PLAIN = bytes(c + 32 if 65 <= c <= 90 else c if c > 127 or chr(c).isalnum() else 32 for c in range(256))
@@ -118,25 +118,23 @@ def train(docs: DataFrame, labels: DataFrame, label: str, keep: Column, max_trai
     def featurise(batches: Iterator[dict]) -> Iterator[dict]:
         ids = WordIds()
         for b in batches:
-            found = [np.unique(features(t, ids, ftrl.bits)) for t in b["text"].to_pylist()]
-            short = pa.array([len(x) <= MAX_FEATURES for x in found], pa.bool_())
-            rows = {"doc_id": b["doc_id"].cast(pa.int64()), "label": b["label"], "found": pa.array([x.tobytes() for x in found], pa.binary())}
-            yield {n: v.filter(short) for n, v in rows.items()}
+            found = [np.unique(features(t, ids, ftrl.bits)).tobytes() for t in b["text"].to_pylist()]
+            yield {"doc_id": b["doc_id"].cast(pa.int64()), "label": b["label"], "found": pa.array(found, pa.binary())}
 
     def learn(batches: Iterator[dict]) -> Iterator[dict]:
-        held = []
+        rows, ys, total = [], [], 0
         for b in batches:
-            held += zip(b["place"].to_pylist(), b["found"].to_pylist(), b["label"].to_pylist(), strict=True)
-        held.sort()  # an order that does not depend on the partitions
-        ys = [x[2] for x in held]
-        rows = [np.frombuffer(x[1], np.int32) for x in held]
-        held.clear()
+            for found, label in zip(b["found"], b["label"].to_pylist(), strict=True):
+                if total < MAX_FEATURES:
+                    rows.append(np.frombuffer(found.as_py(), np.int32))
+                    ys.append(label)
+                    total += len(rows[-1])
         m = ftrl.learn(rows, ys)
         if m.bias is not None:
             yield {"index": pa.array(np.append(m.index, -1).astype(np.int32)), "weight": pa.array(np.append(m.weight, m.bias))}
 
-    # One task, of at most max_train rows.
-    few = mapped(sample, "doc_id bigint, label int, found binary", featurise).select(F.xxhash64("doc_id").alias("place"), "label", "found").repartition(1)
+    # One task, of at most max_train rows, in an order that does not depend on the partitions.
+    few = mapped(sample, "doc_id bigint, label int, found binary", featurise).select(F.xxhash64("doc_id").alias("place"), "label", "found").repartition(1).sortWithinPartitions("place", "found").select("found", "label")
     got = mapped(few, "index int, weight double", learn).toPandas()
     if got.empty:
         return Model()

@@ -119,11 +119,21 @@ def test_toxicity_matches_brute_force(make, spark, vocabulary):
     assert len({s for _, s in want}) > 20
 
 
-def test_toxicity_learns_from_no_text_of_too_many_features(make, spark, monkeypatch):
-    monkeypatch.setattr(toxicity, "MAX_FEATURES", 40)
-    docs = make([(i, "vile " + " ".join(f"w{i}x{k}" for k in range(9 if i % 2 else 90))) for i in range(40)])
-    model = toxicity.train(docs, spark.createDataFrame([(i, 1, i % 2) for i in range(40)], LABELS), "toxic", F.lit(True))
-    assert model.bias > 2  # all that it saw are toxic
+def test_toxicity_takes_rows_up_to_a_number_of_features(make, spark, monkeypatch):
+    """Rows in order of their hashed ids, the first that fills the task the last."""
+    texts = {i: ("vile " if i % 2 else "") + " ".join(f"w{k % 7}" for k in range(3 + i)) for i in range(40)}
+    docs = make(list(texts.items()))
+    labels = spark.createDataFrame([(i, 1, i % 2) for i in range(40)], LABELS)
+    order, total, taken = [x.doc_id for x in labels.orderBy(F.xxhash64("doc_id")).collect()], 0, []
+    for i in order:
+        if total < 200:
+            taken.append(i)
+            total += len(np.unique(toxicity.features(texts[i].encode(), WordIds())))
+    assert 3 < len(taken) < 30
+    want = toxicity.train(docs, labels.where(F.col("doc_id").isin(taken)), "toxic", F.lit(True), ftrl=toxicity.Ftrl(l1=0.1))
+    monkeypatch.setattr(toxicity, "MAX_FEATURES", 200)
+    got = toxicity.train(docs, labels, "toxic", F.lit(True), ftrl=toxicity.Ftrl(l1=0.1))
+    assert got.bias == want.bias and (got.weight == want.weight).all()
 
 
 def test_gam_learns_curves_and_a_pair():
