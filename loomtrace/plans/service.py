@@ -327,3 +327,32 @@ def skills_admitted(spark: SparkSession, d: str) -> DataFrame:
     s = skills(spark, d)
     verdicts = similar.admit(s.where("id % 2 = 1").select("id", "project_id", "name", "description"), s.where("id % 2 = 0"), similar.SKILL, live="true")
     return verdicts.select("id", "project_id", F.col("twin").isNull().alias("admitted"))
+
+
+@query("program_answers", TALK + " SELECT DISTINCT session_id, 'say ' || session_id AS answer, NULL::VARCHAR AS error FROM t")
+def program_answers(spark: SparkSession, d: str) -> DataFrame:
+    """Another program as the model, here one that says what it hears; half of it in an envelope."""
+    own = F.concat(F.lit("say "), F.col("session_id"))
+    prompts = talk(spark, d).select("session_id").distinct().withColumn("prompt", F.when(F.col("session_id").cast("int") % 2 == 0, F.to_json(F.struct(own.alias("result")))).otherwise(own))
+    return extract.ask(prompts, extract.command_model(["cat"]), ["session_id"])
+
+
+DIMENSIONS = 16
+
+
+@query("embedded_texts", rf"""
+WITH tok AS (SELECT doc_id, unnest(list_transform(list_filter(regexp_extract_all(lower(text), '[\p{{L}}\p{{N}}]+'), lambda w: strlen(w) >= 2), lambda w: {_stem_sql('w')})) AS w FROM documents),
+crcs AS (SELECT list(v ORDER BY i) AS tab FROM (SELECT i, list_reduce(list_concat([i], range(8)), lambda a, b: CASE WHEN a & 1 = 1 THEN xor(a >> 1, 3988292384) ELSE a >> 1 END) AS v FROM (SELECT unnest(range(256)) AS i))),
+dw AS (SELECT w, xor(list_reduce(list_concat([4294967295::BIGINT], list_transform(string_split(regexp_replace(hex(encode(w)), '(..)', '\1 ', 'g'), ' ')[:-2], lambda x: ('0x' || x)::BIGINT)), lambda a, b: xor(a >> 8, tab[xor(a & 255, b) + 1])), 4294967295::BIGINT) AS h
+  FROM (SELECT DISTINCT w FROM tok), crcs),
+c AS (SELECT doc_id, h % {DIMENSIONS} AS k, sum(CASE WHEN h >= 2147483648 THEN 1 ELSE -1 END) AS v FROM tok JOIN dw USING (w) GROUP BY 1, 2),
+e AS (SELECT doc_id, k, coalesce(v, 0) AS v FROM (SELECT doc_id, unnest(range({DIMENSIONS})) AS k FROM documents) LEFT JOIN c USING (doc_id, k))
+SELECT doc_id, string_agg(CASE WHEN v > 0 THEN '+' WHEN v < 0 THEN '-' ELSE '0' END, '' ORDER BY k) AS signs, sum(v * v) > 0 AS unit FROM e GROUP BY 1""")
+def embedded_texts(spark: SparkSession, d: str) -> DataFrame:
+    """The stand-in for a model: where each text's vector points, and whether it has unit length (or none)."""
+    from ..operators import vectors
+
+    rows = vectors.embed(table(spark, d, "documents"), "doc_id", F.col("text"), lambda: vectors.hashed_embedder(DIMENSIONS))
+    sign = F.transform("embedding", lambda x: F.when(x > 0, "+").when(x < 0, "-").otherwise("0"))
+    size = F.aggregate("embedding", F.lit(0.0), lambda a, x: a + x.cast("double") * x.cast("double"))
+    return rows.select("doc_id", F.array_join(sign, "").alias("signs"), (F.abs(size - 1) < 1e-5).alias("unit"))
