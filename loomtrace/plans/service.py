@@ -329,6 +329,22 @@ def skills_admitted(spark: SparkSession, d: str) -> DataFrame:
     return verdicts.select("id", "project_id", F.col("twin").isNull().alias("admitted"))
 
 
+SWEPT_SQL = f"""WITH RECURSIVE {SKILLS_SQL}, {SKILL_SETS.split(', sr AS')[0]},
+od AS (SELECT id, project_id, row_number() OVER (PARTITION BY project_id ORDER BY id) AS n FROM sk0),
+le AS (SELECT a.project_id, o1.n AS nl, o2.n AS ne FROM sk0 a JOIN sk0 b ON a.project_id = b.project_id AND b.id < a.id JOIN od o1 ON o1.id = a.id JOIN od o2 ON o2.id = b.id WHERE {SKILL_SIM} >= 0.8 - 1e-12),
+step(project_id, n, gone) AS (SELECT DISTINCT project_id, 0::BIGINT, []::BIGINT[] FROM od
+  UNION ALL SELECT s.project_id, s.n + 1, CASE WHEN EXISTS (SELECT 1 FROM le WHERE le.project_id = s.project_id AND le.nl = s.n + 1 AND NOT list_contains(s.gone, le.ne)) THEN list_append(s.gone, s.n + 1) ELSE s.gone END
+  FROM step s WHERE s.n < (SELECT max(n) FROM od WHERE od.project_id = s.project_id)),
+fin AS (SELECT project_id, unnest(max_by(gone, n)) AS n FROM step GROUP BY 1)
+SELECT od.id, od.project_id FROM fin JOIN od USING (project_id, n)"""
+
+
+@query("skills_swept", SWEPT_SQL)
+def skills_swept(spark: SparkSession, d: str) -> DataFrame:
+    """What clean-up of skills removes, oldest first, with the engine's tokens."""
+    return similar.leaders(skills(spark, d), similar.SKILL_CLEANUP, ["extracted_at"]).select("id", "project_id")
+
+
 @query("program_answers", TALK + " SELECT DISTINCT session_id, 'say ' || session_id AS answer, NULL::VARCHAR AS error FROM t")
 def program_answers(spark: SparkSession, d: str) -> DataFrame:
     """Another program as the model, here one that says what it hears; half of it in an envelope."""
