@@ -1,7 +1,7 @@
 """License scans: a trained paragraph classifier, confirmed by templates.
 
 A text is scanned by paragraph: a line, or pieces of ``PIECE`` words (each half
-covered by the next) of a longer line. A softmax regression over hashed word
+covered by the next) of a longer line. A softmax regression over sparse word
 n-grams (one to three words) names a licence family or ``unknown``. It is
 learned here from the templates below, cropped, worn and set among other words,
 against paragraphs of the corpus itself and sentences that only sound alike;
@@ -13,11 +13,11 @@ a family without is reported as not confirmed. The words that confirm a family
 are then taken out and the rest of the paragraph is judged again, so a paragraph
 may name several.
 
-Every paragraph is judged by the classifier. Its weights are few, so a bound on
-what a paragraph can reach for any family (the sum of the largest gains of its
-n-grams) settles most of them without the full score; that loses nothing. The
-scan is one pass without a shuffle. Weights exist for n-grams of templates only;
-the model that tasks receive has a bounded size. What training sees of the
+Every paragraph is judged by the classifier. It has weights for n-grams of
+templates only, so a bound on what a paragraph can reach for any family (the sum
+of the largest gains of the n-grams it shares with them) settles most of them
+without the full score; that loses nothing. The scan is one pass without a
+shuffle, and the model that tasks receive has a bounded size. What training sees of the
 corpus is bounded: ``lines`` lines, of at most ``LINE_BYTES`` bytes each, of
 ``background`` documents, those of the smallest hashes.
 
@@ -32,6 +32,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import chain
 from random import Random
 
 import numpy as np
@@ -39,17 +40,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WordIds, as_bytes, mapped
+from .common import as_bytes, mapped
 from .toxicity import PLAIN
 
 PIECE = 64
-BITS = 20
 BACKGROUND = 500
 LINES = 10_000
 LINE_BYTES = 2048
 UNKNOWN = "unknown"
 #: Stands where a word was taken out.
-GAP = np.uint64(0)
+GAP = b""
 SCHEMA = "doc_id bigint, n_paragraphs int, hits array<struct<line:int,family:string,probability:double,similarity:double,confirmed:boolean>>"
 
 #: Notices of public licences by family.
@@ -153,15 +153,9 @@ def telling(words: list[bytes]) -> set[tuple[bytes, bytes]]:
     return {(a, b) for a, b in zip(words, words[1:]) if a not in COMMON or b not in COMMON}
 
 
-def gram_parts(h: np.ndarray, bits: int = BITS) -> list[np.ndarray]:
-    """Hashed runs of one, two and three words, by where they begin."""
-    m = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0x165667B19E3779F9))
-    runs = [h * m[0], h[:-1] * m[1] + h[1:] * m[2], h[:-2] * m[2] + h[1:-1] * m[0] + h[2:] * m[1]]
-    return [((x ^ (x >> np.uint64(31))) * m[1] >> np.uint64(64 - bits)).astype(np.int64) for x in runs]
-
-
-def grams(h: np.ndarray, bits: int = BITS) -> np.ndarray:
-    return np.concatenate(gram_parts(h, bits))
+def grams(words: list[bytes]) -> Iterator[tuple[bytes, ...]]:
+    """Runs of one, two and three words."""
+    return chain(zip(words), zip(words, words[1:]), zip(words, words[1:], words[2:]))
 
 
 def shares(own: set, template: set) -> float:
@@ -173,7 +167,7 @@ def shares(own: set, template: set) -> float:
 @dataclass
 class Scanner:
     families: list[str]
-    slot: np.ndarray  # per hash cell its row of weights; row 0 is of n-grams that no template has
+    rows: dict[tuple[bytes, ...], int]  # of the n-grams that templates have
     weights: np.ndarray
     bias: np.ndarray
     temperature: float
@@ -182,26 +176,32 @@ class Scanner:
 
     def __post_init__(self) -> None:
         self.pairs = {f: [telling(words_of(t.encode())) for t in TEMPLATES[f]] for f in self.families[1:]}
-        # What an n-gram can add to a family's lead over unknown at most, and the lead that ``bar`` asks for.
-        self.gain = np.maximum((self.weights[:, 1:] - self.weights[:, :1]).max(axis=1), 0).astype(np.float64)
+        # What an n-gram can add to a family's lead over unknown at most, by first word; and the lead that ``bar`` asks for.
+        gain = np.maximum((self.weights[:, 1:] - self.weights[:, :1]).max(axis=1), 0).astype(np.float64)
+        self.begins: dict[bytes, dict[tuple[bytes, ...], float]] = {}
+        for g, row in self.rows.items():
+            self.begins.setdefault(g[0], {})[g[1:]] = float(gain[row])
         self.asked = self.temperature * np.log(self.bar / (1 - self.bar)) - float((self.bias[1:] - self.bias[0]).max())
 
-    def probabilities(self, at: np.ndarray) -> np.ndarray:
-        z = (self.bias + self.weights[self.slot[np.unique(at)]].sum(axis=0)) / self.temperature
+    def probabilities(self, words: list[bytes]) -> np.ndarray:
+        at = list({self.rows[g] for g in grams(words) if g in self.rows})
+        z = (self.bias + self.weights[at].sum(axis=0)) / self.temperature
         z = np.exp(z - z.max())
         return z / z.sum()
 
-    def hopeful(self, h: np.ndarray, starts: list[int], stops: list[int]) -> list[int]:
-        """Which of the pieces of a text, given by their places in its word hashes, could reach ``bar``."""
-        reach = sum(np.concatenate([g, np.zeros(len(h) - len(g))]) for g in (self.gain[self.slot[x]] for x in gram_parts(h)))
-        total = np.concatenate([[0.0], np.cumsum(reach)])
-        return np.flatnonzero(total[stops] - total[starts] >= self.asked - 1e-6).tolist()
+    def hopeful(self, words: list[bytes]) -> bool:
+        """Whether the words could reach ``bar``: what their n-grams can add at most is enough."""
+        reach = 0.0
+        for i in [i for i, w in enumerate(words) if w in self.begins]:
+            add = self.begins[words[i]]
+            reach += add.get((), 0.0) + add.get((*words[i + 1 : i + 2],), 0.0) * (i + 1 < len(words)) + add.get((*words[i + 1 : i + 3],), 0.0) * (i + 2 < len(words))
+        return reach >= self.asked - 1e-6
 
-    def judge(self, words: list[bytes], h: np.ndarray) -> list[tuple[str, float, float, bool]]:
+    def judge(self, words: list[bytes]) -> list[tuple[str, float, float, bool]]:
         """(family, probability, similarity, confirmed) for the families that a piece names, one after another."""
-        out, words, h = [], list(words), h.copy()
+        out, words = [], list(words)
         while len(out) < len(self.families):
-            p = self.probabilities(grams(h))
+            p = self.probabilities(words)
             k = int(np.argmax(p[1:])) + 1
             if p[k] < self.bar:
                 break
@@ -214,27 +214,27 @@ class Scanner:
             if not goes:
                 break
             for i in goes:
-                words[i], h[i] = b"", GAP
+                words[i] = GAP
         return out
 
-    def scan(self, text: bytes, ids: WordIds) -> tuple[int, list[tuple[int, str, float, float, bool]]]:
+    def scan(self, text: bytes) -> tuple[int, list[tuple[int, str, float, float, bool]]]:
         """The number of paragraphs, and (line, family, probability, similarity, confirmed) for those named."""
-        words, lines, starts, stops = [], [], [], []
+        n, best = 0, {}
         for line, raw in enumerate(text.split(b"\n")):
-            if own := words_of(raw):
-                at = range(len(words), len(words) + max(1, len(own) - PIECE // 2), PIECE // 2)
-                words += own
-                starts += at
-                stops += [min(s + PIECE, len(words)) for s in at]
-                lines += [line] * len(at)
-        best: dict[tuple[int, str], tuple[int, str, float, float, bool]] = {}
-        h = ids.of(words)
-        for i in self.hopeful(h, starts, stops) if starts else ():
-            for named in self.judge(words[starts[i] : stops[i]], h[starts[i] : stops[i]]):
-                got, key = (lines[i], *named), (lines[i], named[0])
-                best[key] = max(best.get(key, got), got, key=lambda x: (x[4], x[2]))
+            words = words_of(raw)
+            if not words:
+                continue
+            starts = range(0, max(1, len(words) - PIECE // 2), PIECE // 2)
+            n += len(starts)
+            if not self.hopeful(words):  # then none of its pieces is
+                continue
+            for s in starts:
+                piece = words[s : s + PIECE]
+                for named in self.judge(piece) if len(starts) == 1 or self.hopeful(piece) else ():
+                    got, key = (line, *named), (line, named[0])
+                    best[key] = max(best.get(key, got), got, key=lambda x: (x[4], x[2]))
         sure = {line for line, _, _, _, confirmed in best.values() if confirmed}
-        return len(starts), sorted(x for x in best.values() if x[4] or x[0] not in sure)
+        return n, sorted(x for x in best.values() if x[4] or x[0] not in sure)
 
 
 def examples(background: list[bytes], seed: int = 0) -> list[tuple[list[bytes], int]]:
@@ -265,15 +265,12 @@ def examples(background: list[bytes], seed: int = 0) -> list[tuple[list[bytes],
 def learn(background: list[bytes], bar: float = 0.5, near: float = 0.5, epochs: int = 8, rate: float = 0.5, decay: float = 1e-5) -> Scanner:
     """Softmax regression with a step size per weight, then a temperature on every fifth example."""
     families = [UNKNOWN, *TEMPLATES]
-    ids = WordIds()
     made = examples(background)
-    cells = np.unique(np.concatenate([grams(ids.of(words_of(t.encode()))) for ts in TEMPLATES.values() for t in ts]))
-    slot = np.zeros(1 << BITS, np.int16)
-    slot[cells] = np.arange(1, len(cells) + 1)
-    rows = [(at[at > 0], c) for w, c in made for at in [slot[np.unique(grams(ids.of(w)))]]]
+    known = {g: row for row, g in enumerate(sorted({g for ts in TEMPLATES.values() for t in ts for g in grams(words_of(t.encode()))}))}
+    rows = [(np.array(sorted({known[g] for g in grams(w) if g in known}), np.int64), c) for w, c in made]
     share = [sum(c > 0 for _, c in rows) / max(1, sum(c == 0 for _, c in rows)), 1.0]
     held, kept = rows[::5], [x for i, x in enumerate(rows) if i % 5]
-    w, b = np.zeros((len(cells) + 1, len(families))), np.zeros(len(families))
+    w, b = np.zeros((len(known), len(families))), np.zeros(len(families))
     gw, gb = np.full_like(w, 1e-2), np.full_like(b, 1e-2)
     r = Random(1)
     for _ in range(epochs):
@@ -297,7 +294,7 @@ def learn(background: list[bytes], bar: float = 0.5, near: float = 0.5, epochs:
         s = s - s.max(axis=1, keepdims=True)
         return float((np.log(np.exp(s).sum(axis=1)) - s[np.arange(len(y)), y]).mean())
 
-    return Scanner(families, slot, w.astype(np.float32), b, min(np.geomspace(0.25, 8, 41), key=loss), bar, near)
+    return Scanner(families, known, w, b, min(np.geomspace(0.25, 8, 41), key=loss), bar, near)
 
 
 def train(docs: DataFrame, background: int = BACKGROUND, lines: int = LINES, **settings) -> Scanner:
@@ -315,9 +312,8 @@ def scan(docs: DataFrame, scanner: Scanner) -> DataFrame:
     kind = pa.list_(pa.struct(fields))
 
     def run(batches: Iterator[dict]) -> Iterator[dict]:
-        ids = WordIds()
         for b in batches:
-            got = [sent.value.scan(t, ids) for t in b["text"].to_pylist()]
+            got = [sent.value.scan(t) for t in b["text"].to_pylist()]
             hits = [[dict(zip([n for n, _ in fields], h, strict=True)) for h in x] for _, x in got]
             yield {"doc_id": b["doc_id"].cast(pa.int64()), "n_paragraphs": pa.array([n for n, _ in got], pa.int32()), "hits": pa.array(hits, kind)}
 
