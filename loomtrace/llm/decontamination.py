@@ -16,8 +16,8 @@ only there: a banded alignment, free at both ends of the document, gives the
 exact number of edits. The lemma loses no match. Hits are expanded ``HITS`` at a
 time, so a q-gram that many items share costs time, not memory.
 
-The benchmark is what is broadcast, as an index of about 16 bytes a character
-(hash and place of each q-gram, a bitmap before them, the text). It is taken in
+The benchmark is what is broadcast, as an index of 19 to 25 bytes a
+character (hash and place of each q-gram, a table of cells before them, the text). It is taken in
 blocks of at most ``BLOCK`` characters, counted before: one pass over the
 documents for each, with the index of that block alone. Between the passes of
 ``keep_clean`` its documents are written. Documents are never shuffled.
@@ -160,32 +160,44 @@ class Index:
         order = np.argsort(every, kind="stable")
         long = np.array(length, np.int64)
         edits = np.array([budget(m) for m in length], np.int64)
-        bits = max(10, int(16 * len(every)).bit_length())
+        bits = max(10, int(6 * len(every)).bit_length())
         shift = np.uint64(64 - bits)
-        maybe = np.zeros(1 << (bits - 3), np.uint8)
-        cell = (every * BASE) >> shift
-        np.bitwise_or.at(maybe, (cell >> np.uint64(3)).astype(np.int64), np.left_shift(np.uint8(1), (cell & np.uint64(7)).astype(np.uint8)))
+        maybe = np.zeros(1 << bits, np.bool_)
+        maybe[(every * BASE) >> shift] = True
         return cls("".join(ids), list(ids.values()), np.array(owner, np.int32), np.array(start, np.int64), long, edits, long - Q + 1 - edits * Q, every[order], where[order], maybe, shift, dict(short))
 
     def _hits(self, h: np.ndarray) -> np.ndarray:
         """Positions that may be in the index, in some stretch as long as a match with as many of them as the least demanding piece needs."""
-        cell = (h * BASE) >> self.shift
-        hit = (self.maybe[(cell >> np.uint64(3)).astype(np.int64)] >> (cell & np.uint64(7)).astype(np.uint8)) & np.uint8(1)
-        need, width = int(self.need.min()), PIECE + int(self.edits.max())
-        before = np.concatenate([[0], np.cumsum(hit, dtype=np.int64)])
-        if before[-1] < need:
+        hit = self.maybe[(h * BASE) >> self.shift]
+        need, width, n = int(self.need.min()), PIECE + int(self.edits.max()), len(hit)
+        if np.count_nonzero(hit) < need:
             return np.zeros(0, np.int64)
-        n = len(hit)
+        before = np.concatenate([[0], np.cumsum(hit, dtype=np.int64)])
         starts = np.flatnonzero(before[np.minimum(np.arange(n) + width, n)] - before[:-1] >= need)
         cover = np.zeros(n + width + 1, np.int32)
         cover[starts] += 1
         cover[starts + width] -= 1
-        return np.flatnonzero((hit > 0) & (np.cumsum(cover)[:n] > 0))
+        return np.flatnonzero(hit & (np.cumsum(cover)[:n] > 0))
+
+    def _crowded(self, diagonal: np.ndarray) -> np.ndarray:
+        """Which hits lie on diagonals of the whole block with as many hits as the least demanding piece needs."""
+        band, inside = np.divmod(diagonal, BAND)
+        also = inside < 2 * int(self.edits.max())
+        keys, counts = np.unique(np.concatenate([band, band[also] - 1]), return_counts=True)
+        full = keys[counts >= self.need.min()]
+        if not len(full):
+            return np.zeros(len(band), np.bool_)
+        here = lambda b: full[np.minimum(np.searchsorted(full, b), len(full) - 1)] == b
+        return here(band) | (also & here(band - 1))
 
     def _bands(self, h: np.ndarray) -> Iterator[tuple[int, int]]:
         """(piece, band) with as many hits as the lemma asks for."""
         pos = self._hits(h)
+        if not len(pos):
+            return
         lo, hi = (np.searchsorted(self.hashes, h[pos], side) for side in ("left", "right"))
+        if np.count_nonzero(hi > lo) < self.need.min():
+            return
         before = np.concatenate([[0], np.cumsum(hi - lo)])
         wide = len(h) // BAND + PIECE
         keys, counts = np.zeros(0, np.int64), np.zeros(0, np.int64)
@@ -193,6 +205,11 @@ class Index:
             flat = np.arange(f, min(f + HITS, int(before[-1])))
             p = np.searchsorted(before, flat, "right") - 1
             place = self.where[lo[p] + flat - before[p]].astype(np.int64)
+            if before[-1] <= HITS:  # all at once: what no piece can have is passed over before pieces are told apart
+                near = self._crowded(pos[p] - place)
+                if not near.any():
+                    return
+                p, place = p[near], place[near]
             piece = np.searchsorted(self.start, place, "right") - 1
             got = [keys]
             # The pieces that hold a q-gram are the last few that begin at or before it.
