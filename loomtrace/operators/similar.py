@@ -68,11 +68,14 @@ def classes(items: DataFrame, like: Likeness, order: list[Column], key: str = "i
     return marked.join(first, [group, "class"]).withColumn("rep", F.col("first.k")).drop("class", "first")
 
 
-def _signature(tokens: str) -> Column:
-    """A set as four words of 64 bits, a bit for each token by hash."""
-    place = lambda x: F.pmod(F.xxhash64(x), F.lit(256))
-    bit = lambda x: F.call_function("shiftleft", F.lit(1).cast("bigint"), (place(x) % 64).cast("int"))
-    word = lambda k: F.aggregate(F.filter(tokens, lambda x: F.floor(place(x) / 64) == k), F.lit(0).cast("bigint"), lambda a, x: a.bitwiseOR(bit(x)))
+def _places(tokens: str) -> Column:
+    """For each token one of 256 places by hash."""
+    return F.transform(tokens, lambda x: F.pmod(F.xxhash64(x), F.lit(256)).cast("int"))
+
+
+def _signature(places: str) -> Column:
+    """A set as four words of 64 bits, one set for each place."""
+    word = lambda k: F.aggregate(places, F.lit(0).cast("bigint"), lambda a, x: F.when(x.between(64 * k, 64 * k + 63), a.bitwiseOR(F.call_function("shiftleft", F.lit(1).cast("bigint"), x % 64))).otherwise(a))
     return F.array(*map(word, range(4)))
 
 
@@ -92,13 +95,14 @@ def candidates(reps: DataFrame, like: Likeness, key: str, group: str) -> DataFra
     """
     strong, weak = ("t1", "t2") if like.strong == like.first else ("t2", "t1")
     heavy, light = max(like.weight_first, like.weight_second), min(like.weight_first, like.weight_second)
-    sets = reps.select(key, group, F.col(strong).alias("s"), F.struct(F.size(strong).alias("n"), F.size(weak).alias("m"), _signature(strong).alias("s"), _signature(weak).alias("w")).alias("q"))
-    each = sets.select(key, group, "q", F.explode(F.when(F.size("s") == 0, F.array(F.lit(EMPTY))).otherwise(F.col("s"))).alias("token"))
+    placed = reps.select(key, group, _places(strong).alias("s"), _places(weak).alias("w"))
+    prints = placed.select(key, group, F.struct(F.size("s").alias("n"), F.size("w").alias("m"), _signature("s").alias("s"), _signature("w").alias("w")).alias("q"))
+    each = reps.select(key, group, F.explode(F.when(F.size(strong) == 0, F.array(F.lit(EMPTY))).otherwise(F.col(strong))).alias("token"))
     rarity = each.groupBy(group, "token").agg(F.count("*").alias("df"))
-    ordered = each.join(rarity, [group, "token"]).groupBy(key, group).agg(F.sort_array(F.collect_list(F.struct("df", "token"))).alias("by_df"), F.first("q").alias("q"))
+    ordered = each.join(rarity, [group, "token"]).groupBy(key, group).agg(F.sort_array(F.collect_list(F.struct("df", "token"))).alias("by_df")).join(prints, [key, group])
     n = F.size("by_df")
     prefix = F.slice("by_df", 1, F.greatest(n - F.ceil(F.lit(like.bound) * n - 1e-9).cast("int") + 1, F.lit(1)))
-    probes = ordered.select(key, group, n.alias("n"), "q", F.posexplode(F.transform(prefix, lambda x: x["token"])).alias("i", "token"))
+    probes = stored(ordered.select(key, group, n.alias("n"), "q", F.posexplode(F.transform(prefix, lambda x: x["token"])).alias("i", "token")))
     a, b = (probes.select(group, "token", F.col(key).alias(x), F.col("n").alias(f"n{x}"), F.col("q").alias(f"q{x}"), F.col("i").alias(f"i{x}")) for x in "ab")
     most = lambda n, s: _at_most(F.col(f"qa.{n}"), F.col(f"qb.{n}"), f"qa.{s}", f"qb.{s}")
     near = (F.col("a") < F.col("b")) & (F.least("na", "nb") >= F.greatest("na", "nb") * like.bound - 1e-9) & (heavy * most("n", "s") + light * most("m", "w") >= like.threshold - 1e-9)
