@@ -285,16 +285,8 @@ def laid_out(spark: SparkSession, d: str) -> tuple[DataFrame, str]:
     Every tenth is a helper's file, named so or so, and every tenth has another ending: these are no sessions.
     """
     rows, folder = lines(spark, d, LINES_A), shared_folder(spark)
-    rows.repartition("session_id").sortWithinPartitions("session_id", "line_no").select("session_id", "line").write.partitionBy("session_id").text(folder)
-    store = Store(spark, folder)
-    for name in store._children(folder):
-        if name.startswith("session_id="):
-            s = name.removeprefix("session_id=")
-            end = {7: f"agent-{s}.jsonl", 8: f"x-agent-{s}.jsonl", 9: f"{s}.txt"}.get(int(s) % 10, f"{s}.jsonl")
-            for part in store._children(f"{folder}/{name}"):
-                if part.startswith("part-"):
-                    fs, at = store._fs(f"{folder}/{name}/{part}")
-                    fs.rename(at, store._fs(f"{folder}/{name}/{end}")[1])
+    name = F.expr("concat(CASE conv_id % 10 WHEN 7 THEN 'agent-' WHEN 8 THEN 'x-agent-' ELSE '' END, session_id, CASE conv_id % 10 WHEN 9 THEN '.txt' ELSE '.jsonl' END)")
+    src.write_files(rows.withColumn("conv_id", F.col("session_id").cast("bigint")).select(name.alias("name"), "line_no", "line"), folder)
     return rows, folder
 
 
@@ -313,7 +305,8 @@ def source_read_bytes(spark: SparkSession, d: str) -> DataFrame:
     """One file from its third line on; numbers count from 1."""
     rows, folder = laid_out(spark, d)
     at = rows.where("session_id = '0' AND line_no < 2").agg(F.sum("byte_length")).first()[0]
-    return src.read_bytes(spark, f"{folder}/session_id=0/0.jsonl", at).select("session_id", "line_no", "byte_offset", "byte_length", "line")
+    path = src.files(spark, folder).where(src.session_id(F.col("path")) == "0").select("path").first()[0]
+    return src.read_bytes(spark, path, at).select("session_id", "line_no", "byte_offset", "byte_length", "line")
 
 
 #: State as an earlier visit left it: of four sessions one is unchanged, one has grown since its second line, one was longer, one is unknown.

@@ -169,3 +169,21 @@ def test_tail_pieces_cut_anywhere(tmp_path):
         path.write_bytes(b"anew\n")
         end = {p: v for p, v in reader.latestOffset().items() if p == str(path)}
         assert [x[1:] for p in reader.partitions(start, end) for x in reader.read(p)] == [(str(path), 0, 0, 5, "anew", True)]
+
+
+def test_files_are_written_whole_by_tasks(spark, tmp_path):
+    rows = spark.createDataFrame([(f"{n % 40}.jsonl", n // 40, f"é {n}") for n in range(4000)], "name string, line_no bigint, line string")
+    lines.write_files(rows.repartition(8), f"file://{tmp_path}")
+    found = {p.name: p.read_text() for p in tmp_path.rglob("*") if p.is_file()}
+    assert found == {f"{k}.jsonl": "".join(f"é {k + 40 * i}\n" for i in range(100)) for k in range(40)}
+    assert len(list(tmp_path.iterdir())) <= lines.FOLDERS
+
+
+def test_a_file_meets_its_messages_once(spark, tmp_path):
+    path = tmp_path / "7.jsonl"
+    path.write_bytes(b"".join(b'{"n":%d}\n' % n for n in range(500)))
+    wanted = lines.scan(spark, str(tmp_path)).select("session_id", F.col("line_no").alias("sequence_num"), "byte_offset", "byte_length")
+    sessions = spark.createDataFrame([("7", str(path), None)], "id string, file_path string, archived_file_path string")
+    got = lines.content_at(spark, wanted, sessions, [str(tmp_path)])
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.index("Generate") < plan.index("Join") and {r.content for r in got.collect()} == {f'{{"n":{n}}}' for n in range(500)}
