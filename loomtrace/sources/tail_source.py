@@ -3,8 +3,7 @@
 Spark's own file stream reads a file once. Here every micro-batch takes, of each
 file, the lines that were ended since the last one; a file that has become shorter
 is read again from its start, its rows marked ``restarted``. The driver looks at
-names and sizes only; bytes are read in the tasks, one for each file that has
-grown. A line that is not ended yet waits: the task that sees its end goes back to
+names and sizes only; bytes are read in the tasks, small files many to a task. A line that is not ended yet waits: the task that sees its end goes back to
 where it began. Lines are numbered from the file's start; a worker remembers how
 far it had counted a file, one that has not met it before counts from the start.
 
@@ -25,17 +24,26 @@ from pyspark.sql.datasource import DataSource, DataSourceStreamReader, InputPart
 from .lines import NOT_A_SESSION, cut_lines
 
 CHUNK = 4 << 20
+#: New bytes and files after which the next task begins; a file is never shared between tasks.
+TASK_BYTES, TASK_FILES = 16 << 20, 256
 #: In a worker: (path, how often it became shorter) -> a line's beginning and its number.
 _COUNTED: dict[tuple[str, int], tuple[int, int]] = {}
 
 SCHEMA = "session_id string, path string, line_no bigint, byte_offset bigint, byte_length bigint, line string, restarted boolean"
 
 
-class Piece(InputPartition):
+class Piece:
     def __init__(self, path: str, start: int, stop: int, turns: int, restarted: bool):
         self.path, self.start, self.stop, self.turns, self.restarted = path, start, stop, turns, restarted
 
 
+class Pieces(InputPartition):
+    """What one task reads."""
+
+    def __init__(self, pieces: list[Piece]):
+        self.pieces = pieces
+
+
 def line_before(f: BinaryIO, start: int, known: tuple[int, int] = (0, 0)) -> tuple[int, int]:
     """Where the line that holds the byte at ``start`` begins, and its number. ``known``: the same of a place before."""
     begin, number = known if known[0] <= start else (0, 0)
@@ -76,18 +84,26 @@ class TailReader(DataSourceStreamReader):
         self.last = now
         return {p: json.dumps(v) for p, v in sorted(now.items())}
 
-    def partitions(self, start: dict, end: dict) -> list[Piece]:
-        out = []
+    def partitions(self, start: dict, end: dict) -> list[Pieces]:
+        out, size = [], 0
         for path, to in end.items():
             stop, turns = json.loads(to)
             was, before = json.loads(start[path]) if path in start else (0, 0)
             begin = 0 if turns != before else was
             if stop > begin:
-                out.append(Piece(path, begin, stop, turns, turns != before))
+                if not out or size >= TASK_BYTES or len(out[-1].pieces) >= TASK_FILES:
+                    out.append(Pieces([]))
+                    size = 0
+                out[-1].pieces.append(Piece(path, begin, stop, turns, turns != before))
+                size += stop - begin
             self.last.setdefault(path, [stop, turns])
         return out
 
-    def read(self, piece: Piece) -> Iterator[tuple]:
+    def read(self, task: Pieces) -> Iterator[tuple]:
+        for piece in task.pieces:
+            yield from self._lines(piece)
+
+    def _lines(self, piece: Piece) -> Iterator[tuple]:
         key = (piece.path, piece.turns)
         with open(piece.path, "rb") as f:
             begin, number = line_before(f, piece.start, _COUNTED.get(key, (0, 0)))

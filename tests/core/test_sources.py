@@ -187,3 +187,13 @@ def test_a_file_meets_its_messages_once(spark, tmp_path):
     got = lines.content_at(spark, wanted, sessions, [str(tmp_path)])
     plan = got._jdf.queryExecution().optimizedPlan().toString()
     assert plan.index("Generate") < plan.index("Join") and {r.content for r in got.collect()} == {f'{{"n":{n}}}' for n in range(500)}
+
+
+def test_small_files_share_tasks(tmp_path):
+    from loomtrace.sources import tail_source
+
+    for n in range(600):
+        (tmp_path / f"{n}.jsonl").write_bytes(b"%d\n" % n)
+    reader = tail_source.TailReader(str(tmp_path))
+    tasks = reader.partitions({}, reader.latestOffset())
+    assert len(tasks) == 3 and sorted(int(x[5]) for t in tasks for x in reader.read(t)) == list(range(600))
