@@ -124,21 +124,21 @@ class Engine:
     # Search
 
     def _texts(self, name: str) -> tuple[DataFrame, str, Column]:
-        """What is searched of a table: its rows, their key, and their terms."""
+        """What is searched of a table: its rows, their key, and their text."""
         if name == "session_messages":
-            return self.table(name).withColumn("doc", F.struct("session_id", "sequence_num")), "doc", terms(F.col("search_content"))
+            return self.table(name).withColumn("doc", F.struct("session_id", "sequence_num")), "doc", F.col("search_content")
         columns, lists = {"memories": (("title", "content", "context"), "tags"), "skills": (("name", "description"), "steps")}[name]
-        return self.table(name), "id", terms(F.concat_ws(" ", *columns, F.array_join(lists, " ")))
+        return self.table(name), "id", F.concat_ws(" ", *columns, F.array_join(lists, " "))
 
     def index(self, name: str = "session_messages") -> DataFrame:
         """Postings of a table, to be stored and given to searches."""
-        rows, key, found = self._texts(name)
-        return search.postings(rows, key, tokens=found)
+        rows, key, text = self._texts(name)
+        return search.postings(rows, key, tokens=terms(text))
 
     def _hits(self, name: str, query: str, index: DataFrame | None, among: DataFrame | None = None) -> DataFrame:
         """By an index, or without one in a single pass over the texts."""
-        rows, key, found = self._texts(name)
-        return search.scan(rows, key, found, query, among=among) if index is None else search.search(index, key, query, among=among)
+        rows, key, text = self._texts(name)
+        return search.scan_text(rows, key, text, query, among=among) if index is None else search.search(index, key, query, among=among)
 
     def search_messages(self, query: str, project_id: str | None = None, session_id: str | None = None, role: str | None = None, has_code: bool = False, limit: int = 100, index: DataFrame | None = None) -> DataFrame:
         scoped = self.table("session_messages").where(search.message_scope(role, has_code))

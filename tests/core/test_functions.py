@@ -107,3 +107,23 @@ def test_project_name_on_disk():
     there = {"/home", "/home/me", "/home/me/app"}
     name = lambda f: t.project_name_on_disk(f, there.__contains__)
     assert [name(x) for x in ("-home-me-app", "-home-me-my-tool", "-gone-away-x", "plain", "-")] == ["app", "my-tool", "x", "plain", "-"]
+
+
+def test_counts_of_leaves_stem_only_what_can_match(spark, monkeypatch):
+    from loomtrace.functions import tokens
+
+    seen = []
+    monkeypatch.setattr(tokens, "known_stem", lambda w: seen.append(w) or tokens.Porter.stem(w))
+    run = tokens.leaf_counts([(["licens"], False), (["under", "th"], True)])
+    counts = run.func.__closure__[0].cell_contents
+    assert counts("Under the licence: LICENSED, licensing under  that; zebra, under") == [9, 2, 2] and "zebra" not in seen
+    assert counts(None) == [0, 0, 0]
+
+
+def test_postings_need_no_shuffle(spark):
+    from loomtrace.operators import search
+
+    docs = spark.createDataFrame([(1, "a b a"), (2, None), (3, "b")], "id bigint, text string")
+    index = search.postings(docs, "id", "text")
+    assert "Exchange" not in index._jdf.queryExecution().executedPlan().toString()
+    assert sorted((r.id, r.term, r.positions, r.n_terms) for r in index.collect()) == [(1, "a", [0, 2], 3), (1, "b", [1], 3), (3, "b", [0], 1)]
