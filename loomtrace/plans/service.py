@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..api import Engine
 from ..functions import jsons as j
 from ..functions import text as t
-from ..functions.tokens import tokenize
+from ..functions.tokens import token_set
 from ..operators import browse, changes, extract, similar
 from ..operators.staging import shared_folder
 from .registry import query, table
@@ -279,7 +279,7 @@ def tokens_sql(text: str) -> str:
 
 @query("similarity_tokens", f"SELECT doc_id, array_to_string({tokens_sql('text')}, ' ') AS tokens FROM documents")
 def similarity_tokens(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "documents").select("doc_id", F.array_join(F.sort_array(F.array_distinct(tokenize("text"))), " ").alias("tokens"))
+    return table(spark, d, "documents").select("doc_id", F.array_join(token_set("text"), " ").alias("tokens"))
 
 
 def _jaccard_sql(a: str, b: str) -> str:

@@ -377,3 +377,20 @@ def test_few_candidates_beyond_the_links(spark):
     tried = {(x.a, x.b) for x in similar.candidates(reps, similar.MEMORY, "id", "project_id").collect()}
     sharing = sum(bool(set(a[2].split()) & set(b[2].split())) for k, a in enumerate(rows) for b in rows[:k])
     assert len(sure) >= 75 and sure <= tried and len(tried) < 0.1 * sharing
+
+
+def test_links_by_many_common_tokens(spark, monkeypatch):
+    """Where many sets meet at a token, they meet at two, three or four of them: as brute force has it, with small sets, empty ones and hot titles."""
+    monkeypatch.setattr(similar, "LARGE", 2)
+    monkeypatch.setattr(similar, "PAIRS", 50)
+    r = random.Random(9)
+    words, more = [f"w{i}" for i in range(9)], [f"x{i}" for i in range(30)]
+    rows = [(i, i % 2, sorted(r.sample(words, r.randint(0, 7))), sorted(r.sample(more, r.choice([0, 1, 2, 20, 24, 28])))) for i in range(150)]
+    rows += [(200 + i, i % 2, ["hot", "one"], sorted(r.sample(more, 24))) for i in range(40)]
+    rows = list({(str(t), str(c)): (k, g, t, c) for k, g, t, c in rows}.values())
+    reps = spark.createDataFrame(rows, "id bigint, fresh int, t1 array<string>, t2 array<string>").withColumn("project_id", F.lit("p"))
+    jac = lambda a, b: 1.0 if not a and not b else len(set(a) & set(b)) / len(set(a) | set(b))
+    for like in (similar.MEMORY, similar.MEMORY_CLEANUP, similar.SKILL):
+        true = {(a[0], b[0]): a[1] + b[1] for a in rows for b in rows if a[0] < b[0] and like.weight_first * jac(a[2], b[2]) + like.weight_second * jac(a[3], b[3]) >= like.threshold - 1e-12}
+        assert {(x.a, x.b) for x in similar.links(reps, like, "id", "project_id").collect()} == set(true)
+        assert {(x.a, x.b) for x in similar.links(reps, like, "id", "project_id", F.col("fresh") == 1).collect()} == {p for p, n in true.items() if n}
