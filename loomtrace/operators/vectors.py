@@ -80,16 +80,22 @@ def to_blob(vector: Column) -> Column:
 def hashed_embedder(dimensions: int = 384) -> Embedder:
     """A stand-in without a model: a hashed bag of tokens at unit length."""
 
-    def embed(texts: list[str]) -> np.ndarray:
-        import zlib
+    import zlib
+    from functools import lru_cache
+
+    from ..functions.tokens import hybrid_tokens
 
-        from ..functions.tokens import hybrid_tokens
+    @lru_cache(1 << 16)
+    def place(token: str) -> int:
+        """Where a token counts; up in the first half, down in the second."""
+        h = zlib.crc32(token.encode())
+        return h % dimensions + (0 if h & 1 << 31 else dimensions)
 
+    def embed(texts: list[str]) -> np.ndarray:
         out = np.zeros((len(texts), dimensions), np.float32)
         for i, t in enumerate(texts):
-            for w in hybrid_tokens(t or ""):
-                h = zlib.crc32(w.encode())
-                out[i, h % dimensions] += 1 if h & 1 << 31 else -1
+            n = np.bincount(np.fromiter(map(place, hybrid_tokens(t or "")), np.int64), minlength=2 * dimensions)
+            out[i] = n[:dimensions] - n[dimensions:]
         return out / np.maximum(np.linalg.norm(out, axis=1, keepdims=True), 1e-9)
 
     return embed

@@ -127,3 +127,25 @@ def test_postings_need_no_shuffle(spark):
     index = search.postings(docs, "id", "text")
     assert "Exchange" not in index._jdf.queryExecution().executedPlan().toString()
     assert sorted((r.id, r.term, r.positions, r.n_terms) for r in index.collect()) == [(1, "a", [0, 2], 3), (1, "b", [1], 3), (3, "b", [0], 1)]
+
+
+def test_token_sets_and_places_learn_a_word_once(spark, monkeypatch):
+    import zlib
+
+    from loomtrace.functions import tokens
+    from loomtrace.operators import vectors
+
+    cases = ["Testing tests TESTED, and the the Cats 日本語の cats ab é", "日", "x", "", "Ünïted things things", "a b cc cc"]
+    assert [tokens.distinct_tokens(x) for x in cases] == [sorted(set(hybrid_tokens(x))) for x in cases]
+    assert column(spark, [*cases, None], tokens.token_set) == [*(sorted(set(hybrid_tokens(x))) for x in cases), []]
+    calls, real = [], zlib.crc32
+    monkeypatch.setattr(zlib, "crc32", lambda b: calls.append(b) or real(b))
+    got = vectors.hashed_embedder(8)(["cat cat dog", "dog bird", ""])
+    assert sorted(calls) == [b"bird", b"cat", b"dog"]
+    for row, words in zip(got, (["cat", "cat", "dog"], ["dog", "bird"], [])):
+        own = [0.0] * 8
+        for w in words:
+            h = real(w.encode())
+            own[h % 8] += 1 if h & 1 << 31 else -1
+        norm = sum(x * x for x in own) ** 0.5
+        assert row.tolist() == pytest.approx([x / norm if norm else 0.0 for x in own])
