@@ -245,11 +245,9 @@ def marker_moments(found: DataFrame) -> DataFrame:
     """First answers (session_id, answer) -> (session_id, event_index, marker_type), each index once per type."""
     kind = "struct<markers:struct<" + ",".join(f"{m}:array<int>" for m in MARKERS) + ">>"
     got = found.select("session_id", F.from_json(salvage(F.col("answer"), ""), kind).alias("g"))
-    each = [got.select("session_id", F.explode(f"g.markers.{m}").alias("event_index"), F.lit(m).alias("marker_type")) for m in MARKERS]
-    out = each[0]
-    for x in each[1:]:
-        out = out.unionByName(x)
-    return out.distinct()
+    # One pass over the answers, whatever the number of types: the model is asked once.
+    typed = got.select("session_id", F.explode(F.array(*(F.struct(F.lit(m).alias("marker_type"), F.col(f"g.markers.{m}").alias("at")) for m in MARKERS))).alias("x"))
+    return typed.select("session_id", F.explode("x.at").alias("event_index"), F.col("x.marker_type").alias("marker_type")).distinct()
 
 
 def labelled_markers(moments: DataFrame, labels: DataFrame, now: Column) -> DataFrame:

@@ -394,3 +394,11 @@ def test_links_by_many_common_tokens(spark, monkeypatch):
         true = {(a[0], b[0]): a[1] + b[1] for a in rows for b in rows if a[0] < b[0] and like.weight_first * jac(a[2], b[2]) + like.weight_second * jac(a[3], b[3]) >= like.threshold - 1e-12}
         assert {(x.a, x.b) for x in similar.links(reps, like, "id", "project_id").collect()} == set(true)
         assert {(x.a, x.b) for x in similar.links(reps, like, "id", "project_id", F.col("fresh") == 1).collect()} == {p for p, n in true.items() if n}
+
+
+def test_answers_are_read_once_for_all_markers(spark):
+    prompts = spark.createDataFrame([("s", "p")], "session_id string, prompt string")
+    model = lambda: lambda prompt: '{"markers": {"bug": [2, 2], "ship": [5], "stuck": []}}'
+    found = extract.marker_moments(extract.ask(prompts, model, ["session_id"]))
+    assert {(x.session_id, x.event_index, x.marker_type) for x in found.collect()} == {("s", 2, "bug"), ("s", 5, "ship")}
+    assert found._jdf.queryExecution().optimizedPlan().toString().count("MapInPandas") == 1
