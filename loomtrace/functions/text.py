@@ -49,11 +49,15 @@ def squeeze(text: Column) -> Column:
     return F.trim(F.regexp_replace(text, r"(?U)\s+", " "))
 
 
-def preview(text: Column, n: int = 200) -> Column:
-    """Escape bytes and line-number prefixes dropped, white space collapsed, cut to ``n`` bytes."""
+def plain(text: Column) -> Column:
+    """Escape bytes and line-number prefixes dropped, white space collapsed."""
     lines = F.split(F.translate(text, "\x1b", ""), "\n")
-    plain = F.array_join(F.transform(lines, lambda x: F.regexp_replace(x, r"(?U)^\s*\d+→", "")), " ")
-    return cut_bytes(squeeze(plain), n)
+    return squeeze(F.array_join(F.transform(lines, lambda x: F.regexp_replace(x, r"(?U)^\s*\d+→", "")), " "))
+
+
+def preview(text: Column, n: int = 200) -> Column:
+    """`plain`, cut to ``n`` bytes. `cut_bytes` names its text several times: of many rows make `plain` a column first."""
+    return cut_bytes(plain(text), n)
 
 
 def elide(text: Column, role: Column, error: Column) -> Column:

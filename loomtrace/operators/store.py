@@ -19,6 +19,7 @@ import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from ..schema import KEYS, TABLES
 
@@ -30,6 +31,16 @@ BUCKETED = {"session_messages": "session_id", "sessions": "id", "file_state": "s
 Parts = dict[str, list[str]]
 
 
+class Keys:
+    """Sessions (one column, none twice) that several tables are asked for: the buckets they lie in are found once for all tables."""
+
+    def __init__(self, rows: DataFrame):
+        self.rows, self.found = rows, {}
+
+    def named(self, column: str) -> DataFrame:
+        return self.rows.select(F.col(self.rows.columns[0]).alias(column))
+
+
 class Store:
     """``buckets``: how many a table gets when it is first written, or written as a whole."""
 
@@ -82,10 +93,11 @@ class Store:
     # Data
 
     def empty(self, name: str) -> DataFrame:
-        return self.spark.createDataFrame([], TABLES[name])
+        # A plan that is empty by its text: joins with it are planned away.
+        return self.spark.range(0).where(F.lit(False)).select(*[F.lit(None).cast(f.dataType).alias(f.name) for f in StructType.fromDDL(TABLES[name])])
 
     def _shaped(self, rows: DataFrame, name: str) -> DataFrame:
-        schema = self.empty(name).schema
+        schema = StructType.fromDDL(TABLES[name])
         have = set(rows.columns)
         return rows.select(*[(F.col(f.name) if f.name in have else F.lit(None)).cast(f.dataType).alias(f.name) for f in schema])
 
@@ -107,10 +119,16 @@ class Store:
         dealt.sortWithinPartitions("bucket", *KEYS[name]).write.partitionBy("bucket").parquet(path)
         return {x.removeprefix("bucket="): [f"{folder}/{x}"] for x in self._children(path) if x.startswith("bucket=")}
 
-    def _touched(self, name: str, keys: DataFrame, buckets: int) -> list[str]:
+    def _touched(self, name: str, keys: DataFrame | Keys, buckets: int) -> list[str]:
         """The buckets of ``keys`` (the column that the table is dealt by); as many as there are buckets at most."""
-        column = BUCKETED[name]
-        return [str(r.b) for r in keys.select(self._bucket(column, buckets).alias("b")).distinct().collect()]
+        column, known = BUCKETED[name], keys.found if isinstance(keys, Keys) else {}
+        if buckets not in known:
+            rows = keys.named(column) if isinstance(keys, Keys) else keys
+            known[buckets] = [str(r.b) for r in rows.select(self._bucket(column, buckets).alias("b")).distinct().collect()]
+        return known[buckets]
+
+    def _once(self, name: str, keys: DataFrame | Keys) -> DataFrame:
+        return keys.named(BUCKETED[name]) if isinstance(keys, Keys) else keys.select(BUCKETED[name]).distinct()
 
     def _merged(self, name: str, version: dict) -> None:
         """Where FAN folders of a level have gathered they become one of the next."""
@@ -129,24 +147,27 @@ class Store:
     def read(self, name: str) -> DataFrame:
         return self._load(name, [p for folders in self._version(name)["parts"].values() for p in folders])
 
-    def of(self, name: str, keys: DataFrame) -> DataFrame:
+    def of(self, name: str, keys: DataFrame | Keys) -> DataFrame:
         """The rows of ``keys`` in a table in buckets; only the buckets that they lie in are read."""
         version, column = self._version(name), BUCKETED[name]
         touched = self._touched(name, keys, version["buckets"])
         rows = self._load(name, [p for b in touched for p in version["parts"].get(b, [])])
-        return rows.join(keys.select(column).distinct(), column, "left_semi")
+        return rows.join(self._once(name, keys), column, "left_semi")
 
     def write(self, name: str, rows: DataFrame, keep: int = 2) -> None:
         """``rows`` become the whole table; the versions before, all but the ``keep`` newest, go."""
         self._commit(name, {"buckets": self.buckets, "parts": self._put(name, rows, self.buckets), "last": [None, []]}, keep)
 
-    def append(self, name: str, rows: DataFrame, batch: str | None = None) -> None:
-        """Rows are added; messages only where their key is not there yet. The last named ``batch`` may come again: it counts once."""
+    def append(self, name: str, rows: DataFrame, batch: str | None = None, keys: Keys | None = None) -> None:
+        """Rows are added; messages only where their key is not there yet. The last named ``batch`` may come again: it counts once.
+
+        ``keys``: the sessions of messages, where they are known without a look at the rows.
+        """
         version = self._version(name)
         if batch is not None and version["last"][0] == batch:
             version["parts"] = {b: [p for p in folders if p not in version["last"][1]] for b, folders in version["parts"].items()}
         if name == "session_messages":
-            known = self.of(name, rows.select("session_id")).select(KEYS[name])
+            known = self.of(name, keys or rows.select("session_id")).select(KEYS[name])
             rows = rows.dropDuplicates(KEYS[name]).join(known, KEYS[name], "left_anti")
         self._merged(name, version)  # what was there before: the last batch stays in folders of its own
         made = self._put(name, rows, version["buckets"])
@@ -159,12 +180,12 @@ class Store:
         """This batch is the last that was added."""
         return batch is not None and self._version(name)["last"][0] == batch
 
-    def replace(self, name: str, rows: DataFrame, keys: DataFrame) -> None:
+    def replace(self, name: str, rows: DataFrame, keys: DataFrame | Keys) -> None:
         """All rows of ``keys`` give way to ``rows``; buckets they do not lie in stay untouched and unread."""
         version, column = self._version(name), BUCKETED[name]
         touched = self._touched(name, keys, version["buckets"])
         old = self._load(name, [p for b in touched for p in version["parts"].get(b, [])])
-        rest = old.join(keys.select(column).distinct(), column, "left_anti")
+        rest = old.join(self._once(name, keys), column, "left_anti")
         made = self._put(name, rest.unionByName(self._shaped(rows, name)), version["buckets"], level=1)
         for b in touched:
             version["parts"][b] = made.get(b, [])

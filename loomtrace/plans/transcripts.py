@@ -13,7 +13,7 @@ import re
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators.staging import shared_folder
+from ..operators.staging import shared_folder, stored
 from ..operators.store import Store
 from ..sources import lines as src
 from ..sources import messages, normalize
@@ -367,7 +367,7 @@ def _stored_sessions(store: Store) -> DataFrame:
 @query("ingest_batches", INGESTED_SQL.replace("first_batch", "3") + ", events::BIGINT AS n_events, 1::BIGINT AS n_projects FROM z LEFT JOIN k ON k.session_id = z.id")
 def ingest_batches(spark: SparkSession, d: str) -> DataFrame:
     """Two batches into a store, the second twice, as after a failure: sessions, file state, events and projects as if once. A title stays as it was first found."""
-    store, every = Store(spark, shared_folder(spark), buckets=4), lines(spark, d, LINES_A).withColumn("restarted", F.lit(False))
+    store, every = Store(spark, shared_folder(spark), buckets=4), stored(lines(spark, d, LINES_A).withColumn("restarted", F.lit(False)))
     now = F.expr("TIMESTAMP '2024-04-01 00:00:00'")
     for batch_id, part in ((0, "line_no < 3"), (1, "line_no >= 3"), (1, "line_no >= 3")):
         ingest.apply_lines(store, every.where(part), "claude_code", now, batch_id=str(batch_id))

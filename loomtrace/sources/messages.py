@@ -48,6 +48,7 @@ def calls(lines: DataFrame, key: str, types: tuple[str, ...], inputs: tuple[str,
 
 
 def _joined(lines: DataFrame, own: DataFrame, stored: DataFrame | None, parent: str) -> DataFrame:
+    """Lines that are JSON, with the call that they answer."""
     known = own if stored is None else own.unionByName(stored.join(own, ["session_id", "id"], "left_anti"))
     known = known.select("session_id", F.col("id").alias("parent"), "call_name", "call_input", "is_call")
     return _parsed(lines).withColumn("parent", j.text(F.col("v"), f"$.{parent}")).join(known, ["session_id", "parent"], "left")
@@ -84,8 +85,13 @@ def any_content(content: Column) -> Column:
     return F.when(j.kind(content) == "STRING", j.text(content)).when(blocks.isNotNull(), _said(blocks, "Thinking...\n\n", None, False)).otherwise(j.dump(content))
 
 
-def _arg(given: Column, name: str) -> Column:
-    return j.text(given, f"$.{name}")
+#: What is told of a call's input.
+ARGUMENTS = ("command", "file_path", "pattern", "description", "content")
+
+
+def _args(given: Column) -> dict[str, Column]:
+    """Columns of their own, as what is made of them names each several times."""
+    return {f"arg_{n}": j.text(given, f"$.{n}") for n in ARGUMENTS}
 
 
 #: Tool -> (argument that tells most, bytes it is cut to, text before it, text where it is missing); before other tools' names.
@@ -101,11 +107,11 @@ SUMMARIES = {
 OTHER_TOOL = "Used "
 
 
-def summary(tool: Column, given: Column, tenses: dict[str, tuple[str, str]], done: Column, either_case: bool) -> Column:
-    """One line for a tool call. tenses: tool -> (before the file's name, for a call; the same for a result)."""
+def summary(tool: Column, tenses: dict[str, tuple[str, str]], done: Column, either_case: bool) -> Column:
+    """One line for a tool call, of the columns of `_args`. tenses: tool -> (before the file's name, for a call; the same for a result)."""
     line = F.when(F.lit(False), F.lit(None).cast("string"))
     for name, (argument, most, before, missing) in SUMMARIES.items():
-        value = _arg(given, argument)
+        value = F.col(f"arg_{argument}")
         value = t.basename(value) if argument == "file_path" else t.cut_bytes(value, most) if most else value
         shown = F.concat(F.lit(before), value)
         if name in tenses:
@@ -129,11 +135,11 @@ def _finish(rows: DataFrame) -> DataFrame:
     return rows.withColumn("sequence_num", F.col("line_no")).withColumn("ts", F.try_to_timestamp("timestamp")).select(*OUT)
 
 
-def format_a(lines: DataFrame, stored: DataFrame | None = None) -> DataFrame:
+def format_a(lines: DataFrame, stored: DataFrame | None = None, own: DataFrame | None = None) -> DataFrame:
     """Format A: events of type user, assistant, system and file-history-snapshot."""
     v, content = F.col("v"), j.get(F.col("v"), "$.message.content")
     blocks = F.col("blocks")
-    base = _joined(lines, calls(lines, "uuid", ("tool_use",), ("input",)), stored, "parentUuid").withColumn("blocks", j.items(content))
+    base = _joined(lines, A.calls(lines) if own is None else own, stored, "parentUuid").withColumn("blocks", j.items(content))
     own = F.coalesce(j.text(v, "$.content"), F.lit(""))
     base = (
         base.withColumn("type", j.text(v, "$.type")).where(F.col("type").isin("user", "assistant", "system", "file-history-snapshot"))
@@ -164,22 +170,23 @@ def format_a(lines: DataFrame, stored: DataFrame | None = None) -> DataFrame:
     )
     tool = F.when(is_("result"), F.coalesce("call_name", guessed)).when(is_("call"), j.text(F.col("call"), "$.name"))
     given = F.when(is_("result"), j.parsed(F.col("call_input"))).when(is_("call"), j.get(F.col("call"), "$.input"))
-    base = base.withColumn("tool", tool).withColumn("given", given)
-    line = summary(F.coalesce("tool", F.lit("Tool")), F.col("given"), TENSES_A, is_("result"), False)
+    base = base.withColumn("tool", tool).withColumn("given", given).withColumns(_args(F.col("given")))
+    line = F.when(is_("result", "call"), summary(F.coalesce("tool", F.lit("Tool")), TENSES_A, is_("result"), False))
     content_of = (
         F.when(is_("meta", "ask"), F.col("asked")).when(is_("notice"), notice).when(is_("result"), returned).when(is_("answer"), F.col("told"))
         .when(is_("call"), F.concat(F.col("told"), F.lit(" "), j.dump(F.col("call")))).when(is_("system"), F.coalesce(j.text(v, "$.content"), j.dump(v))).otherwise("file history snapshot")
     )
-    base = base.withColumn("search_content", content_of).withColumn("line_of", line)
-    given, name = F.col("given"), F.coalesce("tool", F.lit("Tool"))
-    path = _arg(given, "file_path")
-    snippet = F.translate(F.left(_arg(given, "content"), F.lit(150)), "\n", " ")
+    # Previews are cut out of a column of its own: the expression would be worked out anew at each place that names it.
+    told = F.when(is_("call"), F.when(F.col("told") != "", F.col("told"))).when(~is_("snapshot"), F.col("search_content"))
+    base = base.withColumn("search_content", content_of).withColumn("line_of", line).withColumn("plain", t.plain(told))
+    name, path = F.coalesce("tool", F.lit("Tool")), F.col("arg_file_path")
+    snippet = F.translate(F.left("arg_content", F.lit(150)), "\n", " ")
     shown = (
-        F.when(name == "Bash", F.concat(F.lit("$ "), _arg(given, "command")))
+        F.when(name == "Bash", F.concat(F.lit("$ "), F.col("arg_command")))
         .when(name == "Write", F.coalesce(F.concat(F.lit("Write "), t.basename(path), F.lit(": "), snippet, F.lit("...")), F.concat(F.lit("Write "), t.basename(path))))
         .when(name == "Read", F.concat(F.lit("Read "), path))
     )
-    preview = F.when(is_("snapshot"), "File history snapshot").when(is_("call") & (F.col("told") == ""), F.coalesce(shown, F.col("line_of"))).when(is_("call"), t.preview(F.col("told"))).otherwise(t.preview(F.col("search_content")))
+    preview = F.when(is_("snapshot"), "File history snapshot").when(is_("call") & (F.col("told") == ""), F.coalesce(shown, F.col("line_of"))).otherwise(t.cut_bytes(F.col("plain"), 200))
     tokens = lambda n: F.when(is_("answer", "call"), j.whole(v, f"$.message.usage.{n}"))
     rows = base.withColumns({
         "role": F.when(is_("result", "ask"), "user").when(is_("call", "answer"), "assistant").otherwise("system"),
@@ -190,7 +197,7 @@ def format_a(lines: DataFrame, stored: DataFrame | None = None) -> DataFrame:
         "has_file_changes": is_("snapshot") | (is_("result") & F.coalesce(F.col("call_name").isin(*CHANGING_A), F.lit(False))),
         "tool_name": F.when(is_("meta"), "skill-prompt").when(is_("notice"), NOTICE).when(is_("snapshot"), "file-history-snapshot").otherwise(F.col("tool")),
         "tool_type": F.when(is_("result"), "result").when(is_("call"), "use"),
-        "tool_summary": F.when(is_("result", "call"), F.col("line_of")),
+        "tool_summary": F.col("line_of"),
         "input_tokens": tokens("input_tokens"), "output_tokens": tokens("output_tokens"),
         "cache_read_tokens": tokens("cache_read_input_tokens"), "cache_creation_tokens": tokens("cache_creation_input_tokens"),
         "model": F.when(is_("answer", "call"), j.text(v, "$.message.model")),
@@ -198,11 +205,11 @@ def format_a(lines: DataFrame, stored: DataFrame | None = None) -> DataFrame:
     return _finish(rows)
 
 
-def format_b(lines: DataFrame, stored: DataFrame | None = None) -> DataFrame:
+def format_b(lines: DataFrame, stored: DataFrame | None = None, own: DataFrame | None = None) -> DataFrame:
     """Format B: messages by role, and the start of the session."""
     v, content = F.col("v"), j.get(F.col("v"), "$.message.content")
     types = ("toolCall", "tool_use")
-    base = _joined(lines, calls(lines, "id", types, ("arguments", "input")), stored, "parentId").withColumn("blocks", j.items(content))
+    base = _joined(lines, B.calls(lines) if own is None else own, stored, "parentId").withColumn("blocks", j.items(content))
     role = j.text(v, "$.message.role")
     case = (
         F.when(j.text(v, "$.type") == "session", "session").when(j.text(v, "$.type") != "message", None)
@@ -224,8 +231,9 @@ def format_b(lines: DataFrame, stored: DataFrame | None = None) -> DataFrame:
         F.when(is_("session"), started).when(is_("ask"), t.without_time_prefix(anything)).when(is_("result"), anything)
         .when(is_("call"), F.concat(F.col("told"), F.lit(" "), j.dump(F.col("call")))).otherwise(F.col("told"))
     )
-    base = base.withColumn("tool", tool).withColumn("given", given).withColumn("search_content", content_of)
-    base = base.withColumn("line_of", summary(F.col("tool"), F.col("given"), {}, F.lit(False), True))
+    base = base.withColumn("tool", tool).withColumn("given", given).withColumn("search_content", content_of).withColumns(_args(F.col("given")))
+    told = F.when(is_("call"), F.when(F.col("told") != "", F.col("told"))).otherwise(F.col("search_content"))
+    base = base.withColumn("line_of", F.when(is_("result", "call"), summary(F.col("tool"), {}, F.lit(False), True))).withColumn("plain", t.plain(told))
 
     def tokens(new: str, old: str) -> Column:
         here = F.when(j.present(v, f"$.message.usage.{new}"), j.whole(v, f"$.message.usage.{new}")).otherwise(j.whole(v, f"$.message.usage.{old}"))
@@ -235,13 +243,13 @@ def format_b(lines: DataFrame, stored: DataFrame | None = None) -> DataFrame:
     rows = base.withColumns({
         "role": F.when(is_("session"), "system").when(is_("ask", "result"), "user").otherwise("assistant"),
         "event_type": F.when(is_("result"), "tool_result").when(is_("call"), "tool_use"),
-        "content_preview": F.when(is_("call") & (F.col("told") == ""), F.col("line_of")).when(is_("call"), t.preview(F.col("told"))).otherwise(t.preview(F.col("search_content"))),
+        "content_preview": F.when(is_("call") & (F.col("told") == ""), F.col("line_of")).otherwise(t.cut_bytes(F.col("plain"), 200)),
         "has_code": F.when(is_("ask", "answer", "result"), t.has_code(F.col("search_content"))).otherwise(False),
         "has_error": F.when(is_("result"), t.has_error(F.col("search_content")) | failed).otherwise(False),
         "has_file_changes": F.when(is_("result"), F.col("tool").isin(*CHANGING_B)).otherwise(False),
         "tool_name": F.col("tool"),
         "tool_type": F.when(is_("result"), "result").when(is_("call"), "use"),
-        "tool_summary": F.when(is_("result", "call"), F.col("line_of")),
+        "tool_summary": F.col("line_of"),
         "input_tokens": tokens("input", "input_tokens"), "output_tokens": tokens("output", "output_tokens"),
         "cache_read_tokens": tokens("cacheRead", "cache_read_input_tokens"), "cache_creation_tokens": tokens("cacheWrite", "cache_creation_input_tokens"),
         "model": F.when(is_("answer", "call"), j.text(v, "$.message.model")),
@@ -251,10 +259,13 @@ def format_b(lines: DataFrame, stored: DataFrame | None = None) -> DataFrame:
 
 @dataclass(frozen=True)
 class Format:
-    """A transcript format: lines -> messages, and lines -> the calls that later batches may need."""
+    """A transcript format: lines -> messages, and lines -> the calls that later batches may need.
+
+    ``parse(lines, stored, own)``: calls of earlier batches, and, where they are at hand, the lines' own.
+    """
 
     name: str
-    parse: Callable[[DataFrame, DataFrame | None], DataFrame]
+    parse: Callable[..., DataFrame]
     calls: Callable[[DataFrame], DataFrame]
 
 

@@ -15,7 +15,7 @@ from pyspark.sql.streaming import StreamingQuery
 from ..functions.text import tool_display
 from ..operators import changes, rollups
 from ..operators.extract import Policy
-from ..operators.store import Store
+from ..operators.store import Keys, Store
 from ..sources import lines as src
 from ..sources.messages import Format, errors, of_tool
 from ..sources.tail_source import TailSource
@@ -26,15 +26,16 @@ EVENTS = {"new": "session:new", "changed": "session:changed", "parsed": "session
 
 
 def sessions_from(messages: DataFrame, files: DataFrame, tool: str, now: Column) -> DataFrame:
-    """Session rows rolled up from messages. ``files``: session_id, path, file_size."""
-    s, m = rollups.stats(messages), rollups.metadata(messages)
-    both = files.join(s, "session_id", "left").join(m, "session_id", "left")
+    """Session rows rolled up from messages, and max_sequence. ``files``: session_id, path, file_size; other columns stay."""
+    both = files.join(rollups.whole(messages), "session_id", "left")
+    others = [c for c in files.columns if c not in ("session_id", "path", "file_size")]
     folder = F.regexp_replace("path", "/[^/]*$", "")
     return both.select(
         F.col("session_id").alias("id"), F.sha2(folder, 256).substr(1, 32).alias("project_id"), F.col("path").alias("file_path"),
         F.coalesce("title", F.lit("Untitled session")).alias("title"), tool_display(F.lit(tool)).alias("ai_tool"), F.coalesce("total_events", F.lit(0)).alias("message_count"), "duration_ms",
         F.coalesce("has_code", F.lit(False)).alias("has_code"), F.coalesce("has_errors", F.lit(False)).alias("has_errors"), "file_size", F.lit(False).alias("title_edited"), F.lit(False).alias("title_ai_generated"),
         F.lit("success").alias("import_status"), F.lit(False).alias("is_hidden"), F.coalesce(F.try_to_timestamp("start_time"), now).alias("created_at"), now.alias("indexed_at"),
+        F.coalesce("max_sequence", F.lit(-1)).alias("max_sequence"), *others,
     )
 
 
@@ -54,36 +55,36 @@ def apply_lines(store: Store, batch: DataFrame, tool: str, now: Column | None =
     try:
         touched = batch.groupBy("session_id").agg(F.first("path").alias("path"), F.bool_or("restarted").alias("restarted"), F.max(F.col("byte_offset") + F.col("byte_length")).alias("file_size"), (F.max("line_no") + 1).alias("next_line")).persist()
         kept.append(touched)
-        ids = touched.select(F.col("session_id").alias("id"))
+        keys = Keys(touched.select("session_id"))
         restarted = touched.where("restarted").select("session_id")
         # Calls that later batches may answer; of calls noted twice (a file read anew) the latest counts.
-        own = fmt.calls(batch)
-        earlier = store.of("calls", touched).groupBy("session_id", "id").agg(F.max_by(F.struct("call_name", "call_input", "is_call", "line_no"), "line_no").alias("c")).select("session_id", "id", "c.*")
-        messages = fmt.parse(batch, earlier).persist()
-        kept.append(messages)
+        own = fmt.calls(batch).persist()
+        kept.append(own)
+        earlier = store.of("calls", keys).groupBy("session_id", "id").agg(F.max_by(F.struct("call_name", "call_input", "is_call", "line_no"), "line_no").alias("c")).select("session_id", "id", "c.*")
+        messages = fmt.parse(batch, earlier, own)
         if not restarted.isEmpty():
+            messages = messages.persist()  # else they are read once
+            kept.append(messages)
             store.replace("session_messages", messages.join(restarted, "session_id", "left_semi"), restarted)
-        store.append("session_messages", messages)
+        store.append("session_messages", messages, keys=keys)
         store.append("calls", own, batch_id)
 
-        stored = store.of("session_messages", touched)
-        fresh = sessions_from(stored, touched, tool, now).persist()
+        fresh = sessions_from(store.of("session_messages", keys), touched, tool, now).persist()
         kept.append(fresh)
-        old = store.of("sessions", ids)
+        old = store.of("sessions", keys)
         if not store.has_batch("service_events", batch_id):  # told before the sessions are written, so that what was new is told as new
-            is_new = ids.join(old.select("id"), "id", "left_anti").withColumn("is_new", F.lit(True))
-            told = ids.join(is_new, "id", "left").select(F.when(F.col("is_new"), EVENTS["new"]).otherwise(EVENTS["changed"]).alias("event"), F.col("id").alias("session_id"), F.lit("{}").alias("payload"), now.alias("at"))
+            known = keys.named("id").join(old.select("id", F.lit(True).alias("known")), "id", "left")
+            told = known.select(F.when(F.col("known"), EVENTS["changed"]).otherwise(EVENTS["new"]).alias("event"), F.col("id").alias("session_id"), F.lit("{}").alias("payload"), now.alias("at"))
             read = fresh.select(F.lit(EVENTS["parsed"]).alias("event"), F.col("id").alias("session_id"), F.to_json(F.struct("message_count")).alias("payload"), now.alias("at"))
             bad = errors(batch).groupBy("session_id").agg(F.count("*").alias("lines")).select(F.lit(EVENTS["error"]).alias("event"), "session_id", F.to_json(F.struct("lines")).alias("payload"), now.alias("at"))
             store.append("service_events", told.unionByName(read).unionByName(bad), batch_id)
-        store.replace("sessions", changes.merged_session(old, store._shaped(fresh, "sessions")), ids)
+        store.replace("sessions", changes.merged_session(old, store._shaped(fresh, "sessions")), keys)
         folders = fresh.select(F.regexp_replace("file_path", "/[^/]*$", "").alias("folder_path")).distinct().withColumn("folder", F.element_at(F.split("folder_path", "/"), -1))
         projects = changes.new_projects(folders, store.read("projects"), now)
         if not projects.isEmpty():
             store.append("projects", projects)
-        counts = stored.groupBy("session_id").agg(F.count("*").alias("message_count"), F.max("sequence_num").alias("max_sequence"))
-        state = touched.join(counts, "session_id", "left").select("path", "session_id", "file_size", F.coalesce("message_count", F.lit(0)).alias("message_count"), F.coalesce("max_sequence", F.lit(-1)).alias("max_sequence"), "next_line")
-        store.replace("file_state", changes.upsert(store.of("file_state", touched), store._shaped(state, "file_state"), ["path"]), touched)
+        state = fresh.withColumns({"path": F.col("file_path"), "session_id": F.col("id")})
+        store.replace("file_state", changes.upsert(store.of("file_state", keys), store._shaped(state, "file_state"), ["path"]), keys)
     finally:
         for frame in reversed(kept):
             frame.unpersist()

@@ -91,6 +91,18 @@ def test_a_batch_applied_twice_counts_once(spark, tmp_path, now):
         ingest.apply_lines(store, batch, "unknown", now)
 
 
+def test_a_batch_asks_for_its_buckets_once(spark, tmp_path, now, monkeypatch):
+    store, asked, own = Store(spark, str(tmp_path), buckets=2), [], Store._bucket
+    monkeypatch.setattr(Store, "_bucket", lambda self, column, buckets: asked.append(column) or own(self, column, buckets))
+    line = event(0).strip()
+    for n in range(2):
+        batch = spark.createDataFrame([("s", "/p/s.jsonl", n, n * 99, len(line) + 1, line, False)], "session_id string, path string, line_no bigint, byte_offset bigint, byte_length bigint, line string, restarted boolean")
+        asked.clear()
+        ingest.apply_lines(store, batch, "claude_code", now, batch_id=f"q/{n}")
+        assert len(asked) == 5  # once for the keys, and for the rows of each of four tables
+    assert (store.read("sessions").first().message_count, store.read("file_state").first().max_sequence) == (2, 1)
+
+
 def test_snapshots(spark, tmp_path):
     store = Store(spark, str(tmp_path))
     assert store.read("skills").count() == 0

@@ -133,6 +133,18 @@ def test_rollups(spark):
     assert one.duration_ms is None and one.start_time == "2024-01-01T00:00:00Z"
 
 
+def test_a_rollup_shuffles_once_and_cuts_titles_as_the_whole_text(spark):
+    texts = ["x" * 80, "x" * 81, "ü" * 40, "ü" * 41, "漢" * 200, "x" * 79 + "ü", "x" * 78 + "漢" * 2, "😀" * 90, ""]
+    own = spark.createDataFrame([(str(i), n, "user" if n < 2 else "system", t if n == 0 else "later") for i, t in enumerate(texts) for n in range(3)], "session_id string, sequence_num bigint, role string, search_content string")
+    none = {c: F.lit(None).cast(k) for c, k in (("tool_type", "string"), ("has_code", "boolean"), ("has_error", "boolean"), ("model", "string"), ("input_tokens", "bigint"), ("output_tokens", "bigint"), ("cache_read_tokens", "bigint"), ("cache_creation_tokens", "bigint"))}
+    own = own.withColumns(none).withColumns({"ts": F.timestamp_seconds(F.col("sequence_num") * 60), "timestamp": F.lit("t")})
+    found = rollups.metadata(own)
+    assert found._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[-1].count("Exchange hashpartitioning") == 1
+    want = {str(i): t if len(t.encode()) <= 80 else t.encode()[:80].decode(errors="ignore") + "..." for i, t in enumerate(texts)}
+    assert {r.session_id: r.title for r in found.collect()} == want
+    assert {(r.total_events, r.max_sequence, r.duration_ms) for r in rollups.whole(own).collect()} == {(3, 2, 60_000)}
+
+
 def test_registry():
     assert messages.of_tool("claude_code") is messages.of_tool("claude-code") is messages.A
     assert messages.of_tool("openclaw") is messages.B and messages.of_tool("other") is None
