@@ -14,7 +14,7 @@ from ..functions.tokens import token_set
 from ..operators import browse, changes, extract, similar
 from ..operators.staging import shared_folder
 from .registry import query, table
-from .tables import MEMORIES_SQL, NOW, SKILLS_SQL, TALK_SQL, memories, skills, talk
+from .tables import MEMORIES_SQL, NOW, SKILLS_SQL, TALK_SQL, memories, memory_texts, skills, talk
 from .transcripts import cut_sql
 
 TALK = "WITH " + TALK_SQL
@@ -316,8 +316,9 @@ MEMORY_SIM = f"0.6 * ({_jaccard_sql('a.t1', 'b.t1')}) + 0.4 * ({_jaccard_sql('a.
 @query("insert_dedup", f"WITH RECURSIVE {MEMORIES_SQL}, " + _admitted_sql(f"x AS (SELECT id, project_id, title, state, {tokens_sql('title')} AS t1, {tokens_sql('content')} AS t2 FROM mem)", "title", MEMORY_SIM, 0.65, "b.state <> 'removed'"))
 def insert_dedup(spark: SparkSession, d: str) -> DataFrame:
     """Memories of odd ids as new ones, one by one, against those of even ids: equal titles in any state, likeness among live ones."""
-    m = memories(spark, d)
-    verdicts = similar.admit(m.where("id % 2 = 1").select("id", "project_id", "title", "content"), m.where("id % 2 = 0"), similar.MEMORY)
+    # Texts do not meet the labels: which stored ones are removed is asked by id.
+    m, gone = memory_texts(spark, d), memories(spark, d).where("state = 'removed'").select("id")
+    verdicts = similar.admit(m.where("id % 2 = 1"), m.where("id % 2 = 0"), similar.MEMORY, live="true", gone=gone)
     return verdicts.select("id", "project_id", F.col("twin").isNull().alias("admitted"))
 
 

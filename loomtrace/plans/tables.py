@@ -77,6 +77,11 @@ def memories(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
+def memory_texts(spark: SparkSession, d: str) -> DataFrame:
+    """What memories say, without what the labels add."""
+    return table(spark, d, "documents").selectExpr("doc_id AS id", "source AS project_id", "left(text, 80) AS title", "text AS content")
+
+
 MEMORIES_SQL = """mem AS (SELECT d.doc_id AS id, source AS project_id, 's' || (d.doc_id % 37) AS session_id,
   CASE lang WHEN 'en' THEN 'decision' WHEN 'fr' THEN 'fact' WHEN 'de' THEN 'preference' WHEN 'es' THEN 'context' ELSE 'task' END AS memory_type,
   left(text, 80) AS title, text AS content, [lang, 'Src' || (d.doc_id % 7), ' odd '] AS tags, (d.doc_id % 100) / 100 AS confidence,

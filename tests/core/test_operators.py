@@ -402,3 +402,20 @@ def test_answers_are_read_once_for_all_markers(spark):
     found = extract.marker_moments(extract.ask(prompts, model, ["session_id"]))
     assert {(x.session_id, x.event_index, x.marker_type) for x in found.collect()} == {("s", 2, "bug"), ("s", 5, "ship")}
     assert found._jdf.queryExecution().optimizedPlan().toString().count("MapInPandas") == 1
+
+
+def test_what_is_written_grows_with_the_items(spark, monkeypatch):
+    """Titles of few words, which all meet often: no step writes more than some rows an item, and places and tiles lose no link."""
+    seen, put = [], similar.stored
+    monkeypatch.setattr(similar, "stored", lambda rows: seen.append(put(rows)) or seen[-1])
+    r = random.Random(3)
+    words = [f"w{i}x" for i in range(60)]
+    rows = [(f"k{i}", i % 2, sorted(r.sample(words, 13)), sorted(f"x{i}y{j}" for j in range(20))) for i in range(300)]
+    family = [(f"f{i}", i % 2, [f"t{j}" for j in range(9)] + [f"u{i}"], [f"c{j}" for j in range(20)] + [f"d{i % 5}"]) for i in range(12)]
+    reps = spark.createDataFrame(rows + family, "id string, fresh int, t1 array<string>, t2 array<string>").withColumn("project_id", F.lit("p"))
+    want = {(a[0], b[0]): 0.6 * 9 / 11 + 0.4 * (1.0 if a[3] == b[3] else 20 / 22) for a in family for b in family if a[0] < b[0] and a[1] + b[1]}
+    monkeypatch.setattr(similar, "HELD", 2, raising=False)
+    monkeypatch.setattr(similar, "BROADCAST", 0, raising=False)
+    got = {(x.a, x.b): x.similarity for x in similar.links(reps, similar.MEMORY, "id", "project_id", F.col("fresh") == 1).collect()}
+    assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-12 for k in want)
+    assert max(x.count() for x in seen) <= 4 * (len(rows) + len(family))
